@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, threshold_topk, url_rules
+from . import mixing, packing, parity_join, threshold_topk, url_rules
 from .common import table
 
 #: The rules of op8, the longest fitting one wins.
@@ -19,6 +19,10 @@ URL_RULES = [
 ]
 
 
+def op2_parity_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=[5, 2, 1], share=1.5, most=2.0)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -45,6 +49,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_parity_jaccard,
         op3_source_mixing,
         op4_threshold_topk,
         op8_url_rules,
@@ -53,6 +58,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_parity_jaccard": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+          FROM documents
+        ), s AS (
+          SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles
+          FROM w
+        ), e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+        pairs AS (
+          SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+        ), reach AS (
+          SELECT doc_id AS a, doc_id AS b FROM s
+          UNION
+          SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a
+        )
+        SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, min(reach.b) AS component_id
+        FROM s JOIN reach ON reach.a = s.doc_id GROUP BY s.doc_id, s.shingles
+    """,
     "op4_threshold_topk": """
         WITH q AS (
           SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))) AS v
