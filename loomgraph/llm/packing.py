@@ -14,9 +14,11 @@ columns of the input are not passed on.
 
 from __future__ import annotations
 
+import base64
+import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,66 +26,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-class WordwiseEncoder:
-    """Ids of texts as little-endian 32-bit bytes, with a bounded memo of words.
+class Encoder:
+    """Ids of texts as little-endian 32-bit bytes, those that the `tokenizers` file gives.
 
-    The byte-level vocabulary never joins characters across a single space between two
-    other characters, so a text is the ids of its first word and of each further word with
-    its space.  Words that touch other white space (or are empty: two spaces) are not
-    separable; their texts are encoded whole.
+    `ranks_file` holds the same byte-level vocabulary as ranks for a faster library; it is
+    used for texts on which both agree by construction: of letters up to U+024F (the split
+    into words knows the same letters, numbers and white space there), without the
+    special token's string, and not of extraordinary length.  Others take the slower way.
     """
 
-    def __init__(self, tokenizer_file: str, most_words: int = 1 << 19):
+    _ODD = re.compile("[^\x00-\u024f]")
+    _made: dict[tuple[str, str | None], Encoder] = {}
+
+    def __init__(self, tokenizer_file: str, ranks_file: str | None, most_chars: int = 1 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.most_words = most_words
-        self.first: dict[str, bytes | None] = {}
-        self.later: dict[str, bytes | None] = {}
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, memo: dict[str, bytes | None], words: Iterable[str], prefix: str) -> None:
-        separable = []
-        for w in words:
-            if not w or w[0].isspace() or w[-1].isspace():
-                memo[w] = None
-            else:
-                separable.append(w)
-        for w, ids in zip(separable, self._raw([prefix + w for w in separable]), strict=True):
-            memo[w] = ids
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.later) > self.most_words:
-            self.later.clear()
-        if len(self.first) > self.most_words:
-            self.first.clear()
-        heads, tails = [], []
-        for t in texts:
-            head, *tail = t.split(" ")
-            heads.append(head)
-            tails.append(tail)
-        self._learn(self.first, {h for h in heads if h and h not in self.first}, "")
-        self._learn(self.later, {w for tail in tails for w in tail if w not in self.later}, " ")
-        out: list[bytes | None] = []
-        for t, head, tail in zip(texts, heads, tails, strict=True):
-            start = self.first.get(head)
-            if not t:
-                out.append(b"")
-            elif not tail and start is not None:
-                out.append(start)
-            elif start is None:
-                out.append(None)
-            else:
-                try:
-                    out.append(start + b"".join(map(self.later.__getitem__, tail)))
-                except TypeError:  # a word that is not separable
-                    out.append(None)
-        whole = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(whole, self._raw([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        return out
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.most_chars, self.fast = most_chars, None
+        if ranks_file:
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranks_file, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    @classmethod
+    def get(cls, tokenizer_file: str, ranks_file: str | None) -> Encoder:
+        """One for each Python worker, whatever the number of its tasks."""
+        if (tokenizer_file, ranks_file) not in cls._made:
+            cls._made[tokenizer_file, ranks_file] = cls(tokenizer_file, ranks_file)
+        return cls._made[tokenizer_file, ranks_file]
+
+    def encode(self, text: str) -> bytes:
+        plain = self.fast is not None and len(text) <= self.most_chars and not any(s in text for s in self.specials) and not self._ODD.search(text)
+        ids = self.fast.encode_ordinary(text) if plain else self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.asarray(ids, "<u4").tobytes()
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
@@ -128,18 +107,18 @@ class OpenBins:
         return b, self.size - free
 
 
-def token_pieces(docs: DataFrame, tokenizer_file: str, size: int, end_id: int, key: str, text: str) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_file: str, ranks_file: str | None, size: int, end_id: int, key: str, text: str) -> DataFrame:
     """(key, piece, start, length, ids_crc32) of every document; `size` bounds length."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordwiseEncoder(tokenizer_file)
+        encoder = Encoder.get(tokenizer_file, ranks_file)
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 some = batch.slice(lo, 512)
                 source, numbers = [], []
-                for row, ids in enumerate(encoder.encode([t or "" for t in some.column(1).to_pylist()])):
-                    ids += end
+                for row, t in enumerate(some.column(1).to_pylist()):
+                    ids = encoder.encode(t or "") + end
                     for piece, (start, length) in enumerate(cut(len(ids) // 4, size)):
                         source.append(row)
                         numbers.append((piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
@@ -170,12 +149,12 @@ def best_fit(pieces: DataFrame, size: int, open_bins: int, order: list[str], par
     return dealt.withColumn("part", F.spark_partition_id()).mapInArrow(pack, f"{kinds}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer_file: str, size: int = 2048, end_id: int = 0, open_bins: int = 256, key: str = "doc_id", text: str = "text", docs_per_task: int = 16384) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_file: str, ranks_file: str | None = None, size: int = 2048, end_id: int = 0, open_bins: int = 256, key: str = "doc_id", text: str = "text", docs_per_task: int = 16384) -> DataFrame:
     """(key, piece, start, length, ids_crc32, sequence_id, offset) of every piece.
 
-    `tokenizer_file` is a path that every executor has.  `docs_per_task` sets how many
+    `tokenizer_file` and `ranks_file` are paths that every executor has.  `docs_per_task` sets how many
     documents share a stream; at most `open_bins` sequences of each stream end unfilled.
     """
     parts = max(1, -(-docs.count() // docs_per_task))
-    pieces = token_pieces(docs, tokenizer_file, size, end_id, key, text)
+    pieces = token_pieces(docs, tokenizer_file, ranks_file, size, end_id, key, text)
     return best_fit(pieces, size, open_bins, [key, "piece"], parts)

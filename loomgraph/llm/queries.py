@@ -36,14 +36,14 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-def tokenizer_file() -> str:
+def tokenizer_files() -> tuple[str, str]:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
+    return packing.pack_documents(table(spark, sf_dir, "documents"), *tokenizer_files())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
