@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, parity_join, threshold_topk, url_rules
-from .common import table
+from . import mixing, packing, parity_join, substring_dedup, threshold_topk, toxicity, url_rules
+from .common import crc32_mod, table
 
 #: The rules of op8, the longest fitting one wins.
 URL_RULES = [
@@ -19,6 +19,10 @@ URL_RULES = [
 ]
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op2_parity_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,14 @@ def op4_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threshold_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("key") % 50 == 0, k=5)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc32_mod(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = model.score(docs)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -49,15 +61,42 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_substring_dedup,
         op2_parity_jaccard,
         op3_source_mixing,
         op4_threshold_topk,
+        op6_toxicity,
         op8_url_rules,
         op9_best_fit_packing,
     )
 }
 
 ORACLE: dict[str, str] = {
+    "op1_substring_dedup": r"""
+        WITH l AS (
+          SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+          FROM documents WHERE text IS NOT NULL
+        ), lo AS (
+          SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM l
+        ), m AS (
+          SELECT doc_id, i, base, regexp_replace(line, '([.!?])([ \t])', '\1' || chr(1) || '\2', 'g') AS m FROM lo
+        ), p AS (
+          SELECT doc_id, i, base, unnest(string_split(m, chr(1))) AS piece, generate_subscripts(string_split(m, chr(1)), 1) AS j FROM m
+        ), po AS (
+          SELECT *, base + coalesce(sum(length(piece)) OVER (PARTITION BY doc_id, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM p
+        ), u AS (
+          SELECT doc_id, CAST(pos + length(regexp_extract(piece, '^[\x20\x09-\x0D]*', 0)) AS BIGINT) AS start,
+            CAST(pos + length(regexp_replace(piece, '[\x20\x09-\x0D]+$', '')) AS BIGINT) AS "end",
+            list_filter(string_split_regex(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+          FROM po
+        ), r AS (
+          SELECT doc_id, start, "end", array_to_string(words, ' ') AS norm FROM u WHERE len(words) >= 6
+        ), k AS (
+          SELECT doc_id, start, "end", first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start, count(*) OVER (PARTITION BY norm) AS copies
+          FROM r WINDOW w AS (PARTITION BY norm ORDER BY doc_id, start)
+        )
+        SELECT * FROM k WHERE doc_id <> kept_doc_id OR start <> kept_start
+    """,
     "op2_parity_jaccard": r"""
         WITH RECURSIVE w AS (
           SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
