@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, parity_join, substring_dedup, threshold_topk, toxicity, url_rules
+from . import learned_partitions, mixing, packing, parity_join, substring_dedup, threshold_topk, toxicity, url_rules
 from .common import crc32_mod, table
 
 #: The rules of op8, the longest fitting one wins.
@@ -44,6 +44,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learned_partitions.search(table(spark, sf_dir, "embeddings"), F.col("key") % 20 == 0, k=20)
+
+
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_source_mixing,
         op4_threshold_topk,
         op6_toxicity,
+        op7_learned_partitions,
         op8_url_rules,
         op9_best_fit_packing,
     )
