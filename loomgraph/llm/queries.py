@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import learned_partitions, mixing, packing, parity_join, substring_dedup, threshold_topk, toxicity, url_rules
+from . import learned_partitions, mixing, packing, parity_join, secret_scan, substring_dedup, threshold_topk, toxicity, url_rules
 from .common import crc32_mod, table
 
 #: The rules of op8, the longest fitting one wins.
@@ -36,6 +36,11 @@ def op4_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threshold_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("key") % 50 == 0, k=5)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "length", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc32_mod(F.col("doc_id"), 5) == 0
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_parity_jaccard,
         op3_source_mixing,
         op4_threshold_topk,
+        op5_secret_scan,
         op6_toxicity,
         op7_learned_partitions,
         op8_url_rules,
