@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import learned_partitions, mixing, packing, parity_join, secret_scan, substring_dedup, threshold_topk, toxicity, url_rules
+from . import learned_partitions, mixing, packing, parity_join, recurrent_lm, secret_scan, substring_dedup, threshold_topk, toxicity, url_rules
 from .common import crc32_mod, table
 
 #: The rules of op8, the longest fitting one wins.
@@ -67,6 +67,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), *tokenizer_files())
 
 
+def op10_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(crc32_mod(F.col("doc_id"), 7) == 2, F.lit(False))
+    scored = recurrent_lm.score(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.withColumn("held_out", held_out)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_learned_partitions,
         op8_url_rules,
         op9_best_fit_packing,
+        op10_recurrent_lm,
     )
 }
 
