@@ -46,3 +46,28 @@ def ascii_lower(text: Column) -> Column:
 def crc32_mod(col: Column, mod: int) -> Column:
     """crc32 of the decimal text of `col`, modulo `mod`; null stays null."""
     return F.crc32(col.cast("string").cast("binary")) % F.lit(mod)
+
+
+def maybe_in(docs: DataFrame, key: Column, ids: DataFrame, flag: str = "__maybe", bits: int = 1 << 25) -> DataFrame:
+    """`docs` with a column `flag`: false for rows whose `key` is surely not in `ids` (one column).
+
+    A bitmap of hashes of bounded size (`bits`), broadcast.  It spares rows a shuffle; those
+    it lets pass need an exact join.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long"), F.lit(23)), F.lit(bits))
+    p = place(ids[ids.columns[0]])
+    marks = ids.select(p.alias("__p")).groupBy(F.bitmap_bucket_number("__p").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__p")).alias("__bits"))
+    at = F.bitmap_bit_position("__p")
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    joined = docs.withColumn("__p", place(key)).withColumn("__bucket", F.bitmap_bucket_number("__p")).join(F.broadcast(marks), "__bucket", "left")
+    return joined.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("__p", "__bucket", "__bits")
+
+
+def without(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """`docs` less the rows whose `key` is in `ids` (one column); most texts stay where they are."""
+    gone = ids.select(ids[ids.columns[0]].alias("__id")).distinct()
+    flagged = maybe_in(docs, F.col(key), gone)
+    sure = flagged.where(~F.col("__maybe")).select(*docs.columns)
+    rest = flagged.where("__maybe").join(gone, F.col(key) == F.col("__id"), "left_anti").select(*docs.columns)
+    return sure.unionByName(rest)

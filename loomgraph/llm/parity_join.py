@@ -15,8 +15,9 @@ The common order puts words last whose shingles were all seen often in a bounded
 documents.  That keeps passages that many documents share out of the keys.  It is an order
 only: what the sample has or lacks changes the work, never the links.
 
-Candidates then are grouped without listing all pairs of a group.  Each member is first
-compared with one other, the one that it shares most keys with, the texts meeting in
+Candidates must pass a second, finer sketch, of about one bit for each shingle, before their
+texts are compared.  They are grouped without listing all pairs of a group: each member is
+first compared with one other, the one that it shares most keys with, the texts meeting in
 groups of bounded size; members found in one component need no more comparisons, and only
 pairs of different components that still share a key are compared in the end.
 """
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import maybe_in, stash, without
 from .components import components
 from .textnum import mix, set_digests, shingle_sets, slices
 
@@ -76,24 +77,67 @@ def _keys(h: np.ndarray, per: np.ndarray, hot: np.ndarray, t: tuple[int, int]) -
             position = np.arange(len(where)) - begin[where]
             rank = np.where(last, rares[where] + position - seen, seen - 1)
             keep = rank <= d[where]
-            salt = mix(block[at][keep] + np.uint64((2 * band + kind + 1) << 40) * np.uint64(0x9E3779B97F4A7C15))
+            salt = mix(block[at][keep] + np.uint64(((2 * band + kind + 1) * 0x9E3779B97F4A7C15) % (1 << 64)))
             out_text.append(where[keep])
             out_key.append(mix(word[keep] ^ salt))
         low, band = high, band + 1
     return np.concatenate(out_text), np.concatenate(out_key)
 
 
+def _bits(n: np.ndarray) -> np.ndarray:
+    """Bits of the parity sketch of a set of each size: a power of two, at least one byte."""
+    return np.left_shift(1, np.ceil(np.log2(np.maximum(n, 8))).astype(np.int64))
+
+
 def _sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(id, n, digest) of every row of `docs`."""
+    """(id, n, digest, sketch) of every row of `docs`; sketch: the parity of the shingles at each bit."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, n in slices(batch.column(1)):
                 h, per = shingle_sets(batch.column(1).slice(lo, n), width)
                 digest = set_digests(h, per)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(per, pa.int64()), pa.array([x.tobytes() for x in digest], pa.binary())], names=["id", "n", "digest"])
+                bits = _bits(per)
+                begin = np.cumsum(bits) - bits
+                place = np.repeat(begin, per) + (h & np.repeat(bits - 1, per).astype(np.uint64)).astype(np.int64)
+                sketch = np.packbits(np.bincount(place, minlength=int(bits.sum())) & 1, bitorder="little").tobytes()
+                sketches = [sketch[x // 8 : y // 8] for x, y in zip(begin.tolist(), (begin + bits).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(per, pa.int64()), pa.array([x.tobytes() for x in digest], pa.binary()), pa.array(sketches, pa.binary())], names=["id", "n", "digest", "sketch"])
+
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text)).mapInArrow(read, "id long, n long, digest binary, sketch binary")
+
+
+def _near(pairs: DataFrame, sketches: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """Those of `pairs` (a, b) whose sizes and sketches allow a link.
+
+    A shingle that only one set has flips one bit, so the sketches differ in no more bits
+    than the sets in shingles.
+    """
+    num, den = t
+    of = lambda x: sketches.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    met = pairs.join(of("a"), "a").join(of("b"), "b")
+    met = met.where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num).select("a", "b", "n_a", "n_b", "s_a", "s_b")
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = (batch.column(2).to_numpy() + batch.column(3).to_numpy()) * (den - num) // (den + num)
+            keep = []
+            for d, x, y in zip(most.tolist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                size = min(len(x), len(y))
+                v = int.from_bytes(x, "little") ^ int.from_bytes(y, "little") if len(x) == len(y) else _folded(x, size) ^ _folded(y, size)
+                keep.append(v.bit_count() <= d)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return met.mapInArrow(sift, "a long, b long")
+
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text)).mapInArrow(read, "id long, n long, digest binary")
+def _folded(sketch: bytes, size: int) -> int:
+    """The sketch of the same set with `size` bytes."""
+    v, n = int.from_bytes(sketch, "little"), len(sketch)
+    while n > size:
+        n //= 2
+        v = (v >> (8 * n)) ^ (v & ((1 << (8 * n)) - 1))
+    return v
 
 
 def _often(docs: DataFrame, members: DataFrame, key: str, text: str, width: int, sample_docs: int, often: int) -> np.ndarray:
@@ -133,25 +177,47 @@ def _buckets(docs: DataFrame, key: str, text: str, width: int, t: tuple[int, int
                 where, sig = _keys(h, per, hot, t)
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), batch.column(0).slice(lo, n).take(pa.array(where, pa.int64()))], names=["sig", "id"])
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_sig = last_id = held = None
+    keyed = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text)).mapInArrow(emit, "sig long, id long")
+    return _shared(keyed)
+
+
+def _shared(keyed: DataFrame) -> DataFrame:
+    """(sig, hub, id) of the keys that at least two ids have; hub: the smallest of them."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the last row of a batch waits for the next, as its key may go on
+        last: tuple[int, int, int] | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             sig, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if held is not None:  # the row left from the batch before, whose key may go on
-                sig, ids = np.concatenate([[last_sig], sig]), np.concatenate([[last_id], ids])
+            if last is not None:
+                sig, ids = np.concatenate([[last[0]], sig]), np.concatenate([[last[1]], ids])
+            again = (sig[1:] == sig[:-1]) & (ids[1:] == ids[:-1])
+            once = np.concatenate([[True], ~again])
+            sig, ids = sig[once], ids[once]
             same = np.concatenate([[False], sig[1:] == sig[:-1], [False]])
-            keep = same[:-1] | same[1:]
-            if held:
-                keep[0] = True
-            last_sig, last_id, held = sig[-1], ids[-1], bool(keep[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(sig[:-1][keep[:-1]]), pa.array(ids[:-1][keep[:-1]])], names=["sig", "id"])
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([last_sig], pa.int64()), pa.array([last_id], pa.int64())], names=["sig", "id"])
+            first = np.flatnonzero(~same[:-1])
+            hub = np.repeat(ids[first], np.diff(np.append(first, len(sig))))
+            if last is not None:  # a key that began in an earlier batch keeps its hub
+                hub[: first[1] if len(first) > 1 else len(sig)] = last[2]
+            shared = same[:-1] | same[1:]
+            if last is not None and last[2] != last[1]:
+                shared[0] = True
+            last = (int(sig[-1]), int(ids[-1]), int(hub[-1]))
+            keep = shared[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(sig[:-1][keep]), pa.array(hub[:-1][keep]), pa.array(ids[:-1][keep])], names=["sig", "hub", "id"])
+        if last is not None and last[1] != last[2]:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (last[0], last[2], last[1])], names=["sig", "hub", "id"])
+
+    return keyed.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(walk, "sig long, hub long, id long")
 
-    keyed = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text)).mapInArrow(emit, "sig long, id long")
-    return keyed.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(shared, "sig long, id long")
+
+def _texts(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, text) of the documents that `ids` (id) names."""
+    some = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    some = maybe_in(some, F.col("id"), ids).where("__maybe").select("id", "text")
+    return some.join(ids.distinct(), "id").groupBy("id").agg(F.min("text").alias("text"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, t: tuple[int, int], group: int = 256) -> DataFrame:
@@ -190,7 +256,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, t: tuple[int, int]
     return met.select("id", "a", "g", "role", "text").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: tuple[int, int] = (3, 4), hub_rounds: int = 2, sample_docs: int = 20_000, often: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: tuple[int, int] = (3, 4), hub_rounds: int = 2, sample_docs: int = 20_000, often: int = 4) -> DataFrame:
     """(key, n_shingles, component_id) of every row of `docs`.
 
     Two documents link when their sets of `width`-word shingles share at least `similarity`
@@ -203,43 +269,50 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     orders join keys (see the module); it has no effect on results.
     """
     members = stash(_sets(docs, key, text, width))
-    reps = members.where("n > 0 and id is not null").groupBy("n", "digest").agg(F.min("id").alias("rep"))
-    of = stash(members.where("n > 0 and id is not null").join(reps, ["n", "digest"]).groupBy("id").agg(F.min("rep").alias("rep")))
+    reps = members.where("n > 0 and id is not null").groupBy("n", "digest").agg(F.min("id").alias("rep"), F.min("sketch").alias("sketch"))
+    reps = stash(reps)
+    sketches = reps.select(F.col("rep").alias("id"), "n", "sketch")
+    of = stash(members.where("n > 0 and id is not null").join(reps.select("n", "digest", "rep"), ["n", "digest"]).groupBy("id").agg(F.min("rep").alias("rep")))
     hot = _often(docs, members, key, text, width, sample_docs, often)
-    buckets = _buckets(docs, key, text, width, similarity, hot)
-    # (sig, id) by representative; keys held by copies of one set alone drop out
-    buckets = stash(buckets.join(of.select("id", "rep"), "id").select("sig", F.col("rep").alias("id")).distinct())
-    held = buckets.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
-    buckets = stash(buckets.join(held.select("sig"), "sig"))
-    wanted = buckets.select("id").distinct()
-    texts = stash(docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(wanted, "id").groupBy("id").agg(F.min("text").alias("text")))
-
-    none = buckets.select(F.col("id").alias("a"), F.col("id").alias("b")).where(F.lit(False))
-    links, tried = none, none
-    label = buckets.select("id").distinct().withColumn("root", F.col("id"))
+    # by representative: keys held by copies of one set alone drop out
+    buckets = stash(_shared(_buckets(docs, key, text, width, similarity, hot).join(of, "id").select("sig", F.col("rep").alias("id"))))
+
+    tried = links = None
+    label = None
     for step in range(hub_rounds + 1):
-        named = buckets.join(label, "id")
-        open_ = named.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        named = stash(named.join(open_.select("sig"), "sig"))
+        if label is None:
+            near = buckets.where("hub <> id").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+        else:
+            named = buckets.join(label, "id").select("sig", "id", "root")
+            open_ = named.groupBy("sig").agg(F.min(F.struct("root", "id")).alias("hub"), F.max("root").alias("hi")).where("hub.root <> hi")
+            named = stash(named.join(open_.select("sig", "hub"), "sig"))
+            near = named.where("root <> hub.root").select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
         if step < hub_rounds:
-            hub = named.groupBy("sig").agg(F.min(F.struct("root", "id")).alias("hub"))
-            near = named.join(hub, "sig").where("root <> hub.root").select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
-            best = near.groupBy("a", "b").agg(F.count("*").alias("n")).groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
-            pairs = best.select("a", "b")
+            # each member with the one hub that it shares most keys with, of those its sketch allows
+            shared = near.groupBy("a", "b").agg(F.count("*").alias("keys"))
+            allowed = _near(stash(shared), sketches, similarity).join(shared, ["a", "b"])
+            pairs = allowed.groupBy("b").agg(F.max_by("a", F.struct("keys", -F.col("a"))).alias("a")).select("a", "b")
         else:
-            # whatever is still apart: each pair of members of different components, by key
+            # whatever is still apart: the pairs of members of different components, by key
             left = named.select("sig", F.col("id").alias("a"), F.col("root").alias("root_a"))
             right = named.select("sig", F.col("id").alias("b"), F.col("root").alias("root_b"))
-            pairs = left.join(right, "sig").where("root_a <> root_b and a < b").select("a", "b").distinct()
-        pairs = stash(pairs.join(tried, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            continue
-        found = stash(_verified(pairs, texts, width, similarity))
-        tried = tried.unionByName(pairs)
-        links = links.unionByName(found)
-        roots = components(links)
-        label = stash(buckets.select("id").distinct().join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root")))
-    roots = stash(components(links)).withColumnRenamed("node", "rep")
-    named = of.select("id", "rep").join(roots, "rep", "left").select("id", F.coalesce("root", "rep").alias("component_id"))
-    out = members.select("id", "n").join(named, "id", "left")
+            pairs = _near(left.join(right, "sig").where("root_a < root_b").select("a", "b").distinct(), sketches, similarity)
+        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = stash(pairs)
+        if not pairs.isEmpty():
+            ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+            found = stash(_verified(pairs, stash(_texts(docs, ids, key, text)), width, similarity))
+            tried = pairs if tried is None else tried.unionByName(pairs)
+            links = found if links is None else links.unionByName(found)
+        if links is None:
+            break
+        label = stash(of.select(F.col("rep").alias("id")).distinct().join(components(links).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root")))
+    named = of if label is None else of.join(label.withColumnRenamed("id", "rep"), "rep").select("id", F.col("root").alias("rep"))
+    out = members.select("id", "n").join(named.withColumnRenamed("rep", "component_id"), "id", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """`docs` without the near duplicates of others: of each component the smallest key stays."""
+    found = near_duplicates(docs, key, text, **options)
+    return without(docs, key, stash(found.where(F.col("component_id") != F.col(key)).select(key)))
