@@ -141,3 +141,14 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float =
     split = marked.where("lane = border").withColumn("rank", rank).withColumn("more", F.when(F.col("rank") <= F.col("inside"), 1).otherwise(0)).drop("rank")
     copies = (F.col("whole") + F.col("more")).cast("int")
     return clear.unionByName(split).select(key, "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: list[float], key: str = "doc_id", **options) -> DataFrame:
+    """The rows of `docs` that the mix takes, each as often as it takes them.
+
+    Rows of null key cannot be told apart and are left out; repeated rows of one key are
+    each taken as often as the one taken most.
+    """
+    copies = mix(docs, weights, key=key, **options).groupBy(F.col(key).alias("__key")).agg(F.max("copies").alias("__copies")).where("__copies > 0")
+    taken = docs.join(copies, F.col(key) == F.col("__key"))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

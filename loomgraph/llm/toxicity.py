@@ -164,6 +164,14 @@ class ToxicityModel:
         scored = self.calibration.transform(self.raw(self.featured(keyed, "text", ["__key"])))
         return scored.select(F.col("__key").alias(key), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))).alias("score"))
 
+    def clean(self, docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
+        """The rows of `docs` that score below `threshold`, with all their columns."""
+        if self.trees is None:
+            return docs if self.base < threshold else docs.limit(0)
+        whole = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).alias("text"))
+        scored = self.calibration.transform(self.raw(self.featured(whole, "text", ["__row"])))
+        return scored.where(F.col("score") < threshold).select("__row.*")
+
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = 40_000, lexicon_size: int = 4096, rounds: int = 20, depth: int = 4, seed: int = 7) -> ToxicityModel:
     """Fit on at most about `sample_rows` labelled rows, those of lowest hash, where `usable` holds of the key column."""
