@@ -2,8 +2,8 @@
 
 Each source gets a target number of words.  Whole copies of the source are taken as often
 as they fit; the budget that remains is fitted with further documents: they are counted
-by exact length, every length first gives its proportional share, and what is then still
-open is filled by bounded-knapsack dynamic programming over the lengths left.  Documents
+by exact length, the bulk of a large budget is dealt to all lengths in proportion, and the
+rest is filled by bounded-knapsack dynamic programming over the lengths left.  Documents
 are then drawn by length count in the order of a seeded hash.
 
 Only (source, length, count) rows reach a single task for a source.  With W words in a
@@ -66,16 +66,17 @@ def source_targets(sized: DataFrame, weights: list[float], share: float, most: f
 
 
 def fit_lengths(lengths: list[int], counts: list[int], budget: int, window: int = 1 << 16) -> list[int]:
-    """How many of each length to take so that their sum comes as near below `budget` as found.
+    """How many of each length to take so that their sum comes as near `budget` as found.
 
-    Proportional shares, then longest first until no more than `window` words are open,
-    then a bounded knapsack over that window (counts split in powers of two, one bitset of
-    reachable sums for each item) that hits the nearest reachable sum exactly.
+    What the budget has beyond `window` words goes to all lengths in proportion, then to the
+    longest; the rest is a bounded knapsack (counts split in powers of two, one bitset of
+    reachable sums for each item) that finds the reachable sum nearest to it, the lower of
+    two.  Budgets within the window are fitted by the knapsack alone, so as well as can be.
     """
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if budget <= 0 or not total:
         return [0] * len(lengths)
-    take = [c * budget // total if n else 0 for n, c in zip(lengths, counts, strict=True)]
+    take = [c * max(0, budget - window) // total if n else 0 for n, c in zip(lengths, counts, strict=True)]
     rest = budget - sum(n * t for n, t in zip(lengths, take, strict=True))
     for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
         if rest <= window:
@@ -84,19 +85,21 @@ def fit_lengths(lengths: list[int], counts: list[int], budget: int, window: int
             more = min(counts[i] - take[i], (rest - window) // lengths[i] + 1, rest // lengths[i])
             take[i] += more
             rest -= more * lengths[i]
-    room = min(rest, window)
     items, reach = [], [1]
-    mask = (1 << (room + 1)) - 1
+    mask = (1 << (rest + min(rest, max(lengths)) + 1)) - 1  # some way beyond, for a nearer sum above
     for i, n in sorted(enumerate(lengths), key=lambda x: -x[1]):
-        left = min(counts[i] - take[i], room // n) if n else 0
+        left = min(counts[i] - take[i], 2 * rest // n) if n else 0
         part = 1
-        while left > 0 and not reach[-1] >> room & 1:
+        while left > 0 and not reach[-1] >> rest & 1:
             some = min(part, left)
             items.append((i, some))
             reach.append((reach[-1] | reach[-1] << (some * n)) & mask)
             left -= some
             part *= 2
-    at = reach[-1].bit_length() - 1
+    below = (reach[-1] & ((1 << (rest + 1)) - 1)).bit_length() - 1
+    above = reach[-1] >> rest
+    above = rest + (above & -above).bit_length() - 1 if above else below
+    at = above if abs(above - rest) < rest - below else below
     for (i, some), before in zip(reversed(items), reversed(reach[:-1]), strict=True):
         if not before >> at & 1:
             take[i] += some
