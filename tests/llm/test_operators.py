@@ -1,0 +1,457 @@
+"""The training-data operators: brute force, round trips and awkward input."""
+
+import json
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import SF, same_rows
+from loomgraph.llm import components, learned_partitions, mixing, packing, parity_join, recurrent_lm, secret_scan, substring_dedup, threshold_topk, toxicity, url_rules
+from loomgraph.llm.queries import ORACLE, QUERIES, URL_RULES, tokenizer_files
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long, id int, key string, size string, h double"
+LONG = "very " * 60_000 + "long"
+AWKWARD = [None, "", "   \n", "a", "one two three four", "one two three four", "one two three four five six. Seven eight nine ten eleven twelve!\nx", LONG, "日本語 テキスト", "\x00 \x0b odd"]
+
+
+def awkward(spark, texts=AWKWARD):
+    """Documents with nulls in every column, repeated rows and extra columns of clashing names."""
+    rows = [(i, t, None, None if i % 2 else "s", None, 1, None, "x", None) for i, t in enumerate(texts)]
+    rows += [rows[4], (None, "key is null here", None, None, None, None, None, None, None)] if len(rows) > 4 else []
+    return spark.createDataFrame(rows, DOC)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_same_as_sql(spark, duck, name):
+    assert same_rows(QUERIES[name](spark, SF), duck.sql(ORACLE[name]))
+
+
+# ------------------------------------------------------------------ 1
+
+
+def test_units_keep_offsets():
+    text = "  One two. Three four!\n\nfive \t\n.x y"
+    border = substring_dedup._BORDER["sentence"]
+    assert [text[a:b] for a, b in substring_dedup.spans_of(text, border)] == ["One two.", "Three four!", "five", ".x y"]
+
+
+def test_repeats_go_but_the_first(spark):
+    line = "alpha beta gamma delta epsilon zeta eta."
+    docs = spark.createDataFrame([(1, f"Intro. {line}\nOwn words of one, and only one, document."), (2, f"{line.upper()} tail"), (3, None), (4, "")], "doc_id long, text string")
+    got = substring_dedup.repeated_spans(docs)
+    assert [(r["doc_id"], r["start"], r["end"], r["kept_doc_id"], r["kept_start"]) for r in got.collect()] == [(2, 0, len(line), 1, 7)]
+    cleaned = {r["doc_id"]: r["text"] for r in substring_dedup.without_spans(docs, got).collect()}
+    assert cleaned == {1: f"Intro. {line}\nOwn words of one, and only one, document.", 2: " tail", 3: None, 4: ""}
+
+
+# ------------------------------------------------------------------ 2
+
+
+def brute_components(texts):
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w)} if 0 < len(w) < 5 else {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(texts)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def test_near_duplicates_lose_no_link(spark):
+    rng = random.Random(1)
+    texts, i = {}, 0
+    passage = [f"p{k}" for k in range(40)]
+    for size in (1, 2, 3, 4, 5, 6, 7, 8, 9, 12, 15, 20, 23, 30, 60, 64, 70, 130, 200, 260, 300):
+        for _ in range(3):
+            base = [f"w{rng.randrange(10_000)}" for _ in range(size)]
+            for _ in range(5):
+                copy = list(base)
+                for _ in range(rng.randrange(0, 1 + size // 30 + 1)):
+                    copy[rng.randrange(len(copy))] = f"v{rng.randrange(10_000)}"
+                if rng.random() < 0.3:
+                    copy += [f"u{rng.randrange(10_000)}" for _ in range(max(1, size // 8))]
+                if rng.random() < 0.2:
+                    copy += passage
+                texts[i] = " ".join(copy)
+                i += 1
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(7)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in parity_join.near_duplicates(docs, sample_docs=50, often=3).collect()}
+    assert got == brute_components(texts)
+
+
+def test_near_duplicates_awkward(spark):
+    rows = parity_join.near_duplicates(awkward(spark)).collect()
+    assert len(rows) == len(AWKWARD) + 2
+    by = {r["doc_id"]: r for r in rows}
+    assert by[0]["n_shingles"] == by[1]["n_shingles"] == by[2]["n_shingles"] == 0
+    assert by[5]["component_id"] == 4 and by[None]["component_id"] is None and by[7]["n_shingles"] == 2
+    assert parity_join.near_duplicates(awkward(spark, [])).count() == 0
+    assert parity_join.one_of_each(awkward(spark)).where("doc_id = 5").count() == 0
+
+
+def test_components(spark):
+    links = [(1, 2), (3, 2), (4, 4), (9, 7), (7, 8), (10, 9)]
+    got = components.components(spark.createDataFrame(links, "a long, b long"))
+    assert {r["node"]: r["root"] for r in got.collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, 10: 7}
+
+
+# ------------------------------------------------------------------ 3
+
+
+def test_fit_lengths_hits_the_budget():
+    rng = random.Random(3)
+    for _ in range(50):
+        lengths = sorted({rng.randrange(0, 60) for _ in range(12)})
+        counts = [rng.randrange(1, 9) for _ in lengths]
+        total = sum(a * b for a, b in zip(lengths, counts))
+        budget = rng.randrange(0, total + 1)
+        take = mixing.fit_lengths(lengths, counts, budget)
+        assert all(0 <= t <= c for t, c in zip(take, counts))
+        sums = {0}
+        for n, c in zip(lengths, counts):
+            sums = {x + n * k for x in sums for k in range(c + 1)}
+        assert abs(budget - sum(a * t for a, t in zip(lengths, take))) == min(abs(budget - x) for x in sums)
+        near = mixing.fit_lengths(lengths, counts, budget, window=40)
+        assert all(0 <= t <= c for t, c in zip(near, counts)) and abs(budget - sum(a * t for a, t in zip(lengths, near))) <= max(lengths)
+
+
+def test_targets_stop_at_most(spark):
+    sized = spark.createDataFrame([("a", 10), ("b", 100), (None, 1000), ("c", 0)], "source string, size long")
+    got = {r["source"]: r["target"] for r in mixing.source_targets(sized, [5, 2, 1], 1.5, 2.0).collect()}
+    assert got["a"] == 20 and got["b"] == 200 and got["c"] == 0 and math.isclose(got[None], 1.5 * 1110 - 220)
+
+
+def test_mix_near_targets_and_the_same_again(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    run = lambda: {tuple(r) for r in mixing.mix(docs.repartition(random.randrange(1, 6)), [5, 2, 1], lane_rows=4).select("doc_id", "source", "size", "target", "taken").collect()}
+    first = run()
+    assert first == run()
+    taken, target, sums = Counter(), {}, defaultdict(lambda: {0})
+    for _, source, size, t, k in first:
+        assert k in (0, size, 2 * size)
+        taken[source] += k
+        target[source] = t
+        sums[source] = {x + a for x in sums[source] for a in (0, size, 2 * size)}
+    assert all(abs(taken[s] - target[s]) <= 1 + 3 * min(abs(x - target[s]) for x in sums[s]) + 30 for s in target)
+
+
+def test_mix_awkward(spark):
+    rows = mixing.mix(awkward(spark), [5, 2, 1]).collect()
+    assert len(rows) == len(AWKWARD) + 2 and all(r["taken"] == r["copies"] * r["size"] for r in rows)
+    assert mixing.mix(awkward(spark, []), [5, 2, 1]).count() == 0
+
+
+# ------------------------------------------------------------------ 4
+
+
+def test_threshold_algorithm_is_exact():
+    rng = np.random.default_rng(2)
+    for n, d, low, high in ((1, 3, -5, 5), (50, 4, -2, 3), (300, 16, -300, 300), (200, 2, 0, 2)):
+        keys, x = rng.permutation(n) * 3, rng.integers(low, high, (n, d))
+        index = threshold_topk.SortedLists(keys, x)
+        for q in [*rng.integers(low, high, (5, d)), np.zeros(d, int)]:
+            rows, scores = index.top(int(keys[0]), q, 5)
+            want = sorted(((-int(x[i] @ q), int(keys[i])) for i in range(n) if keys[i] != keys[0]))[:5]
+            assert [(-int(s), int(index.keys[r])) for r, s in zip(rows, scores)] == want
+
+
+def vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in rng.normal(size=8)], "x", 1) for i in range(400)]
+    rows += [(400, None, None, None), (420, [1.0, None] + [0.0] * 6, None, None), (440, [float("nan")] * 8, None, None), (460, [float("inf")] * 8, None, None), (480, [0.0] * 8, None, None), (None, [1.0] * 8, None, None), (500, [1.0] * 3, None, None), (520, [], None, None), rows[40]]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>, key string, score int")
+
+
+def test_topk_awkward(spark):
+    got = threshold_topk.top_k(vectors(spark), F.col("key") % 50 == 0, k=5, block_rows=64, query_rows=3)
+    by = defaultdict(list)
+    for r in got.orderBy("query_id", "rank").collect():
+        by[r["query_id"]].append((r["vec_id"], r["score"]))
+    x = {r["vec_id"]: [math.floor(256 * v) for v in r["embedding"]] for r in vectors(spark).where("vec_id < 400").collect()} | {480: [0] * 8}
+    for q in range(0, 400, 50):
+        want = sorted((-sum(a * b for a, b in zip(x[q], x[i])), i) for i in x if i != q)[:5]
+        assert by[q] == [(i, -s) for s, i in want]
+    assert 400 not in by and 500 not in by
+    assert threshold_topk.top_k(vectors(spark).limit(0), F.col("key") % 50 == 0, k=5).count() == 0
+
+
+# ------------------------------------------------------------------ 5
+
+
+def test_secrets(spark):
+    token = "0123456789abcdef0123456789abcdef01234567"
+    texts = [f'set token = "{token[i:] + token[:i]}" and go on with ordinary words {i}' for i in range(40)] + ["plainwordsthatrunonandonandon 4465758382889437 number"] * 40 + [f"password: exampleexampleexample{i}1" for i in range(20)]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    found = secret_scan.scan(docs)
+    for r in found.collect():
+        assert texts[r["doc_id"]][r["start"] : r["start"] + r["length"]] == r["value"]
+    assert {r["doc_id"] for r in found.where("is_secret").collect()} == set(range(40))
+    cleaned = {r["doc_id"]: r["text"] for r in secret_scan.redacted(docs, found).collect()}
+    assert cleaned[0] == 'set token = "[SECRET]" and go on with ordinary words 0' and cleaned[41] == texts[41] and len(cleaned) == 100
+
+
+def test_secrets_awkward(spark):
+    odd = awkward(spark, [*AWKWARD, "x" * 50_000, "token = " + "a1" * 20 + "-" + "b2" * 30])
+    found = secret_scan.scan(odd)
+    assert {r["length"] for r in found.collect()} >= {50_000, 101}
+    assert secret_scan.redacted(odd, found).count() == odd.count()
+    assert secret_scan.scan(awkward(spark, [])).count() == 0
+
+
+# ------------------------------------------------------------------ 6
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rng = random.Random(6)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(400)]
+    rows, labels = [], []
+    for i in range(1500):
+        t = rng.choices(words, k=rng.randrange(5, 60))
+        toxic = rng.random() < 0.2
+        if toxic:
+            for _ in range(rng.randrange(1, 4)):
+                t.insert(rng.randrange(len(t)), rng.choice(["vileword", "foulword", "badmouth"]))
+        rows.append((i, " ".join(t)))
+        labels.append((i, int(toxic)))
+    docs, y = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, y, F.col("doc_id") % 5 != 0)
+    got = {r["doc_id"]: r["score"] for r in model.score(docs).collect()}
+    held = [(got[i] >= 0.5) == bool(t) for i, t in labels if i % 5 == 0]
+    assert sum(held) / len(held) > 0.97 and all(0 <= s <= 1 for s in got.values())
+    assert model.clean(docs).count() == sum(s < 0.5 for s in got.values())
+
+
+def test_toxicity_awkward(spark):
+    odd = awkward(spark)
+    none = spark.createDataFrame([(1, None), (None, 1), (2, 7)], "doc_id long, toxic int")
+    assert {r["score"] for r in toxicity.fit(odd, none, F.lit(True)).score(odd).collect()} == {0.0}
+    both = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, toxic int")
+    assert toxicity.fit(odd, both, F.lit(True)).score(odd).count() == odd.count()
+    assert toxicity.features("", toxicity.Lexicon({})) == [0.0] * len(toxicity.FEATURES)
+
+
+# ------------------------------------------------------------------ 7
+
+
+def test_recall_of_learned_partitions(spark):
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=(12, 16))
+    x = centre[rng.integers(0, 12, 3000)] + 0.4 * rng.normal(size=(3000, 16))
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in learned_partitions.search(df, F.col("key") % 20 == 0, k=20, block_rows=100).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    hits = 0
+    for q in range(0, 3000, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        want = set(np.argsort(-s, kind="stable")[:20].tolist())
+        hits += len(want & {i for i, _ in got[q]})
+        assert len(got[q]) == 20 and all(abs(v - s[i]) < 1e-9 for i, v in got[q]) and got[q] == sorted(got[q], key=lambda r: (-r[1], r[0]))
+    assert hits / (20 * 150) >= 0.9
+
+
+def test_balanced_parts():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(500, 6))
+    parts = learned_partitions.balanced_parts(x, learned_partitions.nearest(x, np.arange(500), 10), 7)
+    assert max(Counter(parts.tolist()).values()) <= -(-500 // 7)
+
+
+def test_search_awkward(spark):
+    got = learned_partitions.search(vectors(spark), F.col("key") % 20 == 0, k=20)
+    ids = {r["query_id"] for r in got.select("query_id").distinct().collect()}
+    assert ids == set(range(0, 400, 20))
+    assert learned_partitions.search(vectors(spark).limit(0), F.col("key") % 20 == 0, k=20).count() == 0
+
+
+# ------------------------------------------------------------------ 8
+
+
+def test_globs():
+    globs = ["*", "a*b", "?c?", "\\*x", "", "ab" * 50 + "*", "*z"]
+    texts = ["", "ab", "aXXb", "xcx", "*x", "ax", "ab" * 50, "ab" * 49, "zz", "a*b"]
+    import fnmatch
+    import re
+
+    plain = ["*", "a*b", "?c?", "[*]x", "", "ab" * 50 + "*", "*z"]
+    got = url_rules.GlobAutomaton(globs).run([t.encode() for t in texts])
+    want = [[bool(re.match(fnmatch.translate(g), t)) for g in plain] for t in texts]
+    assert got.tolist() == want
+
+
+def test_urls_awkward(spark):
+    urls = [None, "", "x.net/a", "http://A.NET", "http://a.net/", "http://net/x?y#z", "http://example.net/en/1", "ftp://q.Example.com/de/", "http://hornet/x", "http://a.org/x.net/", "http://b.org#/fr/", "http://" + "a" * 100_000 + ".net/"]
+    pages = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_rules.judge_urls(pages, URL_RULES).collect()}
+    rules = [None, None, None, None, "net/", "net/", "example.net/en/", "example.com/de/", None, None, None, "net/"]
+    assert [got[i][0] for i in range(len(urls))] == rules
+    assert got[4][1] == "block" and got[6][1] == "allow" and got[0][1] == "allow"
+    assert url_rules.judge_urls(pages.limit(0), URL_RULES).count() == 0 and url_rules.judge_urls(pages, []).count() == len(urls)
+
+
+# ------------------------------------------------------------------ 9
+
+
+def test_packing_round_trip(spark):
+    docs = awkward(spark)
+    rows = packing.pack_documents(docs, *tokenizer_files(), size=64).collect()
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(tokenizer_files()[0])
+    ids = {i: slow.encode(t or "", add_special_tokens=False).ids + [0] for i, t in enumerate(AWKWARD)}
+    places, covered = defaultdict(list), Counter()
+    for r in rows:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+        if r["doc_id"] is not None:
+            part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+            covered[r["doc_id"]] += len(part)
+            assert zlib.crc32(np.asarray(part, "<u4").tobytes()) == r["ids_crc32"]
+            assert r["piece"] == 0 or r["length"] == 64
+    for spans in places.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 64
+    assert all(covered[i] == len(x) * (2 if i == 4 else 1) for i, x in ids.items())
+    assert packing.pack_documents(awkward(spark, []), *tokenizer_files()).count() == 0
+
+
+def test_fast_ids_are_the_slow_ones():
+    fast, slow = packing.Encoder(*tokenizer_files()), packing.Encoder(tokenizer_files()[0], None)
+    rng = random.Random(9)
+    alphabet = "abcXYZ  \n\t'éß12.,!?-_<|> \u0085½²"
+    for _ in range(500):
+        t = "".join(rng.choices(alphabet, k=rng.randrange(0, 40)))
+        assert fast.encode(t) == slow.encode(t)
+    assert fast.encode("a<|endoftext|>b") == slow.encode("a<|endoftext|>b")
+
+
+def test_best_fit_bins():
+    rng = random.Random(10)
+    bins, held = packing.OpenBins(100, 8), defaultdict(int)
+    for _ in range(3000):
+        n = rng.randrange(1, 101)
+        b, offset = bins.place(n)
+        assert held[b] == offset and offset + n <= 100
+        held[b] += n
+        assert bins.count <= 8
+    assert sum(held.values()) / (100 * len(held)) > 0.9
+
+
+# ------------------------------------------------------------------ 10
+
+
+def test_lm_counts_and_gain(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    rows = docs.select("doc_id", "text").collect()
+    counts = Counter()
+    for r in rows:
+        if not held(r["doc_id"]):
+            counts.update(recurrent_lm.tokens(r["text"]) + [recurrent_lm.END])
+    n, v = sum(counts.values()), len(counts)
+    got = {r["doc_id"]: r for r in recurrent_lm.score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, frequent=500, shortlist=64).collect()}
+    base = score = 0.0
+    for r in rows:
+        w = recurrent_lm.tokens(r["text"]) + [recurrent_lm.END]
+        g = got[r["doc_id"]]
+        want = sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w)
+        assert math.isclose(g["base_score"], want, rel_tol=1e-9) and g["n_known"] == sum(counts[x] > 0 for x in w) and g["n_tokens"] == len(w) and g["train_tokens"] == n
+        if held(r["doc_id"]):
+            base, score = base + g["base_score"], score + g["score"]
+    assert score > base
+
+
+def test_lm_is_a_distribution():
+    """The shares of all known words and one unknown for each tail class sum to one at every step."""
+    words = [f"w{i}".encode() for i in range(30)] + [recurrent_lm.END]
+    counts = np.arange(31, 0, -1)
+    tails, short = 4, 8
+    total = np.ones(tails)
+    for w, c in list(zip(words, counts))[short:]:
+        total[recurrent_lm.tail_class(w, tails)] += c + 1
+    words.insert(0, words.pop())
+    counts = np.concatenate([counts[-1:], counts[:-1]])
+    total = np.ones(tails)
+    for w, c in list(zip(words, counts))[short:]:
+        total[recurrent_lm.tail_class(w, tails)] += c + 1
+    vocab = recurrent_lm.Vocabulary(words, counts, short, 3, tails, total, int(counts.sum()), 31)
+    net = recurrent_lm.GatedNetwork(vocab, 5)
+    net.train([vocab.encode([words[i % 31] for i in range(1, 200)])[:3]], lanes=2, window=8)
+    h = np.random.default_rng(0).normal(size=(1, 5)).astype(np.float32)
+    mass = 0.0
+    for i in range(31):
+        at, _, classes, _ = vocab.encode([words[i]])
+        lp = float(net.log_probs(h, classes[:1], at[:1])[0])
+        mass += math.exp(lp) * ((counts[i] + 1) / total[classes[0] - 3] if i >= short else 1)
+    for k in range(tails):
+        mass += math.exp(float(net.log_probs(h, np.array([3 + k]), np.array([-1]))[0])) / total[k]
+    assert abs(mass - 1) < 1e-4
+
+
+def test_lm_gradients():
+    words = [recurrent_lm.END, b"a", b"b", b"c", b"d"]
+    vocab = recurrent_lm.Vocabulary(words, np.array([5, 4, 3, 2, 1]), 4, 2, 3, np.array([2.0, 2.0, 3.0]), 15, 5)
+    net = recurrent_lm.GatedNetwork(vocab, 3)
+    net.p = [p.astype(np.float64) for p in net.p]
+    h, classes, at = np.random.default_rng(1).normal(size=(6, 3)), vocab.class_of[[0, 1, 2, 3, 4, 1]], np.array([0, 1, 2, 3, 4, 1])
+    out = net.log_probs(h, classes, at, grads=True)
+    for i, g in ((2, out[2]), (3, out[3]), (4, out[4]), (5, out[5])):
+        for j in range(min(4, net.p[i].size)):
+            old = net.p[i].flat[j]
+            net.p[i].flat[j] = old + 1e-6
+            up = net.log_probs(h, classes, at).sum()
+            net.p[i].flat[j] = old
+            assert abs((out[0].sum() - up) / 1e-6 - g.flat[j]) < 1e-4
+
+
+def test_lm_awkward(spark):
+    odd = awkward(spark)
+    got = recurrent_lm.score(odd, F.lit(True), frequent=3, shortlist=2).collect()
+    assert len(got) == odd.count() and all(r["score"] <= 0 and r["n_known"] == r["n_tokens"] for r in got)
+    none = recurrent_lm.score(odd, F.lit(False)).collect()
+    assert len(none) == odd.count() and all(r["score"] == r["base_score"] == 0.0 for r in none)
+
+
+# ------------------------------------------------------------------ pipeline
+
+
+def test_pipeline_stage_by_stage(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    toxic = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 1").collect()}
+    columns = docs.columns
+    clean = corpus_pipeline.stash(corpus_pipeline.drop_toxic(spark, docs, SF))
+    assert clean.columns == columns and clean.count() > 0.8 * docs.count()
+    assert toxic or clean.count()
+    kept = corpus_pipeline.stash(corpus_pipeline.drop_near_duplicates(spark, clean, SF))
+    want = brute_components({r["doc_id"]: r["text"] for r in clean.collect()})
+    assert {r["doc_id"] for r in kept.collect()} == {c for _, c in want.values()}
+    safe = corpus_pipeline.stash(corpus_pipeline.redact_secrets(spark, kept, SF))
+    assert safe.columns == columns and safe.count() == kept.count()
+    mixed = corpus_pipeline.stash(corpus_pipeline.mix_sources(spark, safe, SF))
+    times = Counter(r["doc_id"] for r in mixed.collect())
+    plan = {r["doc_id"]: r["copies"] for r in mixing.mix(safe, [5, 2, 1]).collect() if r["copies"]}
+    assert mixed.columns == columns and dict(times) == plan
+    packed = corpus_pipeline.pack(spark, mixed, SF)
+    assert json.dumps(sorted(packed.columns)) == json.dumps(sorted(["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]))
+    assert packed.where("piece = 0").count() == mixed.count()
