@@ -11,9 +11,10 @@ first d + 1 filled words, in an order common to all, must meet those of the othe
 These are the join keys.  Bands span a factor of four; sets near a border also join in a
 band around it.
 
-The common order puts words last whose shingles were all seen often in a bounded sample of
-documents.  That keeps passages that many documents share out of the keys.  It is an order
-only: what the sample has or lacks changes the work, never the links.
+The common order puts words last whose shingles are shared by documents that are read
+together in a task, marked in a bitmap of bounded size.  That keeps passages that many
+documents share out of the keys.  It is an order only: what the bitmap has or lacks changes
+the work, never the links.
 
 Candidates must pass a second, finer sketch, of about one bit for each shingle, before their
 texts are compared.  They are grouped without listing all pairs of a group: each member is
@@ -38,13 +39,17 @@ from .textnum import mix, set_digests, shingle_sets, slices
 _GROWTH = 4
 
 
+def _marked(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the bit of each hash is set; `bitmap` has a power of two of bits."""
+    p = h & np.uint64(8 * len(bitmap) - 1)
+    return (bitmap[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def _keys(h: np.ndarray, per: np.ndarray, hot: np.ndarray, t: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(index of set, join key) of all sets; t: the similarity as a fraction."""
+    """(index of set, join key) of all sets; hot: bitmap of common shingles; t: the similarity as a fraction."""
     num, den = t
     text = np.repeat(np.arange(len(per)), per)
-    common = np.zeros(len(h), bool)
-    if len(hot):
-        common = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+    common = _marked(hot, h)
     out_text, out_key = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
     top = int(per.max(initial=0))
     low, band = 1, 0
@@ -140,21 +145,38 @@ def _folded(sketch: bytes, size: int) -> int:
     return v
 
 
-def _often(docs: DataFrame, members: DataFrame, key: str, text: str, width: int, sample_docs: int, often: int) -> np.ndarray:
-    """Shingles of at least `often` documents of a sample of about `sample_docs`."""
-    share = max(1, members.count() // sample_docs)
-    sample = docs.where(F.pmod(F.xxhash64(F.col(key)), F.lit(share)) == 0)
+def _often(docs: DataFrame, text: str, width: int, often: int, bits: int, held: int = 1 << 22) -> np.ndarray:
+    """Bitmap of the shingles that at least `often` documents are seen to share.
+
+    A task counts what it holds of about `held` shingles at a time and passes on only those
+    seen twice, so next to nothing is shuffled; a passage of many documents is seen in some
+    task, one of few costs little where it is missed.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def shared(parts: list[np.ndarray]) -> pa.RecordBatch:
+            h, c = np.unique(np.concatenate(parts), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[c > 1].view(np.int64)), pa.array(c[c > 1], pa.int64())], names=["h", "c"])
+
+        parts, size = [], 0
         for batch in batches:
             for lo, n in slices(batch.column(0)):
-                h, _ = shingle_sets(batch.column(0).slice(lo, n), width)
-                value, count = np.unique(h, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(count, pa.int64())], names=["h", "c"])
-
-    counted = sample.select(F.col(text)).mapInArrow(read, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= often)
-    rows = counted.select("h").toPandas()["h"].to_numpy(np.int64)
-    return np.sort(rows.view(np.uint64))
+                parts.append(shingle_sets(batch.column(0).slice(lo, n), width)[0])
+                size += len(parts[-1])
+                if size > held:
+                    yield shared(parts)
+                    parts, size = [], 0
+        if parts:
+            yield shared(parts)
+
+    seen = docs.select(F.col(text)).mapInArrow(read, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= often)
+    # rows of 2^15 bits each; as many as the bitmap has, however many shingles there are
+    p = seen.select(F.col("h").bitwiseAND(F.lit((1 << bits) - 1)).alias("p")).select(F.shiftright("p", 15).alias("row"), (F.col("p").bitwiseAND(F.lit((1 << 15) - 1)) + 1).alias("bit"))
+    rows = p.groupBy("row").agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+    bitmap = np.zeros(1 << (bits - 3), np.uint8)
+    for r in rows:
+        bitmap[r["row"] * 4096 : (r["row"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return bitmap
 
 
 def _buckets(docs: DataFrame, key: str, text: str, width: int, t: tuple[int, int], hot: np.ndarray) -> DataFrame:
@@ -256,7 +278,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, t: tuple[int, int]
     return met.select("id", "a", "g", "role", "text").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: tuple[int, int] = (3, 4), hub_rounds: int = 2, sample_docs: int = 20_000, often: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: tuple[int, int] = (3, 4), hub_rounds: int = 3, often: int = 3, order_bits: int = 25) -> DataFrame:
     """(key, n_shingles, component_id) of every row of `docs`.
 
     Two documents link when their sets of `width`-word shingles share at least `similarity`
@@ -273,14 +295,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     reps = stash(reps)
     sketches = reps.select(F.col("rep").alias("id"), "n", "sketch")
     of = stash(members.where("n > 0 and id is not null").join(reps.select("n", "digest", "rep"), ["n", "digest"]).groupBy("id").agg(F.min("rep").alias("rep")))
-    hot = _often(docs, members, key, text, width, sample_docs, often)
+    hot = _often(docs, text, width, often, order_bits)
     # by representative: keys held by copies of one set alone drop out
     buckets = stash(_shared(_buckets(docs, key, text, width, similarity, hot).join(of, "id").select("sig", F.col("rep").alias("id"))))
 
+    own = of.select(F.col("rep").alias("id")).distinct()
     tried = links = None
-    label = None
+    label = own.withColumn("root", F.col("id"))
     for step in range(hub_rounds + 1):
-        if label is None:
+        if step == 0:
             near = buckets.where("hub <> id").select(F.col("hub").alias("a"), F.col("id").alias("b"))
         else:
             named = buckets.join(label, "id").select("sig", "id", "root")
@@ -288,26 +311,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             named = stash(named.join(open_.select("sig", "hub"), "sig"))
             near = named.where("root <> hub.root").select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
         if step < hub_rounds:
-            # each member with the one hub that it shares most keys with, of those its sketch allows
+            # each member with the one hub that it shares most keys with, of those not tried yet
+            near = near if tried is None else near.join(tried, ["a", "b"], "left_anti")
             shared = near.groupBy("a", "b").agg(F.count("*").alias("keys"))
-            allowed = _near(stash(shared), sketches, similarity).join(shared, ["a", "b"])
-            pairs = allowed.groupBy("b").agg(F.max_by("a", F.struct("keys", -F.col("a"))).alias("a")).select("a", "b")
+            chosen = shared.groupBy("b").agg(F.max_by("a", F.struct("keys", -F.col("a"))).alias("a")).select("a", "b")
         else:
             # whatever is still apart: the pairs of members of different components, by key
             left = named.select("sig", F.col("id").alias("a"), F.col("root").alias("root_a"))
             right = named.select("sig", F.col("id").alias("b"), F.col("root").alias("root_b"))
-            pairs = _near(left.join(right, "sig").where("root_a < root_b").select("a", "b").distinct(), sketches, similarity)
-        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stash(pairs)
-        if not pairs.isEmpty():
-            ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-            found = stash(_verified(pairs, stash(_texts(docs, ids, key, text)), width, similarity))
-            tried = pairs if tried is None else tried.unionByName(pairs)
-            links = found if links is None else links.unionByName(found)
-        if links is None:
-            break
-        label = stash(of.select(F.col("rep").alias("id")).distinct().join(components(links).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root")))
-    named = of if label is None else of.join(label.withColumnRenamed("id", "rep"), "rep").select("id", F.col("root").alias("rep"))
+            chosen = left.join(right, "sig").where("root_a < root_b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+        chosen = stash(chosen)
+        tried = chosen if tried is None else tried.unionByName(chosen)
+        pairs = stash(_near(chosen, sketches, similarity))
+        if pairs.isEmpty():
+            continue
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        found = stash(_verified(pairs, stash(_texts(docs, ids, key, text)), width, similarity))
+        links = found if links is None else links.unionByName(found)
+        label = stash(own.join(components(links).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root")))
+    named = of.join(label.withColumnRenamed("id", "rep"), "rep").select("id", F.col("root").alias("rep"))
     out = members.select("id", "n").join(named.withColumnRenamed("rep", "component_id"), "id", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
