@@ -91,7 +91,7 @@ def test_near_duplicates_lose_no_link(spark):
                 texts[i] = " ".join(copy)
                 i += 1
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(7)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in parity_join.near_duplicates(docs, sample_docs=50, often=3).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in parity_join.near_duplicates(docs, often=2, order_bits=16).collect()}
     assert got == brute_components(texts)
 
 
