@@ -256,3 +256,28 @@ def a8_ledger_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = projected(spark, sf_dir, "t_texts")
     return t.select("id", F.array_join(text.template_variables("template"), ",").alias("variables"), text.redacted("secret_text").alias("redacted"), text.safe_link("url").alias("link"))
+
+
+_QUESTIONS = """SELECT doc_id, turn AS question_id, CASE turn % 6 WHEN 0 THEN 'Where does retrieval happen?' WHEN 1 THEN concat('If the N', CAST(turn AS STRING), ' fails, what then?')
+    WHEN 2 THEN 'Which tools can agents call?' WHEN 3 THEN 'Please find missing error handling' WHEN 4 THEN concat('Describe step-', CAST(turn AS STRING), '?') ELSE 'How many parts are there?' END AS question FROM w_turns"""
+
+
+@query(f"""WITH RECURSIVE {duck('w_turns', 'w_nodes', 'w_edges', 'w_failures')}, {_FIRST}, q AS ({_QUESTIONS}),
+    targets AS (SELECT doc_id, 'n' || question_id AS id FROM q WHERE question_id % 6 = 1), reach AS (
+      SELECT doc_id, id AS failed, id FROM targets UNION SELECT t.doc_id, t.id, e.source FROM targets t JOIN w_edges e ON e.doc_id = t.doc_id AND e.target = t.id AND e.type IN ('retrieves', 'uses')
+      UNION SELECT r.doc_id, r.failed, e.target FROM reach r JOIN w_edges e ON e.doc_id = r.doc_id AND e.source = r.id),
+    hit AS (SELECT r.doc_id, r.failed, n.id, n.ord FROM (SELECT DISTINCT * FROM reach) r JOIN w_nodes n ON n.doc_id = r.doc_id AND n.id = r.id WHERE r.failed <> r.id),
+    ends AS (SELECT doc_id, source AS id FROM w_edges WHERE type = 'retrieves' UNION SELECT doc_id, target FROM w_edges WHERE type = 'retrieves'),
+    rag AS (SELECT DISTINCT doc_id, id FROM w_nodes n WHERE type IN ('retriever', 'vector_store') OR EXISTS (SELECT 1 FROM ends e WHERE e.doc_id = n.doc_id AND e.id = n.id)),
+    walk AS (SELECT doc_id, id AS agent, id, 'seed' AS type FROM fn WHERE type = 'agent' UNION SELECT r.doc_id, r.agent, n.id, n.type FROM walk r JOIN w_edges e ON e.doc_id = r.doc_id AND e.source = r.id JOIN fn n ON n.doc_id = e.doc_id AND n.id = e.target WHERE r.type <> 'agent' AND n.id <> r.agent),
+    used AS (SELECT doc_id, agent AS id FROM walk WHERE type = 'tool' UNION SELECT doc_id, id FROM walk WHERE type = 'tool'),
+    bad AS (SELECT DISTINCT doc_id, carrier_id AS id FROM w_failures WHERE handled = FALSE OR (handled IS NULL AND coalesce(handler_node, '') = ''))
+    SELECT q.doc_id, q.question_id, CASE question_id % 6 WHEN 0 THEN 'rag' WHEN 1 THEN 'impact' WHEN 2 THEN 'tools' WHEN 3 THEN 'failures' WHEN 4 THEN NULL ELSE 'summary' END AS matched,
+      CAST(CASE question_id % 6 WHEN 0 THEN (SELECT count(*) FROM rag r WHERE r.doc_id = q.doc_id) WHEN 1 THEN (SELECT CASE WHEN count(*) = 0 THEN 0 ELSE 1 + count(DISTINCT id) END FROM hit h WHERE h.doc_id = q.doc_id AND h.failed = 'n' || q.question_id)
+        WHEN 2 THEN (SELECT count(*) FROM used u WHERE u.doc_id = q.doc_id) WHEN 3 THEN (SELECT count(*) FROM bad b WHERE b.doc_id = q.doc_id) ELSE 0 END AS BIGINT) AS cited FROM q""")
+def q_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.operators import questions
+
+    projected(spark, sf_dir, "w_turns").createOrReplaceTempView("w_turns")
+    found = questions.answers(spark.sql(_QUESTIONS), small(spark, sf_dir))
+    return found.select("doc_id", "question_id", "matched", F.size(F.array_distinct("cites")).cast("long").alias("cited"))
