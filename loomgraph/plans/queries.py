@@ -281,3 +281,17 @@ def q_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     projected(spark, sf_dir, "w_turns").createOrReplaceTempView("w_turns")
     found = questions.answers(spark.sql(_QUESTIONS), small(spark, sf_dir))
     return found.select("doc_id", "question_id", "matched", F.size(F.array_distinct("cites")).cast("long").alias("cited"))
+
+
+@query()
+def y4_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.operators import layout
+
+    return layout.laid_out(projected(spark, sf_dir, "w_nodes"), projected(spark, sf_dir, "w_edges"))
+
+
+@query()
+def k5_drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.operators import sinks
+
+    return sinks.svg(projected(spark, sf_dir, "w_nodes"), projected(spark, sf_dir, "w_edges"))
