@@ -19,8 +19,9 @@ the work, never the links.
 Candidates must pass a second, finer sketch, of about one bit for each shingle, before their
 texts are compared.  They are grouped without listing all pairs of a group: each member is
 first compared with one other, the one that it shares most keys with, the texts meeting in
-groups of bounded size; members found in one component need no more comparisons, and only
-pairs of different components that still share a key are compared in the end.
+groups of bounded size; members found in one component need no more comparisons, and of
+those that still share a key and are apart, blocks of bounded size meet in the end and only
+pairs that their sketches allow leave them.
 """
 
 from __future__ import annotations
@@ -136,6 +137,73 @@ def _near(pairs: DataFrame, sketches: DataFrame, t: tuple[int, int]) -> DataFram
     return met.mapInArrow(sift, "a long, b long")
 
 
+def _apart(members: DataFrame, sketches: DataFrame, t: tuple[int, int], block: int = 512) -> DataFrame:
+    """The pairs (a, b) of `members` (sig, id, root) that share a key, have different roots, and may link.
+
+    The members of a key meet in blocks of about `block`, two blocks in a task at a time, and
+    only pairs that their sizes and sketches allow leave it.
+    """
+    num, den = t
+    blocks = members.groupBy("sig").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    full = members.join(blocks, "sig").join(sketches, "id").withColumn("own", F.pmod(F.xxhash64("id", F.lit(31)), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = full.withColumn("other", other).select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "n", "sketch")
+
+    def compare(ids: np.ndarray, roots: np.ndarray, n: np.ndarray, own: np.ndarray, sketch: list[bytes]) -> list[tuple[int, int]]:
+        found: list[tuple[int, int]] = []
+        size = np.array([len(x) for x in sketch])
+        cross = len(np.unique(own)) > 1  # two blocks: only pairs between them, each block has met itself
+        for la in np.unique(size):
+            for lb in np.unique(size[(size >= la) & (size <= 2 * la)]):
+                xa, xb = np.flatnonzero(size == la), np.flatnonzero(size == lb)
+                ma = np.frombuffer(b"".join(sketch[i] for i in xa), np.uint8).reshape(len(xa), la)
+                mb = np.frombuffer(b"".join(sketch[i] for i in xb), np.uint8).reshape(len(xb), lb)
+                if lb > la:
+                    mb = mb[:, :la] ^ mb[:, la:]
+                some = max(1, (1 << 24) // max(1, len(xb) * int(la)))
+                for lo in range(0, len(xa), some):
+                    part = xa[lo : lo + some]
+                    apart = np.bitwise_count(ma[lo : lo + some, None, :] ^ mb[None, :, :]).sum(axis=2, dtype=np.int64)
+                    total = n[part][:, None] + n[xb][None, :]
+                    near = (apart <= total * (den - num) // (den + num)) & (roots[part][:, None] != roots[xb][None, :])
+                    near &= np.minimum(n[part][:, None], n[xb][None, :]) * den >= np.maximum(n[part][:, None], n[xb][None, :]) * num
+                    if cross:
+                        near &= own[part][:, None] != own[xb][None, :]
+                    for x, y in zip(*np.nonzero(near), strict=True):
+                        u, v = int(ids[part[x]]), int(ids[xb[y]])
+                        found.append((min(u, v), max(u, v)))
+        return found
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last: tuple[int, int, int] | None = None
+
+        def done() -> pa.RecordBatch:
+            group = pa.Table.from_batches(held)
+            col = lambda i: group.column(i).to_numpy()
+            found = sorted(set(compare(col(4), col(5), col(6), col(3), group.column(7).to_pylist()))) if len(group) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(i).to_numpy() for i in range(3)]
+            change = np.flatnonzero((keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]) | (keys[2][1:] != keys[2][:-1])) + 1
+            edges = [0, *change.tolist(), batch.num_rows]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                now = tuple(int(k[lo]) for k in keys)
+                if last is not None and now != last:
+                    yield done()
+                    held.clear()
+                last = now
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield done()
+
+    met = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    return met.mapInArrow(sift, "a long, b long").distinct()
+
+
 def _folded(sketch: bytes, size: int) -> int:
     """The sketch of the same set with `size` bytes."""
     v, n = int.from_bytes(sketch, "little"), len(sketch)
@@ -316,13 +384,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             shared = near.groupBy("a", "b").agg(F.count("*").alias("keys"))
             chosen = shared.groupBy("b").agg(F.max_by("a", F.struct("keys", -F.col("a"))).alias("a")).select("a", "b")
         else:
-            # whatever is still apart: the pairs of members of different components, by key
-            left = named.select("sig", F.col("id").alias("a"), F.col("root").alias("root_a"))
-            right = named.select("sig", F.col("id").alias("b"), F.col("root").alias("root_b"))
-            chosen = left.join(right, "sig").where("root_a < root_b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+            # whatever is still apart: the pairs of members of different components, sifted where they meet
+            chosen = _apart(named.select("sig", "id", "root"), sketches, similarity).join(tried, ["a", "b"], "left_anti")
         chosen = stash(chosen)
         tried = chosen if tried is None else tried.unionByName(chosen)
-        pairs = stash(_near(chosen, sketches, similarity))
+        pairs = stash(_near(chosen, sketches, similarity)) if step < hub_rounds else chosen
         if pairs.isEmpty():
             continue
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
