@@ -9,9 +9,10 @@ with one more share for words never seen.  So the words known grow with the corp
 network does not.
 
 Word counts cover all training documents.  The network is trained by truncated
-backpropagation in two rounds: on one sample of `first_words` words at most, then in every
-task on up to `task_words` words of its own documents (spread over the task), after which
-the weights are averaged; so the words trained on grow with the corpus as its tasks do.
+backpropagation in two rounds: on one sample of `first_words` words at most, from which all
+tasks start, then in every task once over every word of all its documents, after which the
+weights are averaged by words read; so the network reads every training word however the
+input is split.
 Weights meet element by element in a grouped sum, and only one set returns to the driver.
 
 Counts of the `frequent` most frequent words go to every task; the words beyond meet their
@@ -205,48 +206,119 @@ class GatedNetwork:
         lanes = max(1, min(lanes, len(at) // window))
         length = len(at) // lanes
         at, classes, previous = (a[: lanes * length].reshape(lanes, length) for a in (at, classes, previous))
-        m, v = [np.zeros_like(p) for p in self.p], [np.zeros_like(p) for p in self.p]
         steps, total = 0, epochs * -(-length // window)
-        k, u = self.h, self.p[1]
+        adam = Adam(self)
         for _ in range(epochs):
-            h = np.zeros((lanes, k), np.float32)
+            h = np.zeros((lanes, self.h), np.float32)
             for t0 in range(0, length, window):
-                span = range(t0, min(t0 + window, length))
-                past, hidden = [], []
-                for t in span:
-                    x = previous[:, t]
-                    h = np.where((x == self.v.start)[:, None], np.float32(0), h)
-                    new, z, r, n, gn = self.step(x, h)
-                    past.append((x, h, z, r, n, gn))
-                    hidden.append(new)
-                    h = new
-                flat_c, flat_w = classes[:, span.start : span.stop].T.ravel(), at[:, span.start : span.stop].T.ravel()
-                _, dh_all, dwc, dbc, dwo, dbo = self.log_probs(np.concatenate(hidden), flat_c, flat_w, grads=True)
-                dh_all = dh_all.reshape(len(span), lanes, k)
-                dtable, du = np.zeros_like(self.p[0]), np.zeros_like(u)
-                carry = np.zeros((lanes, k), np.float32)
-                for i in range(len(span) - 1, -1, -1):
-                    x, h0, z, r, n, gn = past[i]
-                    d = dh_all[i] + carry
-                    pn = d * (1 - z) * (1 - n * n)
-                    pz = d * (h0 - n) * z * (1 - z)
-                    pr = pn * gn * r * (1 - r)
-                    dg = np.concatenate([pz, pr, pn * r], axis=1)
-                    du += h0.T @ dg
-                    np.add.at(dtable, x, np.concatenate([pz, pr, pn], axis=1))
-                    carry = d * z + dg @ u.T
-                    carry[x == self.v.start] = 0
-                count = len(flat_c)
+                x, w, c = (a[:, t0 : t0 + window].T for a in (previous, at, classes))
                 steps += 1
-                now = rate * (1 - 0.9 * steps / total)
-                for i, g in enumerate((dtable, du, dwc, dbc, dwo, dbo)):
-                    g = np.clip(g / count, -0.1, 0.1)
-                    m[i] = 0.9 * m[i] + 0.1 * g
-                    v[i] = 0.99 * v[i] + 0.01 * g * g
-                    self.p[i] = (self.p[i] - now * (m[i] / (1 - 0.9**steps)) / (np.sqrt(v[i] / (1 - 0.99**steps)) + 1e-6)).astype(np.float32)
-                u = self.p[1]
+                h = adam.window(x, x == self.v.start, w, c, h, rate * (1 - 0.9 * steps / total))
         return lanes * length * epochs
 
+    def train_all(self, docs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], lanes: int = 128, window: int = 32, rate: float = 0.002, slow_after: int = 100, most: int = 1 << 16) -> int:
+        """As `train`, once over every word of a stream of documents of any length; words seen.
+
+        A lane reads a document to its end before it takes the next one, and holds no other;
+        state, weights and moments carry on from window to window.  Only documents of more
+        than `most` words are parted, so that lanes share them; a part starts without state.
+        """
+
+        def parts() -> Iterator[tuple[np.ndarray, ...]]:
+            for at, inputs, classes in docs:
+                previous = np.concatenate([[self.v.start], inputs[:-1]])
+                for lo in range(0, len(at), most):
+                    yield previous[lo : lo + most], at[lo : lo + most], classes[lo : lo + most]
+
+        source, adam, seen = parts(), Adam(self), 0
+        held: list[tuple[np.ndarray, ...] | None] = [None] * lanes
+        place = [0] * lanes
+        h = np.zeros((lanes, self.h), np.float32)
+        while held:
+            n = len(held)
+            x, w, c = np.full((n, window), self.v.start), np.zeros((n, window), np.int64), np.zeros((n, window), np.int64)
+            fresh, filled = np.zeros((n, window), bool), np.zeros(n, np.int64)
+            for i in range(n):
+                to = 0
+                while to < window:
+                    if held[i] is None:
+                        held[i], place[i] = next(source, None), 0
+                        if held[i] is None:
+                            break
+                        fresh[i, to] = True
+                    lo = place[i]
+                    some = min(window - to, len(held[i][0]) - lo)
+                    for a, b in zip((x, w, c), held[i], strict=True):
+                        a[i, to : to + some] = b[lo : lo + some]
+                    to, place[i] = to + some, lo + some
+                    if place[i] == len(held[i][0]):
+                        held[i] = None
+                filled[i] = to
+            count = int(filled.sum())
+            if count:
+                # windows of few words, where the stream ends, move the weights by their share of a full one
+                now = rate / math.sqrt(1 + adam.steps / slow_after) * count / (lanes * window)
+                h = adam.window(x.T, fresh.T, w.T, c.T, h, now, None if count == n * window else np.arange(window)[:, None] < filled)
+            seen += count
+            live = np.flatnonzero(filled == window)
+            if len(live) < n:
+                held, place, h = [held[i] for i in live], [place[i] for i in live], h[live]
+        return seen
+
+
+class Adam:
+    """Updates of a network's weights by windows of lanes; moments carry on between them."""
+
+    def __init__(self, net: GatedNetwork):
+        self.net, self.steps = net, 0
+        self.m, self.s = [np.zeros_like(p) for p in net.p], [np.zeros_like(p) for p in net.p]
+
+    def window(self, x: np.ndarray, fresh: np.ndarray, words: np.ndarray, classes: np.ndarray, h: np.ndarray, rate: float, valid: np.ndarray | None = None) -> np.ndarray:
+        """One update; arrays are (time, lane).  `fresh`: the state starts anew there; `valid`:
+        where there is a word, which only the ends of lanes lack.  The states at the end."""
+        net = self.net
+        k, u = net.h, net.p[1]
+        span, lanes = x.shape
+        past, hidden, before = [], np.empty((span, lanes, k), np.float32), np.empty((span, lanes, k), np.float32)
+        for t in range(span):
+            if fresh[t].any():
+                h = np.where(fresh[t][:, None], np.float32(0), h)
+            before[t] = h
+            h, z, r, n, gn = net.step(x[t], h)
+            past.append((z, r, n, gn))
+            hidden[t] = h
+        at = slice(None) if valid is None else np.flatnonzero(valid.ravel())
+        flat_c, flat_w = classes.ravel()[at], words.ravel()[at]
+        _, dh, dwc, dbc, dwo, dbo = net.log_probs(hidden.reshape(-1, k)[at], flat_c, flat_w, grads=True)
+        dh_all = np.zeros((span * lanes, k), np.float32)
+        dh_all[at] = dh
+        dh_all = dh_all.reshape(span, lanes, k)
+        din, dg = np.empty((span, lanes, 3 * k), np.float32), np.empty((span, lanes, 3 * k), np.float32)
+        carry = np.zeros((lanes, k), np.float32)
+        for t in range(span - 1, -1, -1):
+            z, r, n, gn = past[t]
+            d = dh_all[t] + carry
+            pn = d * (1 - z) * (1 - n * n)
+            pz = d * (before[t] - n) * z * (1 - z)
+            din[t, :, :k], din[t, :, k : 2 * k], din[t, :, 2 * k :] = pz, pn * gn * r * (1 - r), pn
+            dg[t, :, : 2 * k], dg[t, :, 2 * k :] = din[t, :, : 2 * k], pn * r
+            carry = d * z + dg[t] @ u.T
+            carry[fresh[t]] = 0
+        du = before.reshape(-1, k).T @ dg.reshape(-1, 3 * k)
+        flat_x = x.ravel()
+        order = np.argsort(flat_x, kind="stable")
+        begin = np.flatnonzero(np.diff(flat_x[order], prepend=-1))
+        dtable = np.zeros_like(net.p[0])
+        dtable[flat_x[order[begin]]] = np.add.reduceat(din.reshape(-1, 3 * k)[order], begin, axis=0)
+        self.steps += 1
+        low, high = np.float32(1 - 0.9**self.steps), np.float32(1 - 0.99**self.steps)
+        for i, g in enumerate((dtable, du, dwc, dbc, dwo, dbo)):
+            g = np.clip(g / np.float32(len(flat_c)), -0.1, 0.1)
+            self.m[i] = np.float32(0.9) * self.m[i] + np.float32(0.1) * g
+            self.s[i] = np.float32(0.99) * self.s[i] + np.float32(0.01) * g * g
+            net.p[i] = (net.p[i] - np.float32(rate) * (self.m[i] / low) / (np.sqrt(self.s[i] / high) + np.float32(1e-6))).astype(np.float32)
+        return h
+
 
 def word_counts(docs: DataFrame, text: str) -> DataFrame:
     """(word, n) over all `docs`; END counts their number."""
@@ -300,7 +372,7 @@ def vocabulary(counts: DataFrame, frequent: int, shortlist: int, head_classes: i
     return Vocabulary(words, amounts, shortlist, head_classes, tail_classes, np.maximum(sums, 1.0), int(n), int(v))
 
 
-def fitted(docs: DataFrame, vocab: Vocabulary, text: str, order: Column, n_docs: int, hidden: int, first_words: int, task_words: int) -> GatedNetwork:
+def fitted(docs: DataFrame, vocab: Vocabulary, text: str, order: Column, n_docs: int, hidden: int, first_words: int) -> GatedNetwork:
     """The network trained on `docs`, in two rounds (see the module)."""
     sizes = [p.size for p in GatedNetwork(vocab, hidden).p]
 
@@ -344,25 +416,14 @@ def fitted(docs: DataFrame, vocab: Vocabulary, text: str, order: Column, n_docs:
     pretrained = network.p
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, kept, held, stride = GatedNetwork(vocab, hidden, pretrained), [], 0, 1
-        seen = 0
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen += 1
-                if seen % stride:
-                    continue
-                kept.append(vocab.encode(tokens(t))[:3])
-                held += len(kept[-1][0])
-                if held > task_words and len(kept) > 1:  # thin out evenly: every second of those kept
-                    kept, stride = kept[::2], stride * 2
-                    held = sum(len(d[0]) for d in kept)
-        if n := net.train(kept, rate=0.002):
+        net = GatedNetwork(vocab, hidden, pretrained)
+        if n := net.train_all(vocab.encode(tokens(t.as_py()))[:3] for batch in batches for t in batch.column(0)):
             yield weights(net.p, n)
 
     return merged(docs.select(F.col(text)).mapInArrow(local, "i int, w double, n long"), network)
 
 
-def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", frequent: int = 1 << 17, shortlist: int = 1024, head_classes: int = 24, tail_classes: int = 64, hidden: int = 24, first_words: int = 400_000, task_words: int = 100_000) -> DataFrame:
+def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", frequent: int = 1 << 17, shortlist: int = 1024, head_classes: int = 24, tail_classes: int = 64, hidden: int = 24, first_words: int = 400_000) -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score) of every row of `docs`.
 
     `training` says of which rows to learn.  base_score is the unigram score of the
@@ -374,7 +435,7 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
     if vocab is None:
         n = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long") + 1
         return docs.select(F.col(key), n.alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0).cast("long").alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
-    network = fitted(known, vocab, text, F.xxhash64(F.col(key), F.lit(4)), int(vocab.counts[vocab.index[END]]), hidden, first_words, task_words)
+    network = fitted(known, vocab, text, F.xxhash64(F.col(key), F.lit(4)), int(vocab.counts[vocab.index[END]]), hidden, first_words)
     params = network.p
     kind = docs.schema[key].dataType.simpleString()
     digest = F.xxhash64(F.col(text))

@@ -423,6 +423,58 @@ def test_lm_gradients():
             assert abs((out[0].sum() - up) / 1e-6 - g.flat[j]) < 1e-4
 
 
+def test_lm_reads_every_word(spark):
+    """However long the documents are and however few tasks there are."""
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(n)) for n in [1, 3, 33, 500, 70_000, *[900] * 250, 0]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    vocab = recurrent_lm.vocabulary(recurrent_lm.word_counts(docs, "text"), 100, 20, 4, 8)
+    encoded = [vocab.encode(recurrent_lm.tokens(t))[:3] for t in texts]
+    read = []
+
+    class Counted(recurrent_lm.Adam):
+        def window(self, x, fresh, words, classes, h, rate, valid=None):
+            read.append(words.ravel() if valid is None else words[valid])
+            return super().window(x, fresh, words, classes, h, rate, valid)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(recurrent_lm, "Adam", Counted)
+        assert recurrent_lm.GatedNetwork(vocab, 4).train_all(iter(encoded)) == vocab.n == sum(len(t.split()) + 1 for t in texts)
+    assert (np.bincount(np.concatenate(read) + 1) == np.bincount(np.concatenate([e[0] for e in encoded]) + 1)).all()
+    # in a task of many words no document is passed over: each one's order of words counts
+    lines = [" ".join(f"w{rng.randrange(40)}" for _ in range(1000)) for _ in range(301)]
+
+    def weights(texts):
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+        vocab = recurrent_lm.vocabulary(recurrent_lm.word_counts(docs, "text"), 100, 20, 4, 8)
+        return recurrent_lm.fitted(docs, vocab, "text", F.lit(1), len(texts), 4, 1).p
+
+    usual = weights(lines)
+    for i in (1, 150, 300):
+        other = weights([" ".join(reversed(t.split())) if i == j else t for j, t in enumerate(lines)])
+        assert any((a != b).any() for a, b in zip(usual, other))
+
+
+def test_lm_window_gradients():
+    """The update's direction is that of numeric derivatives, with lanes that end early."""
+    words = [recurrent_lm.END, b"a", b"b", b"c", b"d"]
+    vocab = recurrent_lm.Vocabulary(words, np.array([5, 4, 3, 2, 1]), 4, 2, 3, np.array([2.0, 2.0, 3.0]), 15, 5)
+    net = recurrent_lm.GatedNetwork(vocab, 3)
+    docs = [vocab.encode(t)[:3] for t in ([b"a", b"b", b"c"], [b"b"], [b"d", b"a"])]
+    start = [p.copy() for p in net.p]
+    assert net.train_all(iter(docs), lanes=2, window=16, rate=1e-3) == 9
+    moved = [a - b for a, b in zip(net.p, start)]
+    net.p = [p.astype(np.float64) for p in start]
+    for i, j in ((0, 5), (0, 14), (1, 2), (1, 20), (2, 4), (4, 3)):
+        old = net.p[i].flat[j]
+        net.p[i].flat[j] = old + 1e-4
+        up = net.score(docs).sum()
+        net.p[i].flat[j] = old - 1e-4
+        down = net.score(docs).sum()
+        net.p[i].flat[j] = old
+        assert abs(up - down) < 1e-7 or (up > down) == (moved[i].flat[j] > 0)
+
+
 def test_lm_awkward(spark):
     odd = awkward(spark)
     got = recurrent_lm.score(odd, F.lit(True), frequent=3, shortlist=2).collect()
