@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, maybe_in, stash
 
-_CHARS = "A-Za-z0-9+/_=-"
+_CANDIDATE = "[A-Za-z0-9+/_=-]{16,}"
 #: Words that name a credential, and words that mark a stand-in for one.
 CREDENTIAL = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api[_ -]?key|apikey|access[_ -]?key|private[_ -]?key|credential|bearer|auth)"
 STAND_IN = r"(?i)(example|sample|dummy|placeholder|changeme|your[_ -]|xxxx|redacted|test)"
@@ -56,18 +56,20 @@ def transition_table(words: DataFrame) -> list[float]:
 
 
 def candidates(docs: DataFrame, key: str, text: str, path: str) -> DataFrame:
-    """(row, key, path, start, value, before, after): every candidate of every text."""
-    run = f"[{_CHARS}]{{16,}}"
+    """(row, key, path, start, value, before, after): every candidate of every text, with the
+    48 characters on either side of it."""
+    found = lambda pattern, group: F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(group))
     # each match goes on where the one before ended, so the lengths add up to offsets
-    upto = F.regexp_extract_all(F.col("text"), F.lit(rf"\G[\s\S]*?{run}"), F.lit(0))
-    value = F.regexp_extract_all(F.col("text"), F.lit(run), F.lit(0))
+    upto = F.transform(found(rf"\G[\s\S]*?{_CANDIDATE}", 0), lambda s: F.length(s))
+    # a look behind takes the shortest that fits: all 48, or all there are; the last branch only
+    # lets it reach as far as 48 characters of two units each
+    before = found(rf"(?={_CANDIDATE})(?<=((?![\x{{DC00}}-\x{{DFFF}}])[\s\S]{{48}}|\A[\s\S]{{0,47}}|[^\s\S]{{96}})){_CANDIDATE}", 1)
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.col(text).alias("text"))
-    rows = rows.where(F.col("text").rlike(run)).withColumn("row", F.monotonically_increasing_id())
-    found = rows.select("row", "key", "path", F.length("text").alias("chars"), F.posexplode(F.arrays_zip(value.alias("value"), F.transform(upto, lambda s: F.length(s)).alias("upto"), F.transform(upto, lambda s: F.right(s, F.lit(1024))).alias("tail"))).alias("at", "c"))
-    found = found.select("row", "key", "path", "at", F.col("c.value").alias("value"), F.col("c.upto").alias("upto"), F.when(F.length("c.value") < 900, F.expr("right(left(c.tail, length(c.tail) - length(c.value)), 48)")).otherwise(F.lit("")).alias("before"))
+    rows = rows.where(F.col("text").rlike(_CANDIDATE)).withColumn("row", F.monotonically_increasing_id())
+    each = F.arrays_zip(found(_CANDIDATE, 0).alias("value"), upto.alias("upto"), before.alias("before"), found(rf"{_CANDIDATE}(?=([\s\S]{{0,48}}))", 1).alias("after"))
+    out = rows.select("row", "key", "path", F.posexplode(each).alias("at", "c")).select("row", "at", "key", "path", "c.*")
     end = F.sum("upto").over(Window.partitionBy("row").orderBy("at"))
-    following = F.lead("before").over(Window.partitionBy("row").orderBy("at"))
-    return found.select("row", "at", "key", "path", (end - F.length("value")).cast("long").alias("start"), "value", "before", F.coalesce(F.left(following, F.lit(48)), F.lit("")).alias("after"))
+    return out.select("row", "at", "key", "path", (end - F.length("value")).cast("long").alias("start"), "value", "before", "after")
 
 
 def described(found: DataFrame, words: DataFrame, transitions: list[float], usual_from: int = 5) -> DataFrame:

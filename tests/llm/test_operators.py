@@ -206,6 +206,21 @@ def test_secrets(spark):
     assert cleaned[0] == 'set token = "[SECRET]" and go on with ordinary words 0' and cleaned[41] == texts[41] and len(cleaned) == 100
 
 
+def test_secret_contexts_at_any_length(spark):
+    """48 characters on either side, whatever the value's length and wherever the next candidate is."""
+    values = ["a1" * (n // 2) + "x" * (n % 2) for n in (16, 899, 900, 5000)]
+    texts = [f'token = "{v}" is the password' for v in values]
+    texts += [f"{v}, {v}; {v}" for v in values] + ["\U0001f600" * 60 + "!" + values[0] + " " + "\U0001f600" * 60, values[0], "o" * 16 + " " + "p" * 3_000 + ". " + values[0]]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = secret_scan.candidates(docs, "doc_id", "text", "source").collect()
+    assert len(got) == 4 + 12 + 2 + 3
+    for r in got:
+        t, start, end = texts[r["key"]], r["start"], r["start"] + len(r["value"])
+        assert t[start:end] == r["value"] and r["before"] == t[max(0, start - 48) : start] and r["after"] == t[end : end + 48]
+    long = secret_scan.findings(docs).where("key < 4").collect()
+    assert len(long) == 4 and all(r["credential_before"] == r["assigned"] == r["quoted"] == r["credential_after"] == 1 for r in long)
+
+
 def test_secrets_awkward(spark):
     odd = awkward(spark, [*AWKWARD, "x" * 50_000, "token = " + "a1" * 20 + "-" + "b2" * 30])
     found = secret_scan.scan(odd)
