@@ -1,6 +1,8 @@
 """Secret scans with a random forest that removes false positives.
 
-Every run of at least 16 characters of the alphabets that credentials use is a candidate.
+Every run of at least 16 characters of the alphabets that credentials use is a candidate,
+and so is what is assigned to a credential word, whatever its length and alphabet: a quoted
+value to its closing quote, a bare one to the next white space, less closing punctuation.
 It is described by its length and make-up, by how usual its character transitions are in
 the words of all documents, by the share of it that dictionary words cover, by its path,
 and by the words around it.  A random forest trained on labelled findings then tells
@@ -28,11 +30,22 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, maybe_in, stash
 
-_CANDIDATE = "[A-Za-z0-9+/_=-]{16,}"
 #: Words that name a credential, and words that mark a stand-in for one.
 CREDENTIAL = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api[_ -]?key|apikey|access[_ -]?key|private[_ -]?key|credential|bearer|auth)"
 STAND_IN = r"(?i)(example|sample|dummy|placeholder|changeme|your[_ -]|xxxx|redacted|test)"
 
+_CHAR = "[A-Za-z0-9+/_-]"
+#: `=` belongs to a value only as padding: not where a value follows it, quoted or bare.
+_PAD = rf"""(?!["'`]?[A-Za-z0-9+/_=-])"""
+_RUN = rf"{_CHAR}{{16,}}(?:={{1,2}}{_PAD})?|{_CHAR}{{15}}={{1,2}}{_PAD}|{_CHAR}{{14}}=={_PAD}"
+#: What stands before an assigned credential, after a first look that is quickly done.
+_NAMED = CREDENTIAL.replace("(?i)", "").replace("(", "(?:")
+_NEAR = r"""(?<=[ \t:=>"'`])(?<=[:=]>?[ \t]{0,8}["'`]?)"""
+_GIVEN = rf"""(?i:{_NAMED})[\w.-]{{0,24}}["'`)\]]{{0,2}}[ \t]{{0,8}}[:=]{{1,3}}>?[ \t]{{0,8}}"""
+_QUOTED = [rf"(?<={_GIVEN}{q})[^{q}\\\n]*+(?:\\.[^{q}\\\n]*+){{0,200}}(?<!{q})(?={q})" for q in "\"'`"]
+_BARE = rf"""(?<={_GIVEN}["'`]?)[^\s"'`=>](?:\S*[^\s"'`,;)\]}}>])?"""
+_CANDIDATE = f"(?:{_NEAR}(?:{'|'.join([*_QUOTED, _BARE])})|{_RUN})"
+
 FEATURES = ["length", "digits", "capitals", "symbols", "variety", "changes", "usual", "least_usual", "covered", "hex", "stand_in", "credential_before", "assigned", "quoted", "credential_after", "path_depth", "path_test"]
 
 
@@ -93,7 +106,7 @@ def described(found: DataFrame, words: DataFrame, transitions: list[float], usua
         "usual": F.aggregate("steps", F.lit(0.0), lambda a, x: a + x) / size, "least_usual": F.array_min("steps"),
         "covered": F.coalesce("chars", F.lit(0)) / size,
         "hex": low.rlike("^[0-9a-f]+$").cast("double"), "stand_in": F.col("value").rlike(STAND_IN).cast("double"),
-        "credential_before": F.col("before").rlike(CREDENTIAL).cast("double"), "assigned": F.col("before").rlike(r"[:=]\s*[\"'`]?$").cast("double"),
+        "credential_before": F.col("before").rlike(CREDENTIAL).cast("double"), "assigned": F.col("before").rlike(r"[:=]>?\s*[\"'`]?$").cast("double"),
         "quoted": F.col("before").rlike(r"[\"'`]$").cast("double"), "credential_after": F.col("after").rlike(CREDENTIAL).cast("double"),
         "path_depth": (F.size(F.split("path", "/")) - 1).cast("double"), "path_test": F.col("path").rlike(STAND_IN).cast("double"),
     }

@@ -221,6 +221,32 @@ def test_secret_contexts_at_any_length(spark):
     assert len(long) == 4 and all(r["credential_before"] == r["assigned"] == r["quoted"] == r["credential_after"] == 1 for r in long)
 
 
+def test_secret_candidates_of_settings(spark):
+    """Names stay out of values, and what a credential word is given counts at any length and alphabet."""
+    key = "9f86d081884c7d659a2feaa0c55ad015"
+    cases = {
+        f"API_KEY={key}": [key],
+        f"export AWS_SECRET_ACCESS_KEY={key}\nA=1": ["AWS_SECRET_ACCESS_KEY", key],
+        f'AWS_SECRET_ACCESS_KEY="{key}"': ["AWS_SECRET_ACCESS_KEY", key],
+        'password = "Tr0ub4dor&3x"': ["Tr0ub4dor&3x"],
+        "pwd: p$1.!, then": ["p$1.!"],
+        '{"db_password": "a \\"b\\" 1", "n": 2}': ['a \\"b\\" 1'],
+        "secret => 'x'": ["x"],
+        "token = 'open1": ["open1"],
+        'password = "" and': [],
+        "see QWxhZGRpbjpvcGVuIHNlc2FtZQ== there": ["QWxhZGRpbjpvcGVuIHNlc2FtZQ=="],
+        "AAAABBBBCCCCDD== x": ["AAAABBBBCCCCDD=="],
+        "no word = here": [],
+    }
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(cases)], "doc_id long, text string, source string")
+    got = defaultdict(list)
+    for r in secret_scan.candidates(docs, "doc_id", "text", "source").orderBy("key", "start").collect():
+        text = list(cases)[r["key"]]
+        assert text[r["start"] : r["start"] + len(r["value"])] == r["value"]
+        got[text].append(r["value"])
+    assert {t: got[t] for t in cases} == cases
+
+
 def test_secrets_awkward(spark):
     odd = awkward(spark, [*AWKWARD, "x" * 50_000, "token = " + "a1" * 20 + "-" + "b2" * 30])
     found = secret_scan.scan(odd)
