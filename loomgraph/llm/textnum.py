@@ -79,28 +79,37 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.bincount(text, minlength=len(column))
 
 
+#: Bits of a shingle's hash; a batch's texts are numbered in the rest of a 64-bit word.
+HASH_BITS = 52
+
+
 def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, text after text, and how many each has.
+    """Sorted distinct shingle hashes (HASH_BITS bits) of each text, text after text, and how many each has.
 
     A text of fewer words than `width` has its whole sequence as one shingle, one without
-    words has none.
+    words has none.  At most 2^12 texts at a time, as `slices` gives them.
     """
     words, per = word_hashes(column)
     ends = np.cumsum(per)
     begins = ends - per
     made = np.where(per >= width, per - width + 1, (per > 0).astype(np.int64))
-    text = np.repeat(np.arange(len(per)), made)
-    first = np.repeat(begins, made) + np.arange(len(text)) - np.repeat(np.cumsum(made) - made, made)
-    take = np.minimum(per, width)[text]
-    h = take.astype(np.uint64)
+    text = np.repeat(np.arange(len(per), dtype=np.int64), made)
+    short = np.flatnonzero((per > 0) & (per < width))
+    first = np.arange(len(text)) + np.repeat(begins - np.cumsum(made) + made, made)
+    h = np.full(len(text), width, np.uint64)
     for j in range(width):
-        step = mix(h * _BASE + words[np.minimum(first + j, max(len(words) - 1, 0))])
-        h = np.where(j < take, step, h)
-    order = np.lexsort((h, text))
-    h, text = h[order], text[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-    return h[new], np.bincount(text[new], minlength=len(per))
+        h = mix(h * _BASE + words[np.minimum(first + j, max(len(words) - 1, 0))]) if len(text) else h
+    at = np.cumsum(made) - made
+    for i in short.tolist():  # fewer words than a shingle
+        one = np.full(1, per[i], np.uint64)
+        for w in words[begins[i] : ends[i]]:
+            one = mix(one * _BASE + w)
+        h[at[i]] = one[0]
+    # text and hash in one number: a plain sort then does both
+    packed = (text.astype(np.uint64) << np.uint64(HASH_BITS)) | (h >> np.uint64(64 - HASH_BITS))
+    packed.sort()
+    packed = packed[np.diff(packed, prepend=~packed[:1]) != 0]
+    return packed & np.uint64((1 << HASH_BITS) - 1), np.bincount((packed >> np.uint64(HASH_BITS)).astype(np.int64), minlength=len(per))
 
 
 def set_digests(hashes: np.ndarray, per: np.ndarray) -> np.ndarray:

@@ -52,7 +52,7 @@ def test_repeats_go_but_the_first(spark):
 # ------------------------------------------------------------------ 2
 
 
-def brute_components(texts):
+def brute_components(texts, num=3, den=4):
     sets = {}
     for i, t in texts.items():
         w = (t or "").encode().lower().split()
@@ -67,7 +67,7 @@ def brute_components(texts):
     ids = sorted(texts)
     for a in ids:
         for b in ids:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in ids}
@@ -93,6 +93,59 @@ def test_near_duplicates_lose_no_link(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(7)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in parity_join.near_duplicates(docs, often=2, order_bits=16).collect()}
     assert got == brute_components(texts)
+    for num, den in ((2, 3), (9, 10), (1, 1)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in parity_join.near_duplicates(docs, similarity=(num, den)).collect()}
+        assert got == brute_components(texts, num, den)
+    for similarity in ((1, 2), (5, 4), (0, 1)):
+        with pytest.raises(ValueError):
+            parity_join.near_duplicates(docs, similarity=similarity)
+
+
+@pytest.mark.parametrize("t", [(3, 4), (2, 3), (3, 5), (9, 10)])
+def test_linked_sets_share_a_key(t):
+    """Also where shingles crowd into few segments, which small sets do often."""
+    rng = np.random.default_rng(8)
+    sets = []
+    for size in [1, 2, 3, 4, 5, 6, 7, 8, 10, 13, 17, 25, 40] * 60:
+        base = rng.integers(0, 1 << 52, size, dtype=np.uint64)
+        if rng.random() < 0.5:  # one segment for most
+            base = base >> np.uint64(int(rng.integers(1, 12)))
+        for _ in range(3):
+            copy = base[rng.random(size) < 0.93]
+            sets.append(np.unique(np.concatenate([copy, rng.integers(0, 1 << 52, int(rng.integers(0, 2 + size // 6)), dtype=np.uint64)])))
+    per = np.array([len(s) for s in sets])
+    where, sig, _ = parity_join._keys(np.concatenate(sets), per, rng.integers(0, 256, 1 << 12).astype(np.uint8), t)
+    keys = [set() for _ in sets]
+    for i, k in zip(where.tolist(), sig.tolist(), strict=True):
+        keys[i].add(k)
+    linked = 0
+    for lo in range(0, len(sets), 3):
+        for i in range(lo, lo + 3):
+            for j in range(lo, i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if t[1] * both >= t[0] * (per[i] + per[j] - both) > 0 and not np.array_equal(sets[i], sets[j]):
+                    linked += 1
+                    assert keys[i] & keys[j]
+    assert linked > 30
+
+
+def test_documents_apart_by_blocks(spark):
+    """One passage in all, many more than a block, none of which link but in pairs."""
+    rng = random.Random(3)
+    passage = [f"p{k}" for k in range(60)]
+    texts = {}
+    for i in range(300):
+        own = [f"x{i // 2}y{k}" for k in range(30)]
+        texts[i] = " ".join(passage + own + [f"e{rng.random()}"])
+    groups = spark.createDataFrame([(1, 0, i, 1) for i in texts], "sig long, hub long, id long, keys long")
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sketches = parity_join._read(docs, "doc_id", "text", 5).where("n is not null").select("id", "n", "sketch")
+    label = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("root"))
+    left = parity_join._sifted(groups, label, sketches, (3, 4), block=64)
+    sets = parity_join._sets(docs, left.select("id"), "doc_id", "text", 5)
+    assert left.count() < 300 * 300 // 8
+    found = {(r["a"], r["b"]) for r in parity_join._spanning(left.join(sets, "id").select(*left.columns, "set"), (3, 4)).collect()}
+    assert found == {(i, i + 1) for i in range(0, 300, 2)}
 
 
 def test_near_duplicates_awkward(spark):
