@@ -8,24 +8,26 @@ by their last letters, where their share comes from their count in the corpus, p
 with one more share for words never seen.  So the words known grow with the corpus, the
 network does not.
 
-Word counts cover all training documents.  The network is trained by truncated
-backpropagation in two rounds: on one sample of `first_words` words at most, from which all
-tasks start, then in every task once over every word of all its documents, after which the
-weights are averaged by words read; so the network reads every training word however the
-input is split.
-Weights meet element by element in a grouped sum, and only one set returns to the driver.
+Word counts cover all training documents.  Every document is encoded once, two bytes for a
+word, and stored.  The network is trained by truncated backpropagation over every word of
+every training document: first on a sample of about `first_words` words, drawn by hash, from
+which all shards start; then once over each shard, after which the weights are averaged by
+words read.  Shards hold about `shard_words` words and are made by a hash of key and text, so
+neither weights nor scores depend on how the input is split.  Weights meet element by
+element in a grouped sum, and only one set returns to the driver.
 
 Counts of the `frequent` most frequent words go to every task; the words beyond meet their
 counts in a join.
 
 Defined results: a null or empty text is the end token alone; a row of null key is a
-training row; repeated rows score alike (rows of one key and text are scored once); without
-training documents every token is unknown and score equals base_score; other columns are
-ignored, whatever their names.
+training row where `training` says so; repeated rows (of one key and text) are counted and
+trained on each, and scored once for all; without training documents every token is unknown
+and score equals base_score, both 0; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 from collections import Counter
@@ -35,7 +37,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stash
@@ -80,6 +82,7 @@ class Vocabulary:
         #: what the network reads: a shortlist word itself, or a tail class; the last is the start
         self.input_of = np.concatenate([np.arange(s), s + tails - self.head_classes]).astype(np.int32)
         self.start = s + self.tail_classes
+        self.class_of_input = np.concatenate([self.head_of, self.head_classes + np.arange(self.tail_classes)]).astype(np.int32)
         self.log_count = np.log10(self.counts + 1.0)
         self.log_tail = np.log10(self.tail_total)
 
@@ -167,105 +170,83 @@ class GatedNetwork:
                 dbo[lo:hi] += d.sum(axis=0)
         return (out, dh, dwc, dbc, dwo, dbo) if grads else out
 
-    def score(self, docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], window: int = 32) -> np.ndarray:
-        """Sum of log10 of the state-dependent probabilities of each encoded document, read to its end.
-
-        Documents run side by side, longest first, so those still running stay in front.
+    def score(self, docs: list[np.ndarray], lanes: int = 256, window: int = 32) -> np.ndarray:
+        """Sum of log10 of the state-dependent probabilities of each document (its inputs), read to its end."""
+        laid = Lanes(docs, lanes, self.v.start)
+        lp = np.zeros(len(laid.inputs))
+        h = np.zeros((len(laid.length), self.h), np.float32)
+        for at, valid in laid.windows(window):
+            states, x = np.empty((*at.shape, self.h), np.float32), laid.previous[at]
+            fresh, live = x == self.v.start, valid.sum(axis=1)
+            for t in range(len(at)):
+                h = h[: live[t]]
+                if fresh[t, : live[t]].any():
+                    h = np.where(fresh[t, : live[t], None], np.float32(0), h)
+                h = self.step(x[t, : live[t]], h)[0]
+                states[t, : live[t]] = h
+            some = at[valid]
+            lp[some] = self.log_probs(states[valid], self.v.class_of_input[laid.inputs[some]], laid.inputs[some])
+        return laid.sums(lp) / math.log(10.0)
+
+    def train(self, docs: list[np.ndarray], lanes: int = 256, window: int = 32, rate: float = 0.01, epochs: int = 1, most: int = 1 << 13) -> int:
+        """Truncated backpropagation (Adam) over every word of the documents; words seen.
+
+        State, weights and moments carry on from window to window.  Documents of more than
+        `most` words are parted, so that lanes share them; a part starts without state.
         """
-        lengths = np.array([len(x[0]) for x in docs])
-        order = np.argsort(-lengths, kind="stable")
-        sums = np.zeros(len(docs))
-        if not len(docs):
-            return sums
-        ends = np.cumsum(lengths[order])
-        begin = ends - lengths[order]
-        at, inputs, classes = (np.concatenate([docs[i][j] for i in order]) for j in range(3))
-        running = lengths[order]
-        h = np.zeros((len(docs), self.h), np.float32)
-        for t0 in range(0, int(running[0]), window):
-            states, where, whose = [], [], []
-            for t in range(t0, min(t0 + window, int(running[0]))):
-                live = int(np.searchsorted(-running, -t, side="left"))
-                x = inputs[begin[:live] + t - 1] if t else np.full(live, self.v.start)
-                h = h[:live]
-                h = self.step(x, h)[0]
-                states.append(h)
-                where.append(begin[:live] + t)
-                whose.append(order[:live])
-            where = np.concatenate(where)
-            lp = self.log_probs(np.concatenate(states), classes[where], at[where])
-            sums += np.bincount(np.concatenate(whose), weights=lp, minlength=len(docs))
-        return sums / math.log(10.0)
-
-    def train(self, docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], lanes: int = 32, window: int = 32, rate: float = 0.005, epochs: int = 1) -> int:
-        """Truncated backpropagation (Adam) over documents laid end to end in lanes; words seen."""
-        if not docs:
-            return 0
-        at, inputs, classes = (np.concatenate([d[j] for d in docs]) for j in range(3))
-        previous = np.concatenate([np.concatenate([[self.v.start], d[1][:-1]]) for d in docs])
-        lanes = max(1, min(lanes, len(at) // window))
-        length = len(at) // lanes
-        at, classes, previous = (a[: lanes * length].reshape(lanes, length) for a in (at, classes, previous))
-        steps, total = 0, epochs * -(-length // window)
-        adam = Adam(self)
+        laid = Lanes([d[lo : lo + most] for d in docs for lo in range(0, len(d), most)], lanes, self.v.start)
+        adam, seen, total = Adam(self), 0, epochs * len(laid.inputs)
         for _ in range(epochs):
-            h = np.zeros((lanes, self.h), np.float32)
-            for t0 in range(0, length, window):
-                x, w, c = (a[:, t0 : t0 + window].T for a in (previous, at, classes))
-                steps += 1
-                h = adam.window(x, x == self.v.start, w, c, h, rate * (1 - 0.9 * steps / total))
-        return lanes * length * epochs
-
-    def train_all(self, docs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], lanes: int = 128, window: int = 32, rate: float = 0.002, slow_after: int = 100, most: int = 1 << 16) -> int:
-        """As `train`, once over every word of a stream of documents of any length; words seen.
-
-        A lane reads a document to its end before it takes the next one, and holds no other;
-        state, weights and moments carry on from window to window.  Only documents of more
-        than `most` words are parted, so that lanes share them; a part starts without state.
-        """
-
-        def parts() -> Iterator[tuple[np.ndarray, ...]]:
-            for at, inputs, classes in docs:
-                previous = np.concatenate([[self.v.start], inputs[:-1]])
-                for lo in range(0, len(at), most):
-                    yield previous[lo : lo + most], at[lo : lo + most], classes[lo : lo + most]
-
-        source, adam, seen = parts(), Adam(self), 0
-        held: list[tuple[np.ndarray, ...] | None] = [None] * lanes
-        place = [0] * lanes
-        h = np.zeros((lanes, self.h), np.float32)
-        while held:
-            n = len(held)
-            x, w, c = np.full((n, window), self.v.start), np.zeros((n, window), np.int64), np.zeros((n, window), np.int64)
-            fresh, filled = np.zeros((n, window), bool), np.zeros(n, np.int64)
-            for i in range(n):
-                to = 0
-                while to < window:
-                    if held[i] is None:
-                        held[i], place[i] = next(source, None), 0
-                        if held[i] is None:
-                            break
-                        fresh[i, to] = True
-                    lo = place[i]
-                    some = min(window - to, len(held[i][0]) - lo)
-                    for a, b in zip((x, w, c), held[i], strict=True):
-                        a[i, to : to + some] = b[lo : lo + some]
-                    to, place[i] = to + some, lo + some
-                    if place[i] == len(held[i][0]):
-                        held[i] = None
-                filled[i] = to
-            count = int(filled.sum())
-            if count:
-                # windows of few words, where the stream ends, move the weights by their share of a full one
-                now = rate / math.sqrt(1 + adam.steps / slow_after) * count / (lanes * window)
-                h = adam.window(x.T, fresh.T, w.T, c.T, h, now, None if count == n * window else np.arange(window)[:, None] < filled)
-            seen += count
-            live = np.flatnonzero(filled == window)
-            if len(live) < n:
-                held, place, h = [held[i] for i in live], [place[i] for i in live], h[live]
+            h = np.zeros((len(laid.length), self.h), np.float32)
+            for at, valid in laid.windows(window):
+                x, w, whole = laid.previous[at], laid.inputs[at], bool(valid.all())
+                count = at.size if whole else int(valid.sum())
+                # windows of few words move the weights by their share of a full one
+                now = rate * (1 - 0.9 * seen / total) * count / (len(laid.length) * window)
+                h = adam.window(x, x == self.v.start, w, self.v.class_of_input[w], h[: at.shape[1]], now, None if whole else valid)
+                seen += count
         return seen
 
 
+class Lanes:
+    """Documents (their inputs) laid end to end in lanes of about equal length, the longest lane first."""
+
+    def __init__(self, docs: list[np.ndarray], lanes: int, start: int):
+        sizes = np.array([len(d) for d in docs], np.int64)
+        ends = [(0, i) for i in range(min(lanes, len(docs)))]
+        lane, held = np.zeros(len(docs), np.int64), np.zeros(len(ends), np.int64)
+        for i in np.argsort(-sizes, kind="stable").tolist():
+            size, to = ends[0]
+            lane[i] = to
+            heapq.heapreplace(ends, (size + len(docs[i]), to))
+        np.add.at(held, lane, sizes)
+        by_length = np.argsort(-held, kind="stable")
+        place = np.empty_like(by_length)
+        place[by_length] = np.arange(len(by_length))
+        self.order = np.argsort(place[lane], kind="stable") if len(docs) else lane
+        self.begin = np.cumsum(sizes[self.order]) - sizes[self.order]
+        self.inputs = np.concatenate([docs[i] for i in self.order]).astype(np.int32) if len(docs) else np.empty(0, np.int32)
+        self.previous = np.roll(self.inputs, 1)
+        self.previous[self.begin] = start
+        self.length = held[by_length]
+        self.lane_begin = np.cumsum(self.length) - self.length
+
+    def windows(self, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(time, lane) places in the inputs, and where there is a word; lanes that have ended are left out."""
+        for t0 in range(0, int(self.length.max(initial=0)), width):
+            t = np.arange(t0, min(t0 + width, int(self.length[0])))[:, None]
+            live = int(np.searchsorted(-self.length, -t0, side="left"))
+            valid = t < self.length[None, :live]
+            yield np.minimum(self.lane_begin[None, :live] + t, len(self.inputs) - 1), valid
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Sum of the values of each document, in the order they came in."""
+        out = np.zeros(len(self.order))
+        if len(out):
+            out[self.order] = np.add.reduceat(values, self.begin)
+        return out
+
+
 class Adam:
     """Updates of a network's weights by windows of lanes; moments carry on between them."""
 
@@ -372,120 +353,132 @@ def vocabulary(counts: DataFrame, frequent: int, shortlist: int, head_classes: i
     return Vocabulary(words, amounts, shortlist, head_classes, tail_classes, np.maximum(sums, 1.0), int(n), int(v))
 
 
-def fitted(docs: DataFrame, vocab: Vocabulary, text: str, order: Column, n_docs: int, hidden: int, first_words: int) -> GatedNetwork:
-    """The network trained on `docs`, in two rounds (see the module)."""
-    sizes = [p.size for p in GatedNetwork(vocab, hidden).p]
-
-    def encoded(texts: list[str | None], most: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        out, held = [], 0
-        for t in texts:
-            if held >= most:
-                break
-            out.append(vocab.encode(tokens(t))[:3])
-            held += len(out[-1][0])
-        return out
+def encoded(docs: DataFrame, vocab: Vocabulary, key: str, text: str, training: Column) -> DataFrame:
+    """One stored row for each key, text and `training`: (row, key, h, training, rows, n_tokens, seen, logs, inside, inputs, rare, times).
 
-    def weights(params: list[np.ndarray], words: int) -> pa.RecordBatch:
-        flat = np.concatenate([p.ravel() for p in params]).astype(np.float64)
-        return pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat * words), pa.array(np.full(len(flat), words), pa.int64())], names=["i", "w", "n"])
+    inputs: what the network reads, two bytes for a word; rare, times: the words beyond the
+    frequent ones; logs, inside: sums over the frequent ones.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+    names = ["key", "h", "training", "n_tokens", "seen", "logs", "inside", "inputs", "rare", "times"]
 
-    def merged(trained: DataFrame, before: GatedNetwork) -> GatedNetwork:
-        got = trained.groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toPandas().sort_values("i")
-        if len(got) != sum(sizes):
-            return before
-        parts = np.split(got["w"].to_numpy(), np.cumsum(sizes)[:-1])
-        return GatedNetwork(vocab, hidden, [x.reshape(p.shape) for x, p in zip(parts, before.p, strict=True)])
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                some = batch.slice(lo, 512)
+                rows, inputs_, rares, times = [], [], [], []
+                for t in some.column(3).to_pylist():
+                    at, inputs, classes, rare = vocab.encode(tokens(t))
+                    known = at[at >= 0]
+                    tail = at[(at >= vocab.shortlist) | (at < 0)]
+                    # log10 (count + 1) of the frequent words; of those the part that stands in a tail class, less the class's size
+                    logs = float(vocab.log_count[known].sum())
+                    inside = float(vocab.log_count[tail[tail >= 0]].sum() - vocab.log_tail[classes[classes >= vocab.head_classes] - vocab.head_classes].sum())
+                    rows.append((len(at), len(known), logs, inside))
+                    inputs_.append(inputs.astype("<u2").tobytes())
+                    beyond = Counter(rare)
+                    rares.append(list(beyond))
+                    times.append(list(beyond.values()))
+                n, s, logs, inside = zip(*rows, strict=True) if rows else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(n, pa.int64()), pa.array(s, pa.int64()), pa.array(logs, pa.float64()), pa.array(inside, pa.float64()), pa.array(inputs_, pa.binary()), pa.array(rares, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))], names=names)
 
-    network = GatedNetwork(vocab, hidden)
-    start = network.p
+    narrow = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("h"), F.coalesce(training, F.lit(False)).alias("training"), F.col(text).alias("text"))
+    each = narrow.mapInArrow(read, f"key {kind}, h long, training boolean, n_tokens long, seen long, logs double, inside double, inputs binary, rare array<binary>, times array<bigint>")
+    one = each.groupBy("key", "h", "training").agg(F.count("*").alias("rows"), *[F.first(c).alias(c) for c in names[3:]])
+    return stash(one.withColumn("row", F.monotonically_increasing_id()))
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = GatedNetwork(vocab, hidden, start)
-        docs_, held = [], 0
-        for batch in batches:
-            more = encoded(batch.column(0).to_pylist(), first_words - held)
-            docs_ += more
-            held += sum(len(d[0]) for d in more)
-        if seen := net.train(docs_, epochs=max(1, min(4, first_words // max(1, held)))):
-            yield weights(net.p, seen)
 
-    few = max(1, first_words // 64)  # documents; their words are bounded in the task
-    share = max(1, n_docs // few)
-    sample = docs.where(F.pmod(order, F.lit(share)) == 0).select(F.col(text)).coalesce(1)
-    network = merged(sample.mapInArrow(first, "i int, w double, n long"), network)
-    pretrained = network.p
+def fitted(docs: DataFrame, vocab: Vocabulary, hidden: int, first_words: int, shard_words: int) -> GatedNetwork:
+    """The network trained on the training rows of `docs`, as `encoded` gives them, in two rounds (see the module)."""
+    sizes = [p.size for p in GatedNetwork(vocab, hidden).p]
+    h = F.xxhash64("key", "h", "copy")
+    copies = docs.where("training").select("key", "h", "inputs", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("copy"))
+    network = GatedNetwork(vocab, hidden)
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = GatedNetwork(vocab, hidden, pretrained)
-        if n := net.train_all(vocab.encode(tokens(t.as_py()))[:3] for batch in batches for t in batch.column(0)):
-            yield weights(net.p, n)
+    def trained(rows: DataFrame, start: list[np.ndarray], epochs: int) -> list[np.ndarray]:
+        """Weights trained from `start` on each shard of `rows` (shard, h, inputs), averaged by words."""
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, words, held, last = np.zeros(sum(sizes)), 0, [], None
+
+            def done() -> None:
+                nonlocal total, words
+                net = GatedNetwork(vocab, hidden, start)
+                seen = net.train(held, epochs=epochs)
+                total, words = total + np.concatenate([p.ravel() for p in net.p]).astype(np.float64) * seen, words + seen
+                held.clear()
+
+            for batch in batches:
+                for shard, inputs in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    if held and shard != last:
+                        done()
+                    last = shard
+                    held.append(np.frombuffer(inputs.as_py(), "<u2"))
+            if held:
+                done()
+            if words:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total), pa.array(np.full(len(total), words), pa.int64())], names=["i", "w", "n"])
+
+        got = rows.select("shard", "inputs").mapInArrow(work, "i int, w double, n long").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toPandas().sort_values("i")
+        if len(got) != sum(sizes):
+            return start
+        return [x.reshape(p.shape).astype(np.float32) for x, p in zip(np.split(got["w"].to_numpy(), np.cumsum(sizes)[:-1]), start, strict=True)]
 
-    return merged(docs.select(F.col(text)).mapInArrow(local, "i int, w double, n long"), network)
+    share = max(1, vocab.n // first_words)
+    first = copies.where(F.pmod(h, F.lit(share)) == 0).select(F.lit(0).alias("shard"), "h", "inputs").repartition(1).sortWithinPartitions("h")
+    pretrained = trained(first, network.p, max(1, min(4, first_words // vocab.n)))
+    shards = max(1, round(vocab.n / shard_words))
+    dealt = copies.withColumn("shard", F.pmod(F.xxhash64("key", "h", "copy", F.lit(4)), F.lit(shards)))
+    dealt = dealt.repartition(2 * shards, "shard").sortWithinPartitions("shard", "h")
+    return GatedNetwork(vocab, hidden, trained(dealt, pretrained, 1))
 
 
-def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", frequent: int = 1 << 17, shortlist: int = 1024, head_classes: int = 24, tail_classes: int = 64, hidden: int = 24, first_words: int = 400_000) -> DataFrame:
+def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", frequent: int = 1 << 17, shortlist: int = 1024, head_classes: int = 24, tail_classes: int = 64, hidden: int = 24, first_words: int = 400_000, shard_words: int = 1 << 22) -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score) of every row of `docs`.
 
     `training` says of which rows to learn.  base_score is the unigram score of the
     corpus's counts plus one; both scores are log10 probabilities of the whole text.
     """
-    known = docs.where(training)
-    counts = stash(word_counts(known, text))
+    counts = stash(word_counts(docs.where(training), text))
     vocab = vocabulary(counts, frequent, shortlist, head_classes, tail_classes)
     if vocab is None:
         n = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long") + 1
         return docs.select(F.col(key), n.alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0).cast("long").alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
-    network = fitted(known, vocab, text, F.xxhash64(F.col(key), F.lit(4)), int(vocab.counts[vocab.index[END]]), hidden, first_words)
-    params = network.p
-    kind = docs.schema[key].dataType.simpleString()
-    digest = F.xxhash64(F.col(text))
-    narrow = docs.select(F.col(key).alias("key"), digest.alias("h"), F.col(text).alias("text"))
+    rows = encoded(docs, vocab, key, text, training)
+    params = fitted(rows, vocab, hidden, first_words, shard_words).p
     floor = math.log10(vocab.n + vocab.v + 1)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = GatedNetwork(vocab, hidden, params)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                some = batch.slice(lo, 2048)
-                rows, encoded = [], []
-                for t in some.column(2).to_pylist():
-                    at, inputs, classes, _ = vocab.encode(tokens(t))
-                    encoded.append((at, inputs, classes))
-                    seen = at[at >= 0]
-                    tail = at[(at >= vocab.shortlist) | (at < 0)]
-                    # log10 (count + 1) of the frequent words; of those the part that stands in a tail class, less the class's size
-                    logs = float(vocab.log_count[seen].sum())
-                    inside = float(vocab.log_count[tail[tail >= 0]].sum() - vocab.log_tail[classes[classes >= vocab.head_classes] - vocab.head_classes].sum())
-                    rows.append((len(at), len(seen), logs, inside))
-                sums = net.score(encoded)
-                n, s, logs, inside = zip(*rows, strict=True) if rows else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(n, pa.int64()), pa.array(s, pa.int64()), pa.array(logs, pa.float64()), pa.array(np.asarray(inside, float) + sums)], names=["key", "h", "n_tokens", "seen", "logs", "net"])
+        held: list[pa.RecordBatch] = []
+
+        def done() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            sums = net.score([np.frombuffer(x.as_py(), "<u2") for x in table.column(1)])
+            held.clear()
+            return pa.RecordBatch.from_arrays([table.column(0).combine_chunks(), pa.array(sums)], names=["row", "net"])
 
-    def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = vocab.index
+        words = 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                some = batch.slice(lo, 512)
-                rows, words, times = [], [], []
-                for i, t in enumerate(some.column(2).to_pylist()):
-                    rare = Counter(w for w in tokens(t) if w not in index)
-                    rows += [i] * len(rare)
-                    words += rare
-                    times += rare.values()
-                take = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([some.column(0).take(take), some.column(1).take(take), pa.array(words, pa.binary()), pa.array(times, pa.int64())], names=["key", "h", "word", "times"])
-
-    scored = narrow.mapInArrow(read, f"key {kind}, h long, n_tokens long, seen long, logs double, net double")
+            for lo in range(0, batch.num_rows, 256):
+                held.append(batch.slice(lo, 256))
+                words += sum(len(x.as_py()) // 2 for x in held[-1].column(1))
+                if words > 1 << 22:  # lanes are filled from about so many words at a time
+                    yield done()
+                    words = 0
+        if held:
+            yield done()
+
+    scored = rows.select("row", "inputs").mapInArrow(read, "row long, net double")
+    known = rows.select("row", "key", "rows", "n_tokens", "seen", "logs", "inside").join(scored, "row")
+    more, logs = F.lit(0), F.lit(0.0)
     if vocab.v > len(vocab.words):
-        rare = narrow.mapInArrow(beyond, f"key {kind}, h long, word binary, times long").join(counts, "word")
-        rare = rare.groupBy("key", "h").agg(F.sum("times").alias("times"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rare_logs"))
-        same = F.count("*").over(Window.partitionBy("key", "h"))
-        r = rare.select(F.col("key").alias("rare_key"), F.col("h").alias("rare_h"), "times", "rare_logs")
-        scored = scored.withColumn("rows", same).join(r, F.col("key").eqNullSafe(F.col("rare_key")) & F.col("h").eqNullSafe(F.col("rare_h")), "left")
-        more, logs = F.coalesce(F.col("times") / F.col("rows"), F.lit(0)).cast("long"), F.coalesce(F.col("rare_logs") / F.col("rows"), F.lit(0.0))
-    else:
-        more, logs = F.lit(0).cast("long"), F.lit(0.0)
-    return scored.select(
+        each = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+        rare = each.join(counts, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rare_logs"))
+        known = known.join(rare, "row", "left")
+        more, logs = F.coalesce("more", F.lit(0)), F.coalesce("rare_logs", F.lit(0.0))
+    known = known.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    return known.select(
         F.col("key").alias(key), "n_tokens", (F.col("seen") + more).alias("n_known"), F.lit(vocab.n).cast("long").alias("train_tokens"),
-        (F.col("logs") + logs - F.col("n_tokens") * F.lit(floor)).alias("base_score"), (F.col("net") + logs).alias("score"),
+        (F.col("logs") + logs - F.col("n_tokens") * F.lit(floor)).alias("base_score"), (F.col("net") + F.col("inside") + logs).alias("score"),
     )

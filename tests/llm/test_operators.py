@@ -489,7 +489,7 @@ def test_lm_is_a_distribution():
         total[recurrent_lm.tail_class(w, tails)] += c + 1
     vocab = recurrent_lm.Vocabulary(words, counts, short, 3, tails, total, int(counts.sum()), 31)
     net = recurrent_lm.GatedNetwork(vocab, 5)
-    net.train([vocab.encode([words[i % 31] for i in range(1, 200)])[:3]], lanes=2, window=8)
+    net.train([vocab.encode([words[i % 31] for i in range(1, 200)])[1]], lanes=2, window=8)
     h = np.random.default_rng(0).normal(size=(1, 5)).astype(np.float32)
     mass = 0.0
     for i in range(31):
@@ -523,7 +523,7 @@ def test_lm_reads_every_word(spark):
     texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(n)) for n in [1, 3, 33, 500, 70_000, *[900] * 250, 0]]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
     vocab = recurrent_lm.vocabulary(recurrent_lm.word_counts(docs, "text"), 100, 20, 4, 8)
-    encoded = [vocab.encode(recurrent_lm.tokens(t))[:3] for t in texts]
+    encoded = [vocab.encode(recurrent_lm.tokens(t))[1] for t in texts]
     read = []
 
     class Counted(recurrent_lm.Adam):
@@ -533,15 +533,15 @@ def test_lm_reads_every_word(spark):
 
     with pytest.MonkeyPatch.context() as patch:
         patch.setattr(recurrent_lm, "Adam", Counted)
-        assert recurrent_lm.GatedNetwork(vocab, 4).train_all(iter(encoded)) == vocab.n == sum(len(t.split()) + 1 for t in texts)
-    assert (np.bincount(np.concatenate(read) + 1) == np.bincount(np.concatenate([e[0] for e in encoded]) + 1)).all()
+        assert recurrent_lm.GatedNetwork(vocab, 4).train(encoded) == vocab.n == sum(len(t.split()) + 1 for t in texts)
+    assert (np.bincount(np.concatenate(read)) == np.bincount(np.concatenate(encoded))).all()
     # in a task of many words no document is passed over: each one's order of words counts
     lines = [" ".join(f"w{rng.randrange(40)}" for _ in range(1000)) for _ in range(301)]
 
     def weights(texts):
         docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
         vocab = recurrent_lm.vocabulary(recurrent_lm.word_counts(docs, "text"), 100, 20, 4, 8)
-        return recurrent_lm.fitted(docs, vocab, "text", F.lit(1), len(texts), 4, 1).p
+        return recurrent_lm.fitted(recurrent_lm.encoded(docs, vocab, "doc_id", "text", F.lit(True)), vocab, 4, 1, 100_000).p
 
     usual = weights(lines)
     for i in (1, 150, 300):
@@ -554,9 +554,9 @@ def test_lm_window_gradients():
     words = [recurrent_lm.END, b"a", b"b", b"c", b"d"]
     vocab = recurrent_lm.Vocabulary(words, np.array([5, 4, 3, 2, 1]), 4, 2, 3, np.array([2.0, 2.0, 3.0]), 15, 5)
     net = recurrent_lm.GatedNetwork(vocab, 3)
-    docs = [vocab.encode(t)[:3] for t in ([b"a", b"b", b"c"], [b"b"], [b"d", b"a"])]
+    docs = [vocab.encode(t)[1] for t in ([b"a", b"b", b"c"], [b"b"], [b"d", b"a"])]
     start = [p.copy() for p in net.p]
-    assert net.train_all(iter(docs), lanes=2, window=16, rate=1e-3) == 9
+    assert net.train(docs, lanes=2, window=16, rate=1e-3) == 9
     moved = [a - b for a, b in zip(net.p, start)]
     net.p = [p.astype(np.float64) for p in start]
     for i, j in ((0, 5), (0, 14), (1, 2), (1, 20), (2, 4), (4, 3)):
@@ -569,6 +569,28 @@ def test_lm_window_gradients():
         assert abs(up - down) < 1e-7 or (up > down) == (moved[i].flat[j] > 0)
 
 
+def test_lm_scores_do_not_follow_the_split(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.where("doc_id < 20"))  # repeated rows
+    got = []
+    for n in (1, 3, 8):
+        rows = recurrent_lm.score(docs.repartition(n), F.col("doc_id") % 3 != 0, frequent=500, shortlist=64, first_words=5000, shard_words=20_000).collect()
+        assert len(rows) == docs.count()
+        got.append(sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in rows))
+    for other in got[1:]:
+        np.testing.assert_allclose(np.array(other), np.array(got[0]), rtol=1e-6)
+
+
+def test_lm_lanes_hold_every_document():
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 9, int(n)).astype("<u2") for n in [1, 700, *rng.integers(1, 50, 40)]]
+    laid = recurrent_lm.Lanes(docs, 5, 99)
+    assert laid.sums(laid.inputs.astype(float)).tolist() == [float(d.sum()) for d in docs]
+    seen = np.concatenate([at[valid] for at, valid in laid.windows(16)])
+    assert sorted(seen.tolist()) == list(range(sum(map(len, docs)))) and (laid.previous == 99).sum() == len(docs)
+    assert recurrent_lm.Lanes([], 5, 99).sums(np.empty(0)).tolist() == []
+
+
 def test_lm_awkward(spark):
     odd = awkward(spark)
     got = recurrent_lm.score(odd, F.lit(True), frequent=3, shortlist=2).collect()
