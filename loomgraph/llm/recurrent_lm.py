@@ -121,71 +121,96 @@ class GatedNetwork:
             mass[vocabulary.head_classes :] = vocabulary.tail_total
             # biases at the corpus's own frequencies: training starts from the plain counts
             params = [small(vocabulary.start + 1, 3 * hidden), small(hidden, 3 * hidden), small(hidden, vocabulary.classes) * 0.1, np.log(mass + 0.5), small(s, hidden) * 0.1, np.log(vocabulary.counts[:s] + 1.0)]
-        self.p = [np.asarray(x, np.float32) for x in params]
+        self.p = [np.array(x, np.float32) for x in params]
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        table, u = self.p[0], self.p[1]
+    def inputs(self, x: np.ndarray) -> np.ndarray:
+        """What inputs (time, lane) add to the gates: (time, 3 hidden, lane)."""
+        return np.ascontiguousarray(self.p[0][x].transpose(0, 2, 1))
+
+    def step(self, e: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The next states (hidden, lane), the gates z and r, the candidate, and what the state adds to it."""
         k = self.h
-        g = h @ u
-        e = table[x]
-        gates = 1.0 / (1.0 + np.exp(-(e[:, : 2 * k] + g[:, : 2 * k])))
-        z, r = gates[:, :k], gates[:, k:]
-        n = np.tanh(e[:, 2 * k :] + r * g[:, 2 * k :])
-        return n + z * (h - n), z, r, n, g[:, 2 * k :]
+        g = self.p[1].T @ h
+        gates = e[: 2 * k] + g[: 2 * k]
+        gates *= 0.5  # the logistic function by way of tanh
+        np.tanh(gates, out=gates)
+        gates *= 0.5
+        gates += 0.5
+        z, r = gates[:k], gates[k:]
+        n = r * g[2 * k :]
+        n += e[2 * k :]
+        np.tanh(n, out=n)
+        out = h - n
+        out *= z
+        out += n
+        return out, z, r, n, g[2 * k :]
 
     def log_probs(self, h: np.ndarray, classes: np.ndarray, words: np.ndarray, grads: bool = False):
-        """Natural log of P(class) and, for shortlist words, of P(word | class), summed; with
-        `grads` also the gradients of the negated sum over rows by h, wc, bc, wo and bo."""
+        """Natural log of P(class) and, for shortlist words, of P(word | class), summed, for the
+        states (hidden, place); with `grads` also the gradients of the negated sum over places
+        by h, wc, bc, wo and bo."""
         _, _, wc, bc, wo, bo = self.p
-        rows = np.arange(len(h))
-        z = h @ wc + bc
-        z -= z.max(axis=1, keepdims=True)
-        e = np.exp(z)
-        total = e.sum(axis=1)
-        out = z[rows, classes] - np.log(total)
-        if grads:
-            d = e / total[:, None]
-            d[rows, classes] -= 1
-            dh, dwc, dbc = d @ wc.T, h.T @ d, d.sum(axis=0)
-            dwo, dbo = np.zeros_like(wo), np.zeros_like(bo)
-        order = np.argsort(classes, kind="stable")
+        order = np.argsort(classes.astype(np.int16), kind="stable")
         edges = np.searchsorted(classes[order], np.arange(self.v.head_classes + 1))
-        for c in range(self.v.head_classes):
-            at = order[edges[c] : edges[c + 1]]
-            lo, hi = self.v.begin[c], self.v.until[c]
-            if not len(at) or hi - lo < 2:
+        h, c = np.take(h, order, axis=1), classes[order]
+        out, dh = np.empty(len(c), h.dtype), np.empty_like(h)
+        if grads:
+            dwc, dbc, dwo, dbo = np.zeros_like(wc), np.zeros_like(bc), np.zeros_like(wo), np.zeros_like(bo)
+
+        def softmax(weights: np.ndarray, bias: np.ndarray, states: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Log-probabilities of the targets, and all probabilities less one at the target."""
+            z = weights @ states
+            z += bias[:, None]
+            z -= z.max(axis=0)
+            at = np.arange(len(target))
+            hit = z[target, at]
+            np.exp(z, out=z)
+            total = z.sum(axis=0)
+            hit -= np.log(total)
+            if grads:
+                z /= total
+                z[target, at] -= 1
+            return hit, z
+
+        for lo in range(0, len(c), 2048):  # so many places at a time stay in the cache
+            part = slice(lo, lo + 2048)
+            out[part], d = softmax(wc.T, bc, h[:, part], c[part])
+            if grads:
+                dh[:, part] = wc @ d
+                dwc += h[:, part] @ d.T
+                dbc += d.sum(axis=1)
+        for i in range(self.v.head_classes):
+            part, lo, hi = slice(edges[i], edges[i + 1]), self.v.begin[i], self.v.until[i]
+            if edges[i] == edges[i + 1] or hi - lo < 2:
                 continue
-            hc = h[at]
-            z = hc @ wo[lo:hi].T + bo[lo:hi]
-            z -= z.max(axis=1, keepdims=True)
-            e = np.exp(z)
-            total = e.sum(axis=1)
-            inner = np.arange(len(at))
-            out[at] += z[inner, words[at] - lo] - np.log(total)
+            hit, d = softmax(wo[lo:hi], bo[lo:hi], h[:, part], words[order[part]] - lo)
+            out[part] += hit
             if grads:
-                d = e / total[:, None]
-                d[inner, words[at] - lo] -= 1
-                dh[at] += d @ wo[lo:hi]
-                dwo[lo:hi] += d.T @ hc
-                dbo[lo:hi] += d.sum(axis=0)
-        return (out, dh, dwc, dbc, dwo, dbo) if grads else out
+                dh[:, part] += wo[lo:hi].T @ d
+                dwo[lo:hi] += d @ h[:, part].T
+                dbo[lo:hi] += d.sum(axis=1)
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return (out[back], np.take(dh, back, axis=1), dwc, dbc, dwo, dbo) if grads else out[back]
 
     def score(self, docs: list[np.ndarray], lanes: int = 256, window: int = 32) -> np.ndarray:
         """Sum of log10 of the state-dependent probabilities of each document (its inputs), read to its end."""
         laid = Lanes(docs, lanes, self.v.start)
         lp = np.zeros(len(laid.inputs))
-        h = np.zeros((len(laid.length), self.h), np.float32)
+        h = np.zeros((self.h, len(laid.length)), np.float32)
         for at, valid in laid.windows(window):
-            states, x = np.empty((*at.shape, self.h), np.float32), laid.previous[at]
-            fresh, live = x == self.v.start, valid.sum(axis=1)
+            states, x = np.empty((self.h, *at.shape), np.float32), laid.previous[at]
+            e, fresh, live = self.inputs(x), x == self.v.start, valid.sum(axis=1)
             for t in range(len(at)):
-                h = h[: live[t]]
+                if live[t] < h.shape[1]:
+                    h = np.ascontiguousarray(h[:, : live[t]])
                 if fresh[t, : live[t]].any():
-                    h = np.where(fresh[t, : live[t], None], np.float32(0), h)
-                h = self.step(x[t, : live[t]], h)[0]
-                states[t, : live[t]] = h
-            some = at[valid]
-            lp[some] = self.log_probs(states[valid], self.v.class_of_input[laid.inputs[some]], laid.inputs[some])
+                    h[:, fresh[t, : live[t]]] = 0
+                h = self.step(e[t, :, : live[t]], h)[0]
+                states[:, t, : live[t]] = h
+            some, states = at[valid], states.reshape(self.h, -1)
+            states = states if len(some) == at.size else states[:, valid.ravel()]
+            lp[some] = self.log_probs(states, self.v.class_of_input[laid.inputs[some]], laid.inputs[some])
         return laid.sums(lp) / math.log(10.0)
 
     def train(self, docs: list[np.ndarray], lanes: int = 256, window: int = 32, rate: float = 0.01, epochs: int = 1, most: int = 1 << 13) -> int:
@@ -197,13 +222,13 @@ class GatedNetwork:
         laid = Lanes([d[lo : lo + most] for d in docs for lo in range(0, len(d), most)], lanes, self.v.start)
         adam, seen, total = Adam(self), 0, epochs * len(laid.inputs)
         for _ in range(epochs):
-            h = np.zeros((len(laid.length), self.h), np.float32)
+            h = np.zeros((self.h, len(laid.length)), np.float32)
             for at, valid in laid.windows(window):
                 x, w, whole = laid.previous[at], laid.inputs[at], bool(valid.all())
                 count = at.size if whole else int(valid.sum())
                 # windows of few words move the weights by their share of a full one
                 now = rate * (1 - 0.9 * seen / total) * count / (len(laid.length) * window)
-                h = adam.window(x, x == self.v.start, w, self.v.class_of_input[w], h[: at.shape[1]], now, None if whole else valid)
+                h = adam.window(x, x == self.v.start, w, self.v.class_of_input[w], h[:, : at.shape[1]], now, None if whole else valid)
                 seen += count
         return seen
 
@@ -255,49 +280,70 @@ class Adam:
         self.m, self.s = [np.zeros_like(p) for p in net.p], [np.zeros_like(p) for p in net.p]
 
     def window(self, x: np.ndarray, fresh: np.ndarray, words: np.ndarray, classes: np.ndarray, h: np.ndarray, rate: float, valid: np.ndarray | None = None) -> np.ndarray:
-        """One update; arrays are (time, lane).  `fresh`: the state starts anew there; `valid`:
+        """One update; arrays are (time, lane), states (hidden, lane).  `fresh`: the state starts anew there; `valid`:
         where there is a word, which only the ends of lanes lack.  The states at the end."""
         net = self.net
         k, u = net.h, net.p[1]
         span, lanes = x.shape
-        past, hidden, before = [], np.empty((span, lanes, k), np.float32), np.empty((span, lanes, k), np.float32)
+        kind = net.p[1].dtype
+        hidden, before, past = (np.empty((n, span, k, lanes), kind) for n in (1, 1, 4))
+        hidden, before = hidden[0], before[0]
+        e = net.inputs(x)
+        anew = fresh.any(axis=1)
         for t in range(span):
-            if fresh[t].any():
-                h = np.where(fresh[t][:, None], np.float32(0), h)
+            if anew[t]:
+                h = np.where(fresh[t], kind.type(0), h)
             before[t] = h
-            h, z, r, n, gn = net.step(x[t], h)
-            past.append((z, r, n, gn))
+            h, past[0, t], past[1, t], past[2, t], past[3, t] = net.step(e[t], h)
             hidden[t] = h
+        wide = lambda a: np.ascontiguousarray(a.transpose(1, 0, 2)).reshape(a.shape[1], -1)  # noqa: E731  (time, n, lane) to (n, place)
         at = slice(None) if valid is None else np.flatnonzero(valid.ravel())
         flat_c, flat_w = classes.ravel()[at], words.ravel()[at]
-        _, dh, dwc, dbc, dwo, dbo = net.log_probs(hidden.reshape(-1, k)[at], flat_c, flat_w, grads=True)
-        dh_all = np.zeros((span * lanes, k), np.float32)
-        dh_all[at] = dh
-        dh_all = dh_all.reshape(span, lanes, k)
-        din, dg = np.empty((span, lanes, 3 * k), np.float32), np.empty((span, lanes, 3 * k), np.float32)
-        carry = np.zeros((lanes, k), np.float32)
+        _, dh, dwc, dbc, dwo, dbo = net.log_probs(wide(hidden)[:, at], flat_c, flat_w, grads=True)
+        if valid is not None:
+            some, dh = dh, np.zeros((k, span * lanes), kind)
+            dh[:, at] = some
+        dh = dh.reshape(k, span, lanes)
+        # of the error of a state: the shares that go to the candidate, to z, and from the candidate to r
+        z, r, n, gn = past
+        to_n = (1 - z) * (1 - n * n)
+        to_z = (before - n) * z * (1 - z)
+        to_r = gn * r * (1 - r)
+        dg, dn = np.empty((span, 3 * k, lanes), kind), np.empty((span, k, lanes), kind)
+        carry = np.zeros((k, lanes), kind)
         for t in range(span - 1, -1, -1):
-            z, r, n, gn = past[t]
-            d = dh_all[t] + carry
-            pn = d * (1 - z) * (1 - n * n)
-            pz = d * (before[t] - n) * z * (1 - z)
-            din[t, :, :k], din[t, :, k : 2 * k], din[t, :, 2 * k :] = pz, pn * gn * r * (1 - r), pn
-            dg[t, :, : 2 * k], dg[t, :, 2 * k :] = din[t, :, : 2 * k], pn * r
-            carry = d * z + dg[t] @ u.T
-            carry[fresh[t]] = 0
-        du = before.reshape(-1, k).T @ dg.reshape(-1, 3 * k)
+            carry += dh[:, t]
+            np.multiply(carry, to_n[t], out=dn[t])
+            np.multiply(carry, to_z[t], out=dg[t, :k])
+            np.multiply(dn[t], to_r[t], out=dg[t, k : 2 * k])
+            np.multiply(dn[t], r[t], out=dg[t, 2 * k :])
+            carry *= z[t]
+            carry += u @ dg[t]
+            if anew[t]:
+                carry[:, fresh[t]] = 0
+        du = wide(before) @ wide(dg).T
+        dg[:, 2 * k :] = dn  # what the inputs add to the candidate is not gated
         flat_x = x.ravel()
-        order = np.argsort(flat_x, kind="stable")
+        order = np.argsort(flat_x.astype(np.int16) if net.v.start < 1 << 15 else flat_x, kind="stable")
         begin = np.flatnonzero(np.diff(flat_x[order], prepend=-1))
         dtable = np.zeros_like(net.p[0])
-        dtable[flat_x[order[begin]]] = np.add.reduceat(din.reshape(-1, 3 * k)[order], begin, axis=0)
+        dtable[flat_x[order[begin]]] = np.add.reduceat(dg.transpose(0, 2, 1).reshape(-1, 3 * k)[order], begin, axis=0)
         self.steps += 1
         low, high = np.float32(1 - 0.9**self.steps), np.float32(1 - 0.99**self.steps)
         for i, g in enumerate((dtable, du, dwc, dbc, dwo, dbo)):
-            g = np.clip(g / np.float32(len(flat_c)), -0.1, 0.1)
-            self.m[i] = np.float32(0.9) * self.m[i] + np.float32(0.1) * g
-            self.s[i] = np.float32(0.99) * self.s[i] + np.float32(0.01) * g * g
-            net.p[i] = (net.p[i] - np.float32(rate) * (self.m[i] / low) / (np.sqrt(self.s[i] / high) + np.float32(1e-6))).astype(np.float32)
+            g *= kind.type(1 / len(flat_c))
+            np.clip(g, -0.1, 0.1, out=g)
+            self.m[i] *= kind.type(0.9)
+            self.m[i] += kind.type(0.1) * g
+            self.s[i] *= kind.type(0.99)
+            g *= g
+            self.s[i] += kind.type(0.01) * g
+            np.divide(self.s[i], high, out=g)
+            np.sqrt(g, out=g)
+            g += kind.type(1e-6)
+            np.divide(self.m[i], g, out=g)
+            g *= kind.type(rate) / low
+            net.p[i] -= g
         return h
 
 

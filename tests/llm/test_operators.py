@@ -490,7 +490,7 @@ def test_lm_is_a_distribution():
     vocab = recurrent_lm.Vocabulary(words, counts, short, 3, tails, total, int(counts.sum()), 31)
     net = recurrent_lm.GatedNetwork(vocab, 5)
     net.train([vocab.encode([words[i % 31] for i in range(1, 200)])[1]], lanes=2, window=8)
-    h = np.random.default_rng(0).normal(size=(1, 5)).astype(np.float32)
+    h = np.random.default_rng(0).normal(size=(5, 1)).astype(np.float32)
     mass = 0.0
     for i in range(31):
         at, _, classes, _ = vocab.encode([words[i]])
@@ -506,7 +506,7 @@ def test_lm_gradients():
     vocab = recurrent_lm.Vocabulary(words, np.array([5, 4, 3, 2, 1]), 4, 2, 3, np.array([2.0, 2.0, 3.0]), 15, 5)
     net = recurrent_lm.GatedNetwork(vocab, 3)
     net.p = [p.astype(np.float64) for p in net.p]
-    h, classes, at = np.random.default_rng(1).normal(size=(6, 3)), vocab.class_of[[0, 1, 2, 3, 4, 1]], np.array([0, 1, 2, 3, 4, 1])
+    h, classes, at = np.random.default_rng(1).normal(size=(3, 6)), vocab.class_of[[0, 1, 2, 3, 4, 1]], np.array([0, 1, 2, 3, 4, 1])
     out = net.log_probs(h, classes, at, grads=True)
     for i, g in ((2, out[2]), (3, out[3]), (4, out[4]), (5, out[5])):
         for j in range(min(4, net.p[i].size)):
