@@ -20,7 +20,7 @@ URL_RULES = [
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents")).drop("digest")
 
 
 def op2_parity_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,12 +108,16 @@ ORACLE: dict[str, str] = {
             list_filter(string_split_regex(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
           FROM po
         ), r AS (
-          SELECT doc_id, start, "end", array_to_string(words, ' ') AS norm FROM u WHERE len(words) >= 6
+          SELECT doc_id, start, "end", array_to_string(words, ' ') AS norm, len(words) AS words,
+            row_number() OVER (PARTITION BY doc_id ORDER BY start) AS place
+          FROM u WHERE len(words) > 0
         ), k AS (
-          SELECT doc_id, start, "end", first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start, count(*) OVER (PARTITION BY norm) AS copies
+          SELECT doc_id, start, "end", words, place, first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start, count(*) OVER (PARTITION BY norm) AS copies
           FROM r WINDOW w AS (PARTITION BY norm ORDER BY doc_id, start)
-        )
-        SELECT * FROM k WHERE doc_id <> kept_doc_id OR start <> kept_start
+        ), a AS (
+          SELECT *, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run FROM k WHERE doc_id <> kept_doc_id OR start <> kept_start
+        ), s AS (SELECT *, CAST(sum(words) OVER (PARTITION BY doc_id, run) AS BIGINT) AS run_words FROM a)
+        SELECT doc_id, start, "end", kept_doc_id, kept_start, copies, run_words FROM s WHERE run_words >= 20
     """,
     "op2_parity_jaccard": r"""
         WITH RECURSIVE w AS (

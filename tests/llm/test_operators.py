@@ -43,12 +43,61 @@ def test_units_keep_offsets():
 def test_repeats_go_but_the_first(spark):
     line = "alpha beta gamma delta epsilon zeta eta."
     docs = spark.createDataFrame([(1, f"Intro. {line}\nOwn words of one, and only one, document."), (2, f"{line.upper()} tail"), (3, None), (4, "")], "doc_id long, text string")
-    got = substring_dedup.repeated_spans(docs)
+    assert substring_dedup.repeated_spans(docs, min_words=8).count() == 0
+    got = substring_dedup.repeated_spans(docs, min_words=7)
     assert [(r["doc_id"], r["start"], r["end"], r["kept_doc_id"], r["kept_start"]) for r in got.collect()] == [(2, 0, len(line), 1, 7)]
     cleaned = {r["doc_id"]: r["text"] for r in substring_dedup.without_spans(docs, got).collect()}
     assert cleaned == {1: f"Intro. {line}\nOwn words of one, and only one, document.", 2: " tail", 3: None, 4: ""}
 
 
+@pytest.mark.parametrize("unit", ["line", "paragraph", "sentence"])
+def test_repeats_are_those_of_brute_force(spark, unit):
+    """Also with null keys, repeated rows, several texts of a key, very long texts, and short units inside a passage."""
+    rng = random.Random(6)
+    pool = [" ".join(f"w{rng.randrange(400)}" for _ in range(rng.choice([1, 2, 5, 9, 14]))) + rng.choice([".", "!", "", " ?"]) for _ in range(60)]
+    passage = pool[:7]
+    texts = []
+    for _ in range(60):
+        parts = [rng.choice(pool) if rng.random() < 0.3 else f"own {rng.random()}." for _ in range(rng.randrange(0, 12))]
+        at = rng.randrange(len(parts) + 1)
+        parts[at:at] = passage if rng.random() < 0.4 else []
+        texts.append(rng.choice(["\n", " ", "\n\n", "\n \n"]).join(parts))
+    texts += [None, "", " \n", LONG + "\n" + passage[3], LONG]
+    rows = [(i if i % 9 else None, t) for i, t in enumerate(texts)]
+    rows += [rows[3], rows[3], (5, texts[40]), (None, texts[0])]
+    docs = spark.createDataFrame([(k, t, "x", 1, 2, 3, 4.0) for k, t in rows], "doc_id long, text string, start string, h1 int, words int, place int, copies double")
+    units = []
+    for k, t in {(k, t): 0 for k, t in rows}:
+        for place, (a, b) in enumerate(substring_dedup.spans_of(t or "", substring_dedup._BORDER[unit])):
+            units.append((k is not None, k or 0, a, t, b, place, tuple(t[a:b].encode().lower().split())))
+    groups = defaultdict(list)
+    for u in units:
+        groups[u[6]].append(u)
+    repeats = {(u[1] if u[0] else None, u[3], u[5]): u for g in groups.values() if len(g) > 1 for u in g}
+    first = {w: {x[:3] for x in g if x[:3] == min(y[:3] for y in g)} for w, g in groups.items()}
+    got = substring_dedup.repeated_spans(docs, unit=unit, min_words=12)
+    found = {(r["doc_id"], r["digest"], r["start"], r["end"]): r for r in got.collect()}
+    assert len(found) == got.count() > 20
+    digest = {r["text"]: r["d"] for r in docs.select("text", F.xxhash64("text").alias("d")).collect()}
+    kept = set()
+    for (k, t, place), u in repeats.items():
+        key = (k, digest[t], u[2], u[4])
+        if key not in found:
+            kept.add(key)
+            continue
+        r = found.pop(key)
+        assert (r["kept_doc_id"] is not None, r["kept_doc_id"] or 0, r["kept_start"]) in first[u[6]] and r["run_words"] >= 12
+    assert not found  # nothing but repeats goes
+    for words, g in groups.items():  # and of every repeat one stays at least
+        assert len(g) < 2 or any((u[1] if u[0] else None, digest[u[3]], u[2], u[4]) in kept for u in g)
+    # a passage goes whole wherever it is not the first
+    whole = [r["text"] for r in substring_dedup.without_spans(docs, got).collect() if r["text"]]
+    if unit == "sentence":
+        assert sum(passage[3] in t for t in whole) < sum(passage[3] in t for _, t in rows if t)
+    assert substring_dedup.without_spans(docs, got).columns == docs.columns and substring_dedup.without_spans(docs, got).count() == len(rows)
+    assert substring_dedup.repeated_spans(awkward(spark, [])).count() == 0
+
+
 # ------------------------------------------------------------------ 2
 
 
