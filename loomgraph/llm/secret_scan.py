@@ -6,15 +6,18 @@ value to its closing quote, a bare one to the next white space, less closing pun
 It is described by its length and make-up, by how usual its character transitions are in
 the words of all documents, by the share of it that dictionary words cover, by its path,
 and by the words around it.  A random forest trained on labelled findings then tells
-credentials from long words, numbers, placeholders and identifiers.
+credentials from long words, numbers, placeholders and identifiers.  Where nobody has
+judged findings, labelled ones are planted: generated credentials, and generated values of
+other kinds, are set amid words of the documents, so their labels are known and follow from
+no feature.
 
 All of it is DataFrame functions and the tree library's own transformers; no Python runs
 on the executors.  Word counts, transitions and coverage come from all documents.
 
 Defined results: null and empty texts have no candidates; each of several rows of one key
-has its own; a null path is the empty path; without labelled findings of both kinds the
-score is the share of label 1 among them, or the assumed label where there are none at all;
-very long texts and values are taken whole; other columns are ignored, whatever their names.
+has its own; a null path is the empty path; where given labelled findings are not of both
+kinds the score is the share of label 1 among them, 0 where there are none at all; very long
+texts and values are taken whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -69,20 +72,20 @@ def transition_table(words: DataFrame) -> list[float]:
 
 
 def candidates(docs: DataFrame, key: str, text: str, path: str) -> DataFrame:
-    """(row, key, path, start, value, before, after): every candidate of every text, with the
-    48 characters on either side of it."""
+    """(row, at, key, digest, path, start, value, before, after): every candidate of every text,
+    with the 48 characters on either side of it; digest: of the text."""
     found = lambda pattern, group: F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(group))
     # each match goes on where the one before ended, so the lengths add up to offsets
     upto = F.transform(found(rf"\G[\s\S]*?{_CANDIDATE}", 0), lambda s: F.length(s))
     # a look behind takes the shortest that fits: all 48, or all there are; the last branch only
     # lets it reach as far as 48 characters of two units each
     before = found(rf"(?={_CANDIDATE})(?<=((?![\x{{DC00}}-\x{{DFFF}}])[\s\S]{{48}}|\A[\s\S]{{0,47}}|[^\s\S]{{96}})){_CANDIDATE}", 1)
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("digest"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.col(text).alias("text"))
     rows = rows.where(F.col("text").rlike(_CANDIDATE)).withColumn("row", F.monotonically_increasing_id())
     each = F.arrays_zip(found(_CANDIDATE, 0).alias("value"), upto.alias("upto"), before.alias("before"), found(rf"{_CANDIDATE}(?=([\s\S]{{0,48}}))", 1).alias("after"))
-    out = rows.select("row", "key", "path", F.posexplode(each).alias("at", "c")).select("row", "at", "key", "path", "c.*")
+    out = rows.select("row", "key", "digest", "path", F.posexplode(each).alias("at", "c")).select("row", "at", "key", "digest", "path", "c.*")
     end = F.sum("upto").over(Window.partitionBy("row").orderBy("at"))
-    return out.select("row", "at", "key", "path", (end - F.length("value")).cast("long").alias("start"), "value", "before", "after")
+    return out.select("row", "at", "key", "digest", "path", (end - F.length("value")).cast("long").alias("start"), "value", "before", "after")
 
 
 def described(found: DataFrame, words: DataFrame, transitions: list[float], usual_from: int = 5) -> DataFrame:
@@ -113,13 +116,51 @@ def described(found: DataFrame, words: DataFrame, transitions: list[float], usua
     return out.withColumns(columns).drop("codes", "steps", "chars")
 
 
-def assumed_label() -> Column:
-    """Labels for findings nobody has judged: 1 for a varied value assigned to a credential
-    word, 0 for a stand-in or a value with neither credential word nor assignment, else null."""
-    c = F.col
-    named = (c("credential_before") == 1) & (c("assigned") == 1)
-    varied = (c("digits") > 0) & (c("digits") < 1) & (c("variety") >= 0.2) & (c("stand_in") == 0)
-    return F.when(named & varied, 1).when(named | ((c("credential_before") == 0) & (c("assigned") == 0) & ((c("digits") == 0) | (c("digits") == 1))), 0)
+def planted(docs: DataFrame, key: str, text: str, path: str, sample_rows: int, seed: int = 13) -> DataFrame:
+    """(id, path, text, start, value, label): generated findings amid words of `docs`, stored.
+
+    Of about `sample_rows` rows, each sampled document has one of every kind; values follow
+    from a hash of its key and text.
+    """
+    hashed = lambda n: F.sha2(F.concat_ws(":", F.col("own"), F.lit(n)), 256)
+    coded = lambda n: F.regexp_replace(F.base64(F.unhex(hashed(n))), r"\s", "")
+    web = lambda n: F.translate(coded(n), "+/=", "-_")
+    digits = lambda n: F.translate(hashed(n), "abcdef", "417203")
+    part = lambda c, n: F.substring(c, 1, n)
+    near = lambda n: F.element_at("words", F.lit(n))  # noqa: E731  words around it
+    short = F.concat(part(coded(1), 5), F.translate(part(hashed(2), 1), "0123456789abcdef", "!@#$%&*?!@#$%&*?"), part(coded(3), 4), part(digits(4), 2))
+    uuid = F.concat_ws("-", part(hashed(5), 8), part(hashed(6), 4), part(hashed(7), 4), part(hashed(8), 4), part(hashed(9), 12))
+    camel = F.regexp_replace(F.initcap(F.concat_ws(" ", *[near(i) for i in range(1, 6)])), r"[^\p{L}]", "")
+    snake = F.lower(F.regexp_replace(F.concat_ws("_", F.lit("get"), near(2), near(3), near(4), F.lit("from_settings")), r"[^\w]", ""))
+    kinds: list[tuple[int, str, Column, str]] = [
+        (1, 'token = "', part(hashed(10), 40), '"'), (1, "API_KEY=", part(web(11), 32), ""), (1, 'password: "', short, '"'),
+        (1, '"client_secret": "', coded(12), '"'), (1, "Authorization: Bearer ", part(web(13), 40), ""), (1, "aws_secret_access_key = ", part(coded(14), 40), ""),
+        (1, "passwd='", F.concat(part(coded(15), 9), part(digits(16), 3)), "'"), (1, "auth_token: ", part(hashed(17), 32), ""),
+        (0, "commit ", part(hashed(18), 40), ""), (0, "sha256:", hashed(19), ""), (0, 'etag: "', part(hashed(20), 32), '"'), (0, 'id = "', uuid, '"'),
+        (0, 'token = "', F.concat(F.lit("your-token-"), near(1), F.lit("-here-xxxx")), '"'), (0, "password: ", F.concat(F.lit("${"), F.upper(snake), F.lit("}")), ""),
+        (0, "api_key = ", F.concat(F.lit("settings."), snake), ""), (0, 'password = "', F.concat(F.lit("changeme_example_"), part(digits(21), 2)), '"'),
+        (0, "order ", part(digits(22), 16), ""), (0, "", F.concat(F.lit("/usr/share/"), F.concat_ws("/", *[F.regexp_replace(near(i), r"[^\w]", "") for i in range(1, 5)])), ""),
+        (0, "class ", camel, ""), (0, "", F.lower(camel), ""), (0, "see ", F.concat(part(digits(23), 9), F.lit("-"), part(digits(24), 9)), ""), (0, "data: ", F.concat(coded(25), coded(26), coded(27)), ""),
+    ]
+    n = max(1, docs.count())
+    own = F.xxhash64(F.col(key).cast("string"), F.col(text), F.lit(seed))
+    some = docs.where(F.pmod(own, F.lit(1 << 30)) < F.lit(int(min(1.0, sample_rows / len(kinds) / n) * (1 << 30))))
+    some = some.select(own.alias("own"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.split(F.coalesce(F.col(text), F.lit("")), r"\s+").alias("w"))
+    # sixteen words from somewhere in the text, made up to as many with one that is always there
+    at = F.pmod(F.col("own"), F.greatest(F.lit(1), F.size("w") - 15)).cast("int") + 1
+    some = some.withColumn("words", F.concat(F.slice("w", at, F.lit(16)), F.array_repeat(F.lit("word"), 16))).drop("w")
+    each = F.explode(F.array(*[F.struct(F.lit(y).alias("label"), F.lit(a).alias("ahead"), v.alias("value"), F.lit(b).alias("behind")) for y, a, v, b in kinds]))
+    rows = some.select("path", F.concat(F.array_join(F.slice("words", 1, 8), " "), F.lit(" ")).alias("head"), F.array_join(F.slice("words", 9, 8), " ").alias("tail"), each.alias("k"))
+    text_ = F.concat("head", "k.ahead", "k.value", "k.behind", F.lit(" "), "tail")
+    return stash(rows.select(F.monotonically_increasing_id().alias("id"), "path", text_.alias("text"), (F.length("head") + F.length("k.ahead")).cast("long").alias("start"), "k.value", "k.label"))
+
+
+def planted_findings(docs: DataFrame, words: DataFrame, transitions: list[float], key: str, text: str, path: str, sample_rows: int = 20_000) -> DataFrame:
+    """Described candidates with their `label`, as found among planted ones."""
+    rows = planted(docs, key, text, path, sample_rows)
+    found = stash(candidates(rows, "id", "text", "path"))
+    truth = rows.select(F.col("id").alias("key"), "start", "value", "label")
+    return described(found.join(truth, ["key", "start", "value"]), words, transitions)
 
 
 @dataclass
@@ -130,7 +171,7 @@ class SecretModel:
     def score(self, findings: DataFrame) -> DataFrame:
         """`findings` with a score from 0 to 1."""
         if self.forest is None:
-            return findings.withColumn("score", F.lit(self.base) if self.base is not None else F.coalesce(assumed_label(), F.lit(0)).cast("double"))
+            return findings.withColumn("score", F.lit(self.base or 0.0))
         vectors = VectorAssembler(inputCols=FEATURES, outputCol="__x").transform(findings)
         return self.forest.transform(vectors).withColumn("score", vector_to_array("probability")[1]).drop("__x", "rawPrediction", "probability", "prediction")
 
@@ -153,32 +194,36 @@ def train(labelled: DataFrame, sample_rows: int = 20_000, trees: int = 20, depth
     return SecretModel(RandomForestClassifier(featuresCol="__x", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(vectors), None)
 
 
-def findings(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
-    """Every candidate of `docs` with its FEATURES, stored once."""
-    words = stash(word_counts(docs, text))
-    return stash(described(candidates(docs, key, text, path), words, transition_table(words)))
+def findings(docs: DataFrame, words: DataFrame, transitions: list[float], key: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
+    """Every candidate of `docs` with its FEATURES; the search over the texts is stored and runs once."""
+    return described(stash(candidates(docs, key, text, path)), words, transitions)
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, key: str = "doc_id", text: str = "text", path: str = "source", threshold: float = 0.5) -> DataFrame:
-    """(key, start, length, value, score, is_secret) of every candidate.
+    """(key, start, length, value, score, is_secret, digest) of every candidate; digest: of the text.
 
     `labelled`: judged findings (from `findings`, with a 0/1 column `label`); without any,
-    the forest learns from `assumed_label`.
+    the forest learns from planted ones.
     """
-    found = findings(docs, key, text, path)
-    model = train(found.withColumn("label", assumed_label()) if labelled is None else labelled)
-    scored = model.score(found)
-    return scored.select(F.col("key").alias(key), "start", F.length("value").cast("long").alias("length"), "value", "score", (F.col("score") >= threshold).alias("is_secret"))
+    words = stash(word_counts(docs, text))
+    transitions = transition_table(words)
+    model = train(planted_findings(docs, words, transitions, key, text, path) if labelled is None else labelled)
+    scored = model.score(findings(docs, words, transitions, key, text, path))
+    return scored.select(F.col("key").alias(key), "start", F.length("value").cast("long").alias("length"), "value", "score", (F.col("score") >= threshold).alias("is_secret"), "digest")
 
 
 def redacted(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """`docs` with every secret of `found` replaced by `mark`; texts without any stay where they are."""
-    secrets = found.where("is_secret").groupBy(F.col(key).alias("__key")).agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("__gone"))
+    """`docs` with every secret of `found` replaced by `mark`; texts without any stay where they are.
+
+    Findings belong to rows by key and text, so null keys and repeated keys are served alike.
+    """
+    secrets = found.where("is_secret").groupBy(F.col(key).alias("__key"), F.col("digest").alias("__digest")).agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("__gone"))
     secrets = stash(secrets)
-    flagged = maybe_in(docs, F.col(key), secrets.select("__key"))
+    digest = F.xxhash64(F.col(text))
+    flagged = maybe_in(docs, digest, secrets.select("__digest"))
     ends = F.concat(F.transform("__gone", lambda s: s["start"]), F.array(F.length(text).cast("long")))
     begins = F.concat(F.array(F.lit(0).cast("long")), F.transform("__gone", lambda s: s["end"]))
     pieces = F.zip_with(begins, ends, lambda b, e: F.substring(F.col(text), (b + 1).cast("int"), (e - b).cast("int")))
     cleaned = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(pieces, mark))
-    some = flagged.where("__maybe").join(secrets, F.col(key) == F.col("__key"), "left").withColumn(text, cleaned).select(*docs.columns)
+    some = flagged.where("__maybe").join(secrets, (digest == F.col("__digest")) & F.col(key).eqNullSafe(F.col("__key")), "left").withColumn(text, cleaned).select(*docs.columns)
     return flagged.where(~F.col("__maybe")).select(*docs.columns).unionByName(some)

@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -319,7 +320,8 @@ def test_secret_contexts_at_any_length(spark):
     for r in got:
         t, start, end = texts[r["key"]], r["start"], r["start"] + len(r["value"])
         assert t[start:end] == r["value"] and r["before"] == t[max(0, start - 48) : start] and r["after"] == t[end : end + 48]
-    long = secret_scan.findings(docs).where("key < 4").collect()
+    words = secret_scan.word_counts(docs, "text")
+    long = secret_scan.findings(docs, words, secret_scan.transition_table(words)).where("key < 4").collect()
     assert len(long) == 4 and all(r["credential_before"] == r["assigned"] == r["quoted"] == r["credential_after"] == 1 for r in long)
 
 
@@ -349,6 +351,33 @@ def test_secret_candidates_of_settings(spark):
     assert {t: got[t] for t in cases} == cases
 
 
+def test_secrets_on_held_out_findings(spark):
+    """Precision and recall on planted findings the forest has not seen, and on the tokens and numbers of the given table."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    words = docs.sparkSession.createDataFrame(secret_scan.word_counts(docs, "text").collect(), "word string, n long")
+    found = secret_scan.stash(secret_scan.planted_findings(docs, words, secret_scan.transition_table(words), "doc_id", "text", "source", 6000))
+    part = F.pmod(F.xxhash64("value", F.lit(77)), F.lit(4))
+    scored = secret_scan.train(found.where(part > 0)).score(found.where(part == 0))
+    n = {(r["label"], r["yes"]): r["count"] for r in scored.groupBy("label", (F.col("score") >= 0.5).alias("yes")).count().collect()}
+    right, wrong, missed = n.get((1, True), 0), n.get((0, True), 0), n.get((1, False), 0)
+    assert right + missed > 300 and right / (right + wrong) > 0.95 and right / (right + missed) > 0.95
+    got = secret_scan.scan(docs).where("is_secret")
+    rows = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    want = {(i, m.start(1), m.end(1)) for i, t in rows.items() for m in re.finditer(r'token = "([0-9a-f]{40})"', t)}
+    mine = {(r["doc_id"], r["start"], r["start"] + r["length"]) for r in got.collect()}
+    assert want and len(want & mine) / len(want) > 0.95 and len(want & mine) / len(mine) > 0.95
+
+
+def test_redaction_is_by_row(spark):
+    token = "0123456789abcdef0123456789abcdef01234567"
+    rows = [(None, f'token = "{token}" here'), (7, f'a token = "{token}" b'), (7, "a wholly other text that is long enough to be cut in its midst"), (7, f'a token = "{token}" b'), (None, None), (8, "")]
+    docs = spark.createDataFrame([(k, t, "s", 1, "d", [2]) for k, t in rows], "doc_id long, text string, source string, start int, digest string, value array<int>")
+    found = secret_scan.scan(docs)
+    out = secret_scan.redacted(docs, found)
+    assert out.columns == docs.columns
+    assert sorted((repr(r["doc_id"]), repr(r["text"])) for r in out.collect()) == sorted((repr(k), repr(t and t.replace(token, "[SECRET]"))) for k, t in rows)
+
+
 def test_secrets_awkward(spark):
     odd = awkward(spark, [*AWKWARD, "x" * 50_000, "token = " + "a1" * 20 + "-" + "b2" * 30])
     found = secret_scan.scan(odd)
