@@ -107,15 +107,17 @@ def fit_lengths(lengths: list[int], counts: list[int], budget: int, window: int
     return take
 
 
-def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 1, lane_rows: int = 512) -> DataFrame:
-    """(key, source, size, source_size, target, copies, taken) for each document.
+def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 1, lane_rows: int = 512, row: str | None = None) -> DataFrame:
+    """(key, source, size, source_size, target, copies, taken) for each document, and `row` if named.
 
     `weights` are dealt to the sources in code-point order, repeating.  `lane_rows` is the
     usual size of the groups in which documents of one source and length are ranked: only
     the one group at the border is ranked row by row, the others are taken or left whole.
+    `row` names a column that tells repeated rows apart.
     """
-    sized = docs.select(F.col(key), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    sized = stash(sized.withColumn("order", F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col("size"))))
+    kept = [key, row] if row else [key]
+    sized = docs.select(*kept, F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col(text)).alias("order"))
+    sized = stash(sized)
     targets = stash(source_targets(sized, weights, share, most))
     counted = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
     of_source = targets.withColumnRenamed("source", "of_source")
@@ -143,15 +145,17 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float =
     rank = F.row_number().over(Window.partitionBy("source", "size").orderBy("order", key))
     split = marked.where("lane = border").withColumn("rank", rank).withColumn("more", F.when(F.col("rank") <= F.col("inside"), 1).otherwise(0)).drop("rank")
     copies = (F.col("whole") + F.col("more")).cast("int")
-    return clear.unionByName(split).select(key, "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return clear.unionByName(split).select(*kept, "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, weights: list[float], key: str = "doc_id", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: list[float], key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The rows of `docs` that the mix takes, each as often as it takes them.
 
-    Rows of null key cannot be told apart and are left out; repeated rows of one key are
-    each taken as often as the one taken most.
+    Rows are stored with a number of their own first, so rows of null key and repeated rows
+    are each taken as often as planned.
     """
-    copies = mix(docs, weights, key=key, **options).groupBy(F.col(key).alias("__key")).agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    taken = docs.join(copies, F.col(key) == F.col("__key"))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    stored = stash(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")))
+    sized = stored.select("row", F.col(f"doc.{key}").alias("key"), F.col(f"doc.{text}").alias("text"), F.col(f"doc.{source}").alias("source"))
+    copies = mix(sized, weights, key="key", row="row", **options).where("copies > 0").select("row", "copies")
+    taken = stored.join(copies, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return taken.select("doc.*")

@@ -258,6 +258,15 @@ def test_mix_awkward(spark):
     rows = mixing.mix(awkward(spark), [5, 2, 1]).collect()
     assert len(rows) == len(AWKWARD) + 2 and all(r["taken"] == r["copies"] * r["size"] for r in rows)
     assert mixing.mix(awkward(spark, []), [5, 2, 1]).count() == 0
+    # by row: null keys and repeated rows are each taken as planned
+    rows = [(None, "a b c", "s"), (None, "d e", "s"), (3, "f g h i", "s"), (3, "f g h i", "s"), (3, "f g h i", "s"), (3, "other", "s"), (4, None, None)]
+    docs = spark.createDataFrame([(k, t, x, 1, 2, 3) for k, t, x in rows], "doc_id long, text string, source string, row int, copies int, copy int")
+    mixed = mixing.mixed_documents(docs, [5, 2, 1])
+    words = {s: sum(len((t or "").split()) for _, t, x in rows if x == s) for s in ("s", None)}
+    got = mixed.collect()
+    assert mixed.columns == docs.columns and sum(len((r["text"] or "").split()) for r in got) == round(1.5 * words["s"])
+    times = Counter((r["doc_id"], r["text"]) for r in got)
+    assert {(None, "a b c"), (None, "d e"), (3, "f g h i"), (3, "other")} <= set(times) and times[(3, "f g h i")] >= 3
 
 
 # ------------------------------------------------------------------ 4
@@ -701,3 +710,18 @@ def test_pipeline_stage_by_stage(spark):
     packed = corpus_pipeline.pack(spark, mixed, SF)
     assert json.dumps(sorted(packed.columns)) == json.dumps(sorted(["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]))
     assert packed.where("piece = 0").count() == mixed.count()
+
+
+def test_pipeline_stages_take_awkward_rows(spark):
+    """Nulls in every column, repeated rows, empty and very long texts, and no rows at all."""
+    import corpus_pipeline
+
+    for docs in (awkward(spark), awkward(spark, [])):
+        docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+        for name, stage in corpus_pipeline.STAGES:
+            out = corpus_pipeline.stash(stage(spark, docs, SF))
+            assert name == "best_fit_packing" or out.columns == docs.columns
+            if name in ("toxicity", "secret_scans"):
+                assert out.count() == docs.count()
+            docs = out
+        assert name == "best_fit_packing"
