@@ -18,9 +18,16 @@ VOLATILE = {"document": ["project.commit", "project.repository", "metadata.gener
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """(kind, op, id, field, before, after): what was added, removed or modified.
 
-    Of the document itself only fields are compared.  An absent field reads as null.
+    Of the document itself only fields are compared.  An absent field reads as null.  Where
+    elements share an id the last one counts, by a column `ord` if there is one, else the
+    value that sorts last.
     """
-    by = lambda df: df.groupBy("kind", "id").agg(F.map_from_entries(F.collect_set(F.struct("field", "value"))).alias("m"))
+
+    def by(df: DataFrame) -> DataFrame:
+        last = F.max_by("value", F.struct("ord", "value")) if "ord" in df.columns else F.max("value")
+        one = df.groupBy("kind", "id", "field").agg(last.alias("value"))
+        return one.groupBy("kind", "id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("m"))
+
     met = by(old).withColumnRenamed("m", "o").join(by(new).withColumnRenamed("m", "n"), ["kind", "id"], "full_outer")
     gone = (F.col("kind") != "document") & (F.col("o").isNull() | F.col("n").isNull())
     whole = met.where(gone).select("kind", F.when(F.col("o").isNull(), "added").otherwise("removed").alias("op"), "id", *[F.lit(None).cast("string").alias(c) for c in ("field", "before", "after")])
@@ -48,8 +55,11 @@ def without_volatile(fields: DataFrame) -> DataFrame:
     volatile = F.lit(False)
     for kind, names in VOLATILE.items():
         volatile = volatile | ((F.col("kind") == kind) & F.col("id").isin(names))
-    timeless = F.regexp_replace("value", r'"(start_line|end_line)":\d+,?|"generated_at":"[^"]*",?', "")
-    timeless = F.regexp_replace(timeless, r",(?=[}\]])", "")
+    # a key stands behind { or , and its opening quote; inside a string that quote would be escaped
+    pair = r'(?:"(?:start_line|end_line)":(?:-?\d+|null)|"generated_at":(?:"(?:[^"\\]|\\.)*"|null))'
+    timeless = F.col("value")
+    for pattern in (rf"(?<=[{{,]){pair},", rf",{pair}(?=\}})", rf"(?<=\{{){pair}(?=\}})"):
+        timeless = F.regexp_replace(timeless, pattern, "")
     marked = F.when(F.col("field").isin("source_ref", "provenance") | ((F.col("field") == "source") & (F.col("kind") != "edges")), timeless).otherwise(F.col("value"))
     return fields.where(~volatile).withColumn("value", marked)
 

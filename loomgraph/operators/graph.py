@@ -1,27 +1,36 @@
 """Graph queries over a corpus: reachability, paths, attribution, failures, trust, summary.
 
-Traversals go hop by hop for all documents together: each hop joins the frontier with the
-edges and drops what was seen, so work follows the rows found, and each hop is cut off from
-the plan of the hops before in the shared folder.
+Documents are small graphs: those of at most `group_edges` edges are gathered by document in
+one shuffle and walked inside tasks, many documents to a batch.  Larger ones are walked hop
+by hop, all together: each hop joins the frontier with the edges and drops what was seen,
+and is cut off from the plan of the hops before in the shared folder.  Results are the same.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import defaultdict
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.rules import LOW_CONFIDENCE, MAX_PATHS
 from loomgraph.operators.corpus import Corpus, entry_points, first_by_id, nodes_of_type, terminals
 
+#: Edges of the largest documents that are gathered whole.
+GROUP_EDGES = 50_000
+
 
 def stored(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder that spark.checkpoint.dir names, and read back."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder}/hop-{uuid.uuid4().hex}"
@@ -29,22 +38,86 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def reachable_from(edges: DataFrame, seeds: DataFrame, *labels: str, stop: DataFrame | None = None) -> DataFrame:
+def split_by_size(edges: DataFrame, group_edges: int) -> tuple[DataFrame, DataFrame | None]:
+    """`edges` of documents that are gathered whole, and of larger ones (None if there are none)."""
+    large = stored(edges.groupBy("doc_id").count().where(F.col("count") > group_edges).select("doc_id"))
+    if large.isEmpty():
+        return edges, None
+    return edges.join(large, "doc_id", "left_anti"), edges.join(large, "doc_id", "left_semi")
+
+
+def gathered(*tables: tuple[str, DataFrame]) -> DataFrame:
+    """One row for each document: the rows of each named table as an array of structs, null where it has none."""
+    out = None
+    for name, df in tables:
+        one = df.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in df.columns if c != "doc_id"])).alias(name))
+        out = one if out is None else out.join(one, "doc_id", "left")
+    return out
+
+
+def by_document(docs: DataFrame, work, columns: str, rows: int = 1 << 14) -> DataFrame:
+    """(doc_id, `columns`) of `work`, which gives tuples for a document's gathered tables; `rows` bounds what a batch holds."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", *(c.split()[0] for c in columns.split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            schema, held = None, []
+            for doc in batch.to_pylist():
+                key = doc.pop("doc_id")
+                held += [(key, *x) for x in work(*[v or [] for v in doc.values()])]
+                if len(held) > rows:
+                    yield pa.RecordBatch.from_pydict({n: [x[i] for x in held] for i, n in enumerate(names)}, schema=schema)
+                    held = []
+            if held:
+                yield pa.RecordBatch.from_pydict({n: [x[i] for x in held] for i, n in enumerate(names)}, schema=schema)
+
+    return docs.mapInArrow(run, f"doc_id {kind}, {columns}")
+
+
+def reachable_from(edges: DataFrame, seeds: DataFrame, *labels: str, stop: DataFrame | None = None, group_edges: int = GROUP_EDGES) -> DataFrame:
     """(doc_id, *labels, id) of all that `seeds` (same columns) reach, themselves included.
 
     Targets that no node declares count; rows of `stop` (doc_id, id) are reached but not
     gone past, unless they are seeds.
     """
     keys = ["doc_id", *labels, "id"]
-    step = edges.select("doc_id", F.col("source").alias("id"), F.col("target").alias("to")).distinct()
-    seen = frontier = stored(seeds.select(*keys).distinct())
+    step = stored(edges.select("doc_id", F.col("source").alias("id"), F.col("target").alias("to")).distinct())
+    seeds = seeds.select(*keys).distinct()
+    small, large = split_by_size(step, group_edges)
+
+    def walk(started: list[dict], steps: list[dict], stops: list[dict] = ()) -> Iterator[tuple]:
+        onward = defaultdict(list)
+        for x in steps:
+            onward[x["id"]].append(x["to"])
+        halts = {x["id"] for x in stops}
+        groups = defaultdict(list)
+        for x in started:
+            groups[tuple(x[c] for c in labels)].append(x["id"])
+        for label, ids in groups.items():
+            seen, todo = set(ids), list(ids)
+            while todo:
+                for to in onward.get(todo.pop(), ()):
+                    if to not in seen:
+                        seen.add(to)
+                        if to not in halts:
+                            todo.append(to)
+            for x in seen:
+                yield (*label, x)
+
+    begin = seeds if large is None else seeds.join(large.select("doc_id").distinct(), "doc_id", "left_anti")
+    tables = [("seeds", begin), ("steps", small)] + ([("stops", stop.select("doc_id", "id"))] if stop is not None else [])
+    found = by_document(gathered(*tables), walk, ", ".join(f"{c} string" for c in keys[1:]))
+    if large is None:
+        return found
+    seen = frontier = stored(seeds.join(large.select("doc_id").distinct(), "doc_id", "left_semi"))
     onward = frontier
     while not onward.isEmpty():
-        found = onward.join(step, ["doc_id", "id"]).select("doc_id", *labels, F.col("to").alias("id")).distinct()
-        frontier = stored(found.join(seen, keys, "left_anti"))
+        more = onward.join(large, ["doc_id", "id"]).select("doc_id", *labels, F.col("to").alias("id")).distinct()
+        frontier = stored(more.join(seen, keys, "left_anti"))
         seen = seen.unionByName(frontier)
         onward = frontier if stop is None else frontier.join(stop, ["doc_id", "id"], "left_anti")
-    return seen
+    return found.unionByName(seen)
 
 
 def unreachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -75,18 +148,61 @@ def simple_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
         done = done.unionByName(live.where(F.col("at") == F.col("goal")))
 
 
-def paths_to_outputs(nodes: DataFrame, edges: DataFrame, limit: int = MAX_PATHS) -> DataFrame:
+def first_paths(entries: list[dict], exits: list[dict], edges: list[dict], limit: int) -> Iterator[tuple[int, list[str], list[str]]]:
+    """(place, nodes, edge ids) of the first `limit` simple paths of one document, depth first in the order of its edges."""
+    onward, back = defaultdict(list), defaultdict(set)
+    for e in sorted(edges, key=lambda e: e["ord"]):
+        onward[e["source"]].append((e["target"], e["id"]))
+        back[e["target"]].add(e["source"])
+    useful: dict[str, set[str]] = {}
+    for x in exits:  # what can reach the goal at all
+        seen = useful.setdefault(x["id"], {x["id"]})
+        todo = [x["id"]] if len(seen) == 1 else []
+        while todo:
+            for n in back[todo.pop()] - seen:
+                seen.add(n)
+                todo.append(n)
+    place = 0
+    for start in sorted(entries, key=lambda x: x["ord"]):
+        for goal in sorted(exits, key=lambda x: x["ord"]):
+            nodes, via = [start["id"]], []
+            open_ = [iter(onward[start["id"]])] if start["id"] in useful[goal["id"]] else []
+            while open_:
+                if nodes[-1] == goal["id"]:
+                    place += 1
+                    yield place, list(nodes), list(via)
+                    if place == limit:
+                        return
+                    step = None
+                else:
+                    step = next(((n, e) for n, e in open_[-1] if n in useful[goal["id"]] and n not in nodes), None)
+                if step:
+                    nodes.append(step[0])
+                    via.append(step[1])
+                    open_.append(iter(onward[step[0]]))
+                else:
+                    open_.pop()
+                    nodes.pop()
+                    if via:
+                        via.pop()
+
+
+def paths_to_outputs(nodes: DataFrame, edges: DataFrame, limit: int = MAX_PATHS, group_edges: int = GROUP_EDGES) -> DataFrame:
     """(doc_id, place, nodes, edge_ids): paths from inputs to outputs, at most `limit` for each document.
 
     In the order of entries, then terminals, then edges as the document lists them.
     """
-    start = entry_points(nodes).select("doc_id", F.col("id").alias("start"), F.col("ord").alias("start_ord"))
-    goal = terminals(nodes).select("doc_id", F.col("id").alias("goal"), F.col("ord").alias("goal_ord"))
-    pairs = stored(start.join(goal, "doc_id"))
-    found = simple_paths(edges, pairs.select("doc_id", "start", "goal"))
+    small, large = split_by_size(stored(edges.select("doc_id", "ord", "id", "source", "target")), group_edges)
+    ends = [(name, df.select("doc_id", "ord", "id")) for name, df in (("entries", entry_points(nodes)), ("exits", terminals(nodes)))]
+    some = ends if large is None else [(name, df.join(large.select("doc_id").distinct(), "doc_id", "left_anti")) for name, df in ends]
+    found = by_document(gathered(*some, ("edges", small)), lambda *parts: first_paths(*parts, limit), "place long, nodes array<string>, edge_ids array<string>")
+    if large is None:
+        return found
+    start, goal = (df.join(large.select("doc_id").distinct(), "doc_id", "left_semi") for _, df in ends)
+    pairs = stored(start.withColumnsRenamed({"id": "start", "ord": "start_ord"}).join(goal.withColumnsRenamed({"id": "goal", "ord": "goal_ord"}), "doc_id"))
     order = Window.partitionBy("doc_id").orderBy("start_ord", "goal_ord", "ords")
-    placed = found.join(pairs, ["doc_id", "start", "goal"]).withColumn("place", F.row_number().over(order).cast("long"))
-    return placed.where(F.col("place") <= limit).select("doc_id", "place", "nodes", "edge_ids")
+    more = simple_paths(large, pairs.select("doc_id", "start", "goal")).join(pairs, ["doc_id", "start", "goal"]).withColumn("place", F.row_number().over(order).cast("long"))
+    return found.unionByName(more.where(F.col("place") <= limit).select("doc_id", "place", "nodes", "edge_ids"))
 
 
 def rendered_paths(paths: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from loomgraph.operators import graph, validate
 from loomgraph.operators.corpus import Corpus
 from loomgraph.functions import rules
@@ -94,3 +96,34 @@ def test_empty_tables(spark):
     assert graph.reachable_from(e, n.where("type = 'input'")).count() == 0
     assert graph.paths_to_outputs(n, e).count() == 0
     assert validate.validate_semantic(Corpus(n, e)).count() == 0
+
+
+def test_paths_stop_at_the_cap(spark):
+    """Twenty diamonds in a row: 2^20 paths, of which the first thousand are walked."""
+    nodes, edges = [(1, 0, "i", "input"), (1, 99, "o", "output")], []
+    for k in range(20):
+        at = "i" if k == 0 else f"j{k}"
+        to = "o" if k == 19 else f"j{k + 1}"
+        for side in "ab":
+            edges += [(1, len(edges), f"{at}{side}", at, f"{side}{k}"), (1, len(edges) + 1, f"{side}{to}", f"{side}{k}", to)]
+    n = spark.createDataFrame(nodes, "doc_id long, ord long, id string, type string")
+    e = spark.createDataFrame([(*x, "passes") for x in edges], "doc_id long, ord long, id string, source string, target string, type string")
+    got = {r["place"]: r["nodes"] for r in graph.paths_to_outputs(n, e).collect()}
+    assert sorted(got) == list(range(1, 1001))
+    for place in (1, 2, 1000):  # in the order of edges: the last diamond turns fastest
+        turns = [x[0] for x in got[place] if x[0] in "ab"]
+        assert int("".join("01"["ab".index(t)] for t in turns), 2) == place - 1
+
+
+def test_large_documents_give_the_same(spark):
+    rng = random.Random(5)
+    nodes = [(d, i, f"n{i}", rng.choice(["input", "output", "agent", "tool", "llm"])) for d in range(6) for i in range(9)]
+    edges = [(d, i, f"e{i}", f"n{rng.randrange(10)}", f"n{rng.randrange(10)}", rng.choice(["passes", "uses"])) for d in range(6) for i in range(4 + 3 * d)]
+    n = spark.createDataFrame(nodes, "doc_id long, ord long, id string, type string")
+    e = spark.createDataFrame(edges, "doc_id long, ord long, id string, source string, target string, type string")
+    agents = n.where("type = 'agent'").select("doc_id", F.col("id").alias("agent"), "id")
+    stop = agents.select("doc_id", "id")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    for limit in (1, 9):
+        assert rows(graph.reachable_from(e, agents, "agent", stop=stop, group_edges=limit)) == rows(graph.reachable_from(e, agents, "agent", stop=stop))
+        assert rows(graph.paths_to_outputs(n, e, group_edges=limit)) == rows(graph.paths_to_outputs(n, e))
