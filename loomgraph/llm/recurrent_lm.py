@@ -33,6 +33,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -90,21 +91,16 @@ class Vocabulary:
     def classes(self) -> int:
         return self.head_classes + self.tail_classes
 
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-        """Places among the frequent words (-1: beyond), inputs, classes, and the words beyond; END added."""
-        at = np.fromiter(map(self.index.get, words, [-1] * len(words)), np.int64, len(words))
-        at = np.append(at, self.index[END])
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places among the frequent words (-1: beyond), inputs, classes, and where words beyond stand."""
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         inputs, classes = self.input_of[at], self.class_of[at]
         beyond = np.flatnonzero(at < 0)
-        rare = [words[i] for i in beyond.tolist()]
-        if rare:
-            tail = np.fromiter((tail_class(w, self.tail_classes) for w in rare), np.int32, len(rare))
+        if len(beyond):
+            tail = np.fromiter((tail_class(words[i], self.tail_classes) for i in beyond.tolist()), np.int32, len(beyond))
             inputs[beyond] = self.shortlist + tail
             classes[beyond] = self.head_classes + tail
-        return at, inputs, classes, rare
-
-
-SHAPES = ("table", "u", "wc", "bc", "wo", "bo")
+        return at, inputs, classes, beyond
 
 
 class GatedNetwork:
@@ -412,20 +408,25 @@ def encoded(docs: DataFrame, vocab: Vocabulary, key: str, text: str, training: C
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 some = batch.slice(lo, 512)
-                rows, inputs_, rares, times = [], [], [], []
+                words, edges = [], [0]
                 for t in some.column(3).to_pylist():
-                    at, inputs, classes, rare = vocab.encode(tokens(t))
-                    known = at[at >= 0]
-                    tail = at[(at >= vocab.shortlist) | (at < 0)]
-                    # log10 (count + 1) of the frequent words; of those the part that stands in a tail class, less the class's size
-                    logs = float(vocab.log_count[known].sum())
-                    inside = float(vocab.log_count[tail[tail >= 0]].sum() - vocab.log_tail[classes[classes >= vocab.head_classes] - vocab.head_classes].sum())
-                    rows.append((len(at), len(known), logs, inside))
-                    inputs_.append(inputs.astype("<u2").tobytes())
-                    beyond = Counter(rare)
-                    rares.append(list(beyond))
-                    times.append(list(beyond.values()))
-                n, s, logs, inside = zip(*rows, strict=True) if rows else ((), (), (), ())
+                    words += tokens(t)
+                    words.append(END)
+                    edges.append(len(words))
+                at, inputs, classes, beyond = vocab.encode(words)
+                begin, n = np.array(edges[:-1], np.int64), np.diff(edges)
+                known, tail = at >= 0, classes >= vocab.head_classes
+                # log10 (count + 1) of the frequent words; of those the part that stands in a tail class, less the class's size
+                log = np.where(known, vocab.log_count[at], 0.0)
+                own = np.where(tail, log - vocab.log_tail[np.maximum(classes - vocab.head_classes, 0)], 0.0)
+                s, logs, inside = np.add.reduceat(known.astype(np.int64), begin), np.add.reduceat(log, begin), np.add.reduceat(own, begin)
+                data = inputs.astype("<u2").tobytes()
+                inputs_ = [data[2 * x : 2 * y] for x, y in zip(edges[:-1], edges[1:], strict=True)]
+                rares, times, here = [], [], np.searchsorted(beyond, edges)
+                for x, y in zip(here[:-1].tolist(), here[1:].tolist(), strict=True):
+                    seen = Counter(words[i] for i in beyond[x:y].tolist()) if y > x else {}
+                    rares.append(list(seen))
+                    times.append(list(seen.values()))
                 yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(n, pa.int64()), pa.array(s, pa.int64()), pa.array(logs, pa.float64()), pa.array(inside, pa.float64()), pa.array(inputs_, pa.binary()), pa.array(rares, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))], names=names)
 
     narrow = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("h"), F.coalesce(training, F.lit(False)).alias("training"), F.col(text).alias("text"))

@@ -46,7 +46,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(column: pa.Array, most_bytes: int = 1 << 21, most_rows: int = 4096) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, most_bytes: int = 1 << 20, most_rows: int = 4096) -> Iterator[tuple[int, int]]:
     """(first row, rows) of runs of about `most_bytes` of text, whole texts always."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     lo, held = 0, 0

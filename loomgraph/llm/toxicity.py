@@ -58,7 +58,7 @@ def terms(word: str) -> list[str]:
 class Lexicon(dict):
     """Weight of a word by its heaviest term, 0 if it has none; a bounded memo of words."""
 
-    def __init__(self, weights: dict[str, float], most: int = 1 << 19):
+    def __init__(self, weights: dict[str, float], most: int = 1 << 17):
         super().__init__()
         self.weights, self.most = weights, most
 

@@ -576,7 +576,7 @@ def test_lm_is_a_distribution():
         total[recurrent_lm.tail_class(w, tails)] += c + 1
     vocab = recurrent_lm.Vocabulary(words, counts, short, 3, tails, total, int(counts.sum()), 31)
     net = recurrent_lm.GatedNetwork(vocab, 5)
-    net.train([vocab.encode([words[i % 31] for i in range(1, 200)])[1]], lanes=2, window=8)
+    net.train([vocab.encode([words[i % 31] for i in range(1, 200)] + [recurrent_lm.END])[1]], lanes=2, window=8)
     h = np.random.default_rng(0).normal(size=(5, 1)).astype(np.float32)
     mass = 0.0
     for i in range(31):
@@ -610,7 +610,7 @@ def test_lm_reads_every_word(spark):
     texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(n)) for n in [1, 3, 33, 500, 70_000, *[900] * 250, 0]]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
     vocab = recurrent_lm.vocabulary(recurrent_lm.word_counts(docs, "text"), 100, 20, 4, 8)
-    encoded = [vocab.encode(recurrent_lm.tokens(t))[1] for t in texts]
+    encoded = [vocab.encode(recurrent_lm.tokens(t) + [recurrent_lm.END])[1] for t in texts]
     read = []
 
     class Counted(recurrent_lm.Adam):
@@ -641,7 +641,7 @@ def test_lm_window_gradients():
     words = [recurrent_lm.END, b"a", b"b", b"c", b"d"]
     vocab = recurrent_lm.Vocabulary(words, np.array([5, 4, 3, 2, 1]), 4, 2, 3, np.array([2.0, 2.0, 3.0]), 15, 5)
     net = recurrent_lm.GatedNetwork(vocab, 3)
-    docs = [vocab.encode(t)[1] for t in ([b"a", b"b", b"c"], [b"b"], [b"d", b"a"])]
+    docs = [vocab.encode([*t, recurrent_lm.END])[1] for t in ([b"a", b"b", b"c"], [b"b"], [b"d", b"a"])]
     start = [p.copy() for p in net.p]
     assert net.train(docs, lanes=2, window=16, rate=1e-3) == 9
     moved = [a - b for a, b in zip(net.p, start)]
