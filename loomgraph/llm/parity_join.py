@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_in, stash, without
+from .common import maybe_in, stash, tidy, without
 from .components import components
 from .textnum import HASH_BITS, mix, set_digests, shingle_sets, slices
 
@@ -160,7 +160,7 @@ def _read(docs: DataFrame, key: str, text: str, width: int, held: int = 1 << 21)
         if size:
             yield shared(parts)
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text)).mapInArrow(read, "id long, n long, digest binary, sketch binary, h long, c long")
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text)).mapInArrow(tidy(read), "id long, n long, digest binary, sketch binary, h long, c long")
 
 
 def _bitmap(seen: DataFrame, often: int, bits: int) -> np.ndarray:
@@ -217,8 +217,8 @@ def _buckets(docs: DataFrame, key: str, text: str, width: int, t: tuple[int, int
             keep = held[2] > 0 | np.array([last is not None and last == int(held[0, 0])])
             yield pa.RecordBatch.from_arrays([pa.array(held[i][keep]) for i in (0, 1)], names=["sig", "id"])
 
-    keyed = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text)).mapInArrow(emit, "sig long, id long, salt byte")
-    return keyed.repartition("sig", "salt").sortWithinPartitions("sig", "salt", "id").mapInArrow(walk, "sig long, id long")
+    keyed = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text)).mapInArrow(tidy(emit), "sig long, id long, salt byte")
+    return keyed.repartition("sig", "salt").sortWithinPartitions("sig", "salt", "id").mapInArrow(tidy(walk), "sig long, id long")
 
 
 def _groups(buckets: DataFrame) -> DataFrame:
@@ -243,7 +243,7 @@ def _near(pairs: DataFrame, sketches: DataFrame, t: tuple[int, int]) -> DataFram
             keep = [_distance(x, y) <= d for d, x, y in zip(most.tolist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return met.mapInArrow(sift, "a long, b long")
+    return met.mapInArrow(tidy(sift), "a long, b long")
 
 
 def _folded(sketch: bytes, size: int) -> int:
@@ -276,7 +276,7 @@ def _sets(docs: DataFrame, ids: DataFrame, key: str, text: str, width: int) -> D
                 sets = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(h.tobytes())])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), sets], names=["id", "set"])
 
-    return some.mapInArrow(read, "id long, set binary").join(ids.distinct(), "id").groupBy("id").agg(F.min("set").alias("set"))
+    return some.mapInArrow(tidy(read), "id long, set binary").join(ids.distinct(), "id").groupBy("id").agg(F.min("set").alias("set"))
 
 
 def _shared_by(x: np.ndarray, y: np.ndarray) -> int:
@@ -313,7 +313,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: tuple[int, int], group: int
                     found.append((a, i))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
 
-    return met.select("id", "a", "role", "set").mapInArrow(compare, "a long, b long")
+    return met.select("id", "a", "role", "set").mapInArrow(tidy(compare), "a long, b long")
 
 
 def _candidates(n: np.ndarray, root: np.ndarray, own: np.ndarray, sketch: list[bytes], t: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -391,7 +391,7 @@ def _sifted(groups: DataFrame, label: DataFrame, sketches: DataFrame, t: tuple[i
         return [c.combine_chunks() for c in rows.filter(pa.array(hit)).columns]
 
     met = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "id")
-    return met.mapInArrow(_by_block(3, sift, dealt.columns), "sig long, i int, j int, own int, id long, root long, n long, sketch binary")
+    return met.mapInArrow(tidy(_by_block(3, sift, dealt.columns)), "sig long, i int, j int, own int, id long, root long, n long, sketch binary")
 
 
 def _spanning(blocks: DataFrame, t: tuple[int, int]) -> DataFrame:
@@ -423,7 +423,7 @@ def _spanning(blocks: DataFrame, t: tuple[int, int]) -> DataFrame:
         return [pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)]
 
     met = blocks.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "id")
-    return met.mapInArrow(_by_block(3, join, ["a", "b"]), "a long, b long").distinct()
+    return met.mapInArrow(tidy(_by_block(3, join, ["a", "b"])), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: tuple[int, int] = (3, 4), often: int = 3, order_bits: int = 25) -> DataFrame:

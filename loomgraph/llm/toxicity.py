@@ -33,7 +33,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import stash, tidy
 
 #: Second-person words of the languages in use.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen deiner ihr euch euer tu te toi ton ta tes vous votre vos tú ti tus tuyo vosotros usted ustedes os".split())
@@ -122,7 +122,7 @@ def learn_lexicon(labelled: DataFrame, size: int, least: int = 5, odds: float =
     totals = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     if not totals.get(0) or not totals.get(1):
         return {}
-    by = labelled.select("text", "toxic").mapInArrow(count, "term string, toxic int, n long").groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("yes"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("no"))
+    by = labelled.select("text", "toxic").mapInArrow(tidy(count), "term string, toxic int, n long").groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("yes"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("no"))
     lift = F.log((F.col("yes") + 0.5) / (totals[1] + 1.0)) - F.log((F.col("no") + 0.5) / (totals[0] + 1.0))
     best = by.where(F.col("yes") >= least).withColumn("weight", lift).where(F.col("weight") >= math.log(odds))
     best = best.orderBy(F.desc(F.col("weight") * F.sqrt("yes")), "term").limit(size)
@@ -142,14 +142,16 @@ class ToxicityModel:
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lexicon = Lexicon(weights)
-            for batch in batches:
-                rows = [features(t or "", lexicon) for t in batch.column(kept).to_pylist()]
-                cols = np.asarray(rows, np.float64).reshape(len(rows), len(FEATURES)).T
-                yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *map(pa.array, cols)], names=[*keep, *FEATURES])
+            for whole in batches:
+                for lo in range(0, whole.num_rows, 512):
+                    batch = whole.slice(lo, 512)
+                    rows = [features(t or "", lexicon) for t in batch.column(kept).to_pylist()]
+                    cols = np.asarray(rows, np.float64).reshape(len(rows), len(FEATURES)).T
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *map(pa.array, cols)], names=[*keep, *FEATURES])
 
         narrow = docs.select(*[F.col(k) for k in keep], F.col(text).alias("__text"))
         kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1]]
-        return narrow.mapInArrow(read, ", ".join([*kinds, *(f"{f} double" for f in FEATURES)]))
+        return narrow.mapInArrow(tidy(read), ", ".join([*kinds, *(f"{f} double" for f in FEATURES)]))
 
     def raw(self, featured: DataFrame) -> DataFrame:
         """`featured` with the trees' own probability as `raw`, features dropped."""
