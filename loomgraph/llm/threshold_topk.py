@@ -9,7 +9,8 @@ no task holds more than one block of each; the best of each block meet in a smal
 Defined results: vectors that are null, or hold a null or non-finite component, or have a
 null id take no part; rows of the query's own id are never its candidates; of several rows
 with one id the vector that sorts lowest counts, once; ties go to the smaller id; only
-vectors of equally many dimensions are compared; fewer candidates than k are all returned.
+vectors of equally many dimensions are compared; fewer candidates than k are all returned;
+components and scores beyond 64 bits stand at the largest number of their sign, and tie there.
 """
 
 from __future__ import annotations
@@ -36,6 +37,12 @@ class SortedLists:
         self.keys, self.matrix = keys[order], matrix[order]
         self.lists = np.argsort(self.matrix, axis=0, kind="stable")
 
+    @staticmethod
+    def _held(score: np.ndarray | int) -> np.ndarray:
+        """Scores in 64 bits, at the largest of their sign where they are beyond."""
+        most = (1 << 63) - 1
+        return np.array([min(max(int(x), -most), most) for x in np.atleast_1d(score)], np.int64)
+
     def top(self, own: int, q: np.ndarray, k: int, step: int = 16) -> tuple[np.ndarray, np.ndarray]:
         """Rows and scores of the k best for query `q` of id `own`, best first."""
         n = len(self.keys)
@@ -53,10 +60,10 @@ class SortedLists:
             new = np.flatnonzero(met & ~seen)
             seen |= met
             new = new[self.keys[new] != own]
-            best_rows, best = self._best(np.concatenate([best_rows, new]), np.concatenate([best, self.matrix[new] @ q]), k)
+            best_rows, best = self._best(np.concatenate([best_rows, new]), np.concatenate([best, self._held(self.matrix[new] @ q) if q.dtype == object else self.matrix[new] @ q]), k)
             depth, step = until, step * 2
             last = np.where(down, n - depth, depth - 1)
-            bound = int((self.matrix[self.lists[last, dims], dims] * q[dims]).sum())
+            bound = int(self._held((self.matrix[self.lists[last, dims], dims] * q[dims]).sum())[0]) if q.dtype == object else int((self.matrix[self.lists[last, dims], dims] * q[dims]).sum())
             if len(best) == k and bound < best[-1]:  # at equality an unseen smaller id may still win
                 return best_rows, best
         if len(dims) == 0:  # the zero query ties with everything
@@ -91,9 +98,13 @@ def top_k(vectors: DataFrame, queries: Column, k: int, key: str = "vec_id", vect
     def search(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[np.ndarray, ...]] = []
         if len(ours) and len(theirs):
-            index = SortedLists(ours["key"].to_numpy(np.int64), np.stack(ours["v"].to_numpy()).astype(np.int64).reshape(len(ours), -1))
-            for own, v in zip(theirs["key"].tolist(), theirs["v"], strict=True):
-                rows, scores = index.top(own, np.asarray(v, np.int64), k)
+            matrix, asked = (np.stack(x["v"].to_numpy()).astype(np.int64).reshape(len(x), -1) for x in (ours, theirs))
+            largest = [float(np.abs(x.astype(float)).max(initial=0)) for x in (matrix, asked)]
+            # whole numbers of any size where 64 bits might not do
+            kind = object if largest[0] * largest[1] * max(1, matrix.shape[1]) >= 2.0**62 else np.int64
+            index = SortedLists(ours["key"].to_numpy(np.int64), matrix.astype(kind))
+            for own, v in zip(theirs["key"].tolist(), asked.astype(kind), strict=True):
+                rows, scores = index.top(own, v, k)
                 found.append((np.full(len(rows), own), index.keys[rows], scores))
         cols = [np.concatenate(c) if found else np.empty(0, np.int64) for c in (zip(*found, strict=True) if found else [(), (), ()])]
         return pd.DataFrame({"query_id": cols[0], "vec_id": cols[1], "score": cols[2]}).astype("int64")

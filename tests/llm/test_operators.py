@@ -290,6 +290,20 @@ def vectors(spark):
     return spark.createDataFrame(rows, "vec_id long, embedding array<double>, key string, score int")
 
 
+def test_topk_of_huge_components(spark):
+    rng = random.Random(9)
+    rows = [(i, [rng.choice([1e300, -1e300, 3e9, 1.5, -2e8, 0.0]) for _ in range(3)]) for i in range(40)]
+    most = (1 << 63) - 1
+    held = lambda x, low: min(max(x, -most - low), most)
+    whole = {i: [held(math.floor(256 * x), 1) for x in v] for i, v in rows}
+    want = []
+    for q in range(0, 40, 5):
+        scored = sorted((-held(sum(a * b for a, b in zip(whole[q], whole[i])), 0), i) for i in whole if i != q)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:4])]
+    got = threshold_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("key") % 5 == 0, k=4, block_rows=8)
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_topk_awkward(spark):
     got = threshold_topk.top_k(vectors(spark), F.col("key") % 50 == 0, k=5, block_rows=64, query_rows=3)
     by = defaultdict(list)
