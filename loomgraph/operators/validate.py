@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.rules import LOW_CONFIDENCE, REGISTRIES, WARNINGS, edge_rules
 from loomgraph.operators.corpus import Corpus, duplicates, entry_points, first_by_id, resolved_refs, terminals
-from loomgraph.operators.graph import reachable_from
+from loomgraph.operators.graph import reachable_from, stored
+from loomgraph.operators.structure import validate_structural
+from loomgraph.sources.documents import corpus_of
 
 
 def finding(rows: DataFrame, rule: int, code: str, path: Column, item: Column | None = None) -> DataFrame:
@@ -149,6 +151,19 @@ def validate_semantic(c: Corpus) -> DataFrame:
     return out
 
 
+def validate(documents: DataFrame, format_name: str) -> DataFrame:
+    """All findings of `documents` (doc_id, raw JSON text), structure first.
+
+    A document that breaks the structure has AF100 for each place and one AF002, which says
+    that its references were not looked at; of all others the references are validated.
+    """
+    broken = stored(validate_structural(documents, format_name))
+    docs = broken.select("doc_id").distinct()
+    out = broken.select("doc_id", F.lit(0).alias("rule_ord"), F.lit(0).cast("long").alias("item_ord"), "code", "severity", "path")
+    out = out.unionByName(finding(docs, 0, "AF002", F.lit("$")))
+    return out.unionByName(validate_semantic(corpus_of(stored(documents.join(docs, "doc_id", "left_anti")))))
+
+
 def verdicts(findings: DataFrame, documents: DataFrame, strict: bool = False) -> DataFrame:
     """(doc_id, errors, warnings, codes, failed) of every document."""
     per = findings.groupBy("doc_id").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"), F.array_join(F.array_sort(F.collect_set("code")), ",").alias("codes"))

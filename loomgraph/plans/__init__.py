@@ -1 +1,3 @@
-"""plans of the workflow-graph engine."""
+"""Projections of the given tables and the queries registered over them."""
+
+from loomgraph.plans import queries, raw  # noqa: F401

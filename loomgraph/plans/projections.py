@@ -4,7 +4,7 @@ The tables given hold no workflow graphs.  Each projection makes such tables of
 that every operator runs over data that grows with them: `w_*` small graphs, one for each
 conversation; `e_*` long chains, one for each user; `r_*` references into registries from
 line items; `d_*` two versions of the orders; `l_*` a ledger of calls from events; `t_*`
-texts from pages; `c_*` Python files from parts.
+texts from pages; `j_*` JSON documents of the small graphs, about half of them with a defect.
 """
 
 from __future__ import annotations
@@ -73,6 +73,50 @@ PROJECTIONS: dict[str, str] = {
 }
 
 
+def _json_trust(p: str) -> str:
+    """The member `provenance` of an element; manual ones state no confidence."""
+    method = f"CASE {p}method WHEN 'human' THEN 'manual' ELSE {p}method END"
+    sure = f"CASE WHEN {p}method <> 'human' THEN concat(',\"confidence\":', CAST({p}confidence AS STRING)) ELSE '' END"
+    shown = f"CASE WHEN {p}has_evidence THEN ',\"evidence\":[{{{{\"file\":\"app.py\",\"start_line\":3}}}}]' ELSE '' END"
+    read = f"CASE WHEN {p}reviewed_by IS NOT NULL THEN concat(',\"reviewed_by\":\"', {p}reviewed_by, '\"') ELSE '' END"
+    return f"CASE WHEN {p}method IS NOT NULL THEN concat(',\"provenance\":{{{{\"method\":\"', {method}, '\"', {sure}, {shown}, {read}, '}}}}') ELSE '' END"
+
+
+_SAID = "replace(replace(replace(replace(replace(t.text, chr(92), concat(chr(92), chr(92))), chr(34), concat(chr(92), chr(34))), chr(10), concat(chr(92), 'n')), chr(9), ' '), chr(13), ' ')"
+_ENTRIES = {
+    "prompts": """concat('{{"id":"', id, '","role":"user","template_format":"f-string","variables":[{{"name":"question","source_node":"n', CAST(ord AS STRING), '"}}]', {trust}, '}}')""",
+    "models": """concat('{{"id":"', id, '","provider":"own","model":"small","parameters":{{"max_tokens":100,"stop":["x"],"temperature":0.5}}', {trust}, '}}')""",
+    "tools": """concat('{{"id":"', id, '","name":"tool ', id, '","kind":"function","returns":{{"type":"string"}},"idempotent":true', {trust}, '}}')""",
+    "data_sources": """concat('{{"id":"', id, '","kind":"vector_store","config":{{"dimensions":8,"metric":"cosine"}}', {trust}, '}}')""",
+}
+#: Defects by the remainder of the document's id, one for each group of structural rules.
+DEFECTS = [
+    ('"version":"1.1"', '"version":"2.0"'), ('"source":"n0"', '"source":"0n"'), ('"commit":"abcdef1"', '"commit":"XYZ"'), ('"start_line":3', '"start_line":0.5'),
+    ('"method":"manual"', '"method":"robot"'), ('"method":"manual"', '"method":"ai_inference"'), ('"name":"out"', '"title":"out"'), ('"description":"failure', '"about":"failure'),
+    ('"type":"output"', '"type":"robot"'), ('"type":"input"', '"type":"input","ref":null'), ('"type":"output"', '"type":"tool"'), ('"payload":{{', '"payload":{{"more":1,'),
+    ('"when":', '"label":'), ('"role":"user"', '"role":"king"'), ('"max_tokens":100', '"max_tokens":0'), ('"kind":"function"', '"kind":"magic"'), ('"metric":"cosine"', '"metric":"far"'),
+    ('"extensions":{{"x":1}}', '"extensions":[1]'),
+]
+_BROKEN = " ".join(f"WHEN {i} THEN replace(raw, '{a}', '{b}')" for i, (a, b) in enumerate(DEFECTS, 1))
+_LISTED = "SELECT doc_id, LISTAGG(x, ',') WITHIN GROUP (ORDER BY ord) AS x FROM "
+PROJECTIONS |= {
+    "j_nodes": f"""SELECT n.doc_id, n.ord, concat('{{{{"id":"', n.id, '","type":"', n.type, '"', CASE WHEN n.name IS NOT NULL THEN concat(',"name":"', n.name, '"') ELSE '' END, CASE WHEN t.text IS NOT NULL THEN concat(',"description":"', {_SAID}, '"') ELSE '' END,
+        CASE WHEN n.type IN ('llm', 'tool', 'prompt', 'vector_store') OR (n.type = 'retriever' AND n.ref IS NOT NULL) THEN concat(',"ref":"', coalesce(n.ref, 'm9'), '"') ELSE '' END,
+        CASE WHEN n.ord % 2 = 0 THEN ',"inputs":[{{{{"name":"in"}}}}]' ELSE '' END, CASE WHEN n.ord % 3 <> 2 THEN ',"outputs":[{{{{"name":"out","required":true}}}}]' ELSE '' END,
+        CASE WHEN n.ord % 3 = 1 THEN concat(',"depends_on":["n', CAST(n.ord - 1 + n.doc_id % 3 AS STRING), '"]') ELSE '' END, CASE WHEN n.ord % 4 = 0 THEN concat(',"source":[{{{{"file":"app.py","start_line":', CAST(n.ord + 1 AS STRING), ',"symbol":"f"}}}}]') ELSE '' END,
+        CASE WHEN n.ord % 2 = 1 THEN concat(',"ai_context":{{{{"summary":"', coalesce(t.role, 'none'), '","failure_modes":[{{{{"description":"failure ', CAST(n.ord AS STRING), '","handled":', CASE WHEN n.ord % 3 = 0 THEN 'true' ELSE 'false' END, ',"handler_node":"n', CAST(n.ord + n.doc_id % 4 AS STRING), '"}}}}]}}}}') ELSE '' END,
+        {_json_trust("n.")}, '}}}}') AS x FROM {{w_nodes}} n LEFT JOIN (SELECT conv_id, turn, min(text) AS text, min(role) AS role FROM {{conversations}} GROUP BY conv_id, turn) t ON t.conv_id = n.doc_id AND t.turn = n.ord""",
+    "j_edges": f"""SELECT doc_id, ord, concat('{{{{"id":"', id, '","type":"', type, '","source":"', source, '","target":"', target, '"', CASE WHEN source_port IS NOT NULL THEN concat(',"source_port":"', source_port, '"') ELSE '' END, CASE WHEN target_port IS NOT NULL THEN concat(',"target_port":"', target_port, '"') ELSE '' END,
+        CASE WHEN type = 'routes_to' AND NOT is_default THEN ',"when":"route"' ELSE '' END, CASE WHEN is_default THEN ',"default":true' ELSE '' END, CASE WHEN type = 'passes' THEN ',"payload":{{{{"type":"text"}}}}' ELSE '' END, {_json_trust("")}, '}}}}') AS x FROM {{w_edges}}""",
+    "j_entries": " UNION ALL ".join(f"SELECT doc_id, '{k}' AS registry, ord, {x.replace('{trust}', _json_trust(''))} AS x FROM {{w_registry}} WHERE registry = '{k}'" for k, x in _ENTRIES.items()),
+    "j_sound": f"""SELECT d.doc_id, concat('{{{{"format":"flow","version":"1.1","project":{{{{"name":"c', CAST(d.doc_id AS STRING), '","commit":"abcdef1","frameworks":[{{{{"name":"own","version":"1"}}}}]}}}},"nodes":[', n.x, '],"edges":[', coalesce(e.x, ''), '],"prompts":[', coalesce(p.x, ''), '],"models":[', coalesce(m.x, ''), '],"tools":[', coalesce(u.x, ''), '],"data_sources":[', coalesce(s.x, ''),
+        '],"metadata":{{{{"generated_at":"today","stats":{{{{"parts":4}}}}}}}},"extensions":{{{{"x":1}}}}}}}}') AS raw FROM (SELECT DISTINCT doc_id FROM {{w_turns}}) d JOIN ({_LISTED} {{j_nodes}} GROUP BY doc_id) n ON n.doc_id = d.doc_id LEFT JOIN ({_LISTED} {{j_edges}} GROUP BY doc_id) e ON e.doc_id = d.doc_id """
+    + " ".join(f"LEFT JOIN ({_LISTED} {{j_entries}} WHERE registry = '{k}' GROUP BY doc_id) {a} ON {a}.doc_id = d.doc_id" for a, k in zip("pmus", _ENTRIES, strict=True)),
+    "j_nulls": """SELECT doc_id, replace(raw, '[{{"description":"failure', '[{{"source":null,"description":"failure') AS raw FROM {j_sound}""",
+    "j_docs": f"SELECT doc_id, CASE doc_id % 40 {_BROKEN} WHEN 19 THEN left(raw, 40) ELSE raw END AS raw FROM {{j_sound}}",
+}
+
+
 def _names(sql: str) -> list[str]:
     return [n for n in dict.fromkeys(re.findall(r"(?<!\{)\{([a-z_]+)\}(?!\})", sql)) if n in PROJECTIONS or n in TABLES]
 
@@ -106,7 +150,8 @@ def duck(*names: str) -> str:
         if n in PROJECTIONS and n not in wanted:
             for used in _names(PROJECTIONS[n]):
                 add(used)
-            wanted[n] = _filled(PROJECTIONS[n], {u: u for u in _names(PROJECTIONS[n])})
+            told = _filled(PROJECTIONS[n], {u: u for u in _names(PROJECTIONS[n])})
+            wanted[n] = re.sub(r"LISTAGG\((\w+), ','\) WITHIN GROUP \(ORDER BY (\w+)\)", r"string_agg(\1, ',' ORDER BY \2)", told)
 
     for n in names:
         add(n)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.functions.structure import KINDS, OPEN
 from loomgraph.operators.corpus import Corpus
 
 _REF = "struct<file string, start_line int, end_line int, symbol string, url string>"
@@ -56,6 +57,28 @@ def corpus_of(documents: DataFrame) -> Corpus:
     return Corpus(nodes, edges, registry, ports, depends, failures, variables, contexts)
 
 
+def _type(holds: str) -> str:
+    """The SQL type of what a property holds; what may hold more than is known stays a variant."""
+    holds = holds.removesuffix(" !")
+    if holds.startswith("list of "):
+        return f"array<{_type(holds.removeprefix('list of '))}>"
+    if holds in KINDS and holds not in OPEN:
+        return "struct<" + ", ".join(f"`{k}`: {_type(v)}" for k, v in KINDS[holds].items()) + ">"
+    if holds in OPEN or holds in ("object", "number"):
+        return "variant"
+    return {"share": "double", "count": "bigint", "boolean": "boolean"}.get(holds, "string")
+
+
+def typed(documents: DataFrame) -> DataFrame:
+    """(doc_id, d): `documents` (doc_id, raw JSON text) with every property of the format and nothing lost of sound ones."""
+    return documents.select("doc_id", F.from_json("raw", _type("document")).alias("d"))
+
+
+def encoded(documents: DataFrame) -> DataFrame:
+    """(doc_id, raw): sound `documents` written anew, properties in the order of the format, absent values left out."""
+    return typed(documents).select("doc_id", F.to_json("d").alias("raw"))
+
+
 def documents_of(nodes: DataFrame, edges: DataFrame, format_name: str, version: str = "1.1") -> DataFrame:
     """(doc_id, raw): JSON documents of the columns given, absent values left out, in document order."""
     listed = lambda df, name: df.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct(*[c for c in df.columns if c not in ("doc_id", "ord")]).alias("x")))), lambda s: s["x"]).alias(name))
