@@ -79,3 +79,16 @@ def duplicates(rows: DataFrame, *by: str) -> DataFrame:
     """Every repeat of an id but the first, in its document (and `by`)."""
     w = Window.partitionBy("doc_id", *by, "id").orderBy("ord")
     return rows.withColumn("__n", F.row_number().over(w)).where("__n > 1").drop("__n")
+
+
+def search(nodes: DataFrame, needles: DataFrame) -> DataFrame:
+    """Nodes with the `needle` that `needles` (doc_id, needle) names for their document in their id or name, whatever its case."""
+    low = F.lower("needle")
+    met = nodes.join(needles, "doc_id").where(F.contains(F.lower("id"), low) | F.coalesce(F.contains(F.lower("name"), low), F.lit(False)))
+    return met.select(*nodes.columns, "needle")
+
+
+def usage(nodes: DataFrame, registry: DataFrame) -> DataFrame:
+    """(doc_id, registry, id, uses): how many nodes refer to each entry, 0 for those that none does."""
+    used = resolved_refs(nodes, registry).where(F.col("entry").isNotNull()).groupBy("doc_id", "registry", F.col("entry").alias("id")).agg(F.count("*").alias("uses"))
+    return registry.select("doc_id", "registry", "id").distinct().join(used, ["doc_id", "registry", "id"], "left").fillna(0, ["uses"])

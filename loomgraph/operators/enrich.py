@@ -46,3 +46,9 @@ def grounded(replies: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFram
     """The rows of `replies` (doc_id, batch, id, ...) about nodes that were asked for and exist."""
     real = replies.join(asked.select("doc_id", "batch", "id").distinct(), ["doc_id", "batch", "id"], "left_semi")
     return real.join(nodes.select("doc_id", "id").distinct(), ["doc_id", "id"], "left_semi")
+
+
+def cited(cites: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The rows of `cites` (doc_id, id, ...) that name a node or an edge of their document."""
+    known = nodes.select("doc_id", "id").unionByName(edges.select("doc_id", "id")).distinct()
+    return cites.join(known, ["doc_id", "id"], "left_semi").select(*cites.columns)

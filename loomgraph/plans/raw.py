@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.structure import KINDS, NEED_REF, NO_REF, OPEN
-from loomgraph.operators import structure, validate
+from loomgraph.operators import budget, corpus as co, diff, enrich, structure, text, validate
 from loomgraph.plans.projections import duck, projected
 from loomgraph.plans.queries import _ALL, _V, _v_sql, query
 from loomgraph.sources import documents
@@ -83,3 +83,54 @@ def v_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {duck('j_sound')} SELECT doc_id, raw FROM j_sound")
 def k1_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.encoded(projected(spark, sf_dir, "j_nulls"))
+
+
+@query(rf"""WITH {duck('t_texts')}, s AS (SELECT id, trim(lower(regexp_replace(regexp_replace(regexp_replace(label, '([A-Z]+)([A-Z][a-z])', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g'), '[^A-Za-z0-9]+', '_', 'g')), '_') AS snake FROM t_texts)
+    SELECT id, CASE WHEN snake = '' THEN 'x' ELSE snake END AS snake FROM s""")
+def b1_snake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projected(spark, sf_dir, "t_texts").select("id", text.snake("label").alias("snake"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(text) > 90 THEN left(text, 89) || '…' ELSE text END AS brief FROM conversations")
+def d7_brief(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projected(spark, sf_dir, "conversations").select("conv_id", "turn", diff.brief("text").alias("brief"))
+
+
+_NEEDLES = "SELECT DISTINCT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat('STEP ', CAST(doc_id % 5 AS STRING)) ELSE concat('N', CAST(doc_id % 4 AS STRING)) END AS needle FROM w_turns"
+
+
+@query(f"WITH {duck('w_turns', 'w_nodes')}, k AS ({_NEEDLES}) SELECT n.doc_id, n.ord, n.id, n.name, k.needle FROM w_nodes n JOIN k ON k.doc_id = n.doc_id WHERE contains(lower(n.id), lower(k.needle)) OR contains(lower(n.name), lower(k.needle))")
+def f9_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    projected(spark, sf_dir, "w_turns").createOrReplaceTempView("w_turns")
+    return co.search(projected(spark, sf_dir, "w_nodes").select("doc_id", "ord", "id", "name"), spark.sql(_NEEDLES))
+
+
+@query(f"""WITH {duck('r_nodes', 'r_registry')}, k AS (SELECT doc_id, CASE type WHEN 'llm' THEN 'models' WHEN 'tool' THEN 'tools' WHEN 'prompt' THEN 'prompts' END AS registry, ref FROM r_nodes)
+    SELECT r.doc_id, r.registry, r.id, count(k.ref) AS uses FROM (SELECT DISTINCT doc_id, registry, id FROM r_registry) r LEFT JOIN k ON k.doc_id = r.doc_id AND k.registry = r.registry AND k.ref = r.id GROUP BY ALL""")
+def f9_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return co.usage(projected(spark, sf_dir, "r_nodes"), projected(spark, sf_dir, "r_registry"))
+
+
+@query(f"""WITH {duck('w_nodes', 'w_edges', 'w_depends')}, known AS (SELECT doc_id, id FROM w_nodes UNION SELECT doc_id, id FROM w_edges), c AS (SELECT doc_id, node AS id, node_ord AS place FROM w_depends UNION ALL SELECT doc_id, target, ord FROM w_edges)
+    SELECT doc_id, id, place FROM c WHERE (doc_id, id) IN (SELECT doc_id, id FROM known)""")
+def j8_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = projected(spark, sf_dir, "w_nodes"), projected(spark, sf_dir, "w_edges")
+    cites = projected(spark, sf_dir, "w_depends").select("doc_id", F.col("node").alias("id"), F.col("node_ord").alias("place"))
+    return enrich.cited(cites.unionByName(edges.select("doc_id", F.col("target").alias("id"), F.col("ord").alias("place"))), nodes, edges)
+
+
+@query(f"""WITH {duck('w_nodes', 'w_edges')}, asked AS (SELECT DISTINCT doc_id, ord % 3 AS batch, id FROM w_nodes WHERE type <> 'input')
+    SELECT e.doc_id, e.ord % 3 AS batch, e.target AS id, e.ord AS place FROM w_edges e JOIN asked a ON a.doc_id = e.doc_id AND a.batch = e.ord % 3 AND a.id = e.target""")
+def j9_grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = projected(spark, sf_dir, "w_nodes"), projected(spark, sf_dir, "w_edges")
+    batch = (F.col("ord") % 3).alias("batch")
+    replies = edges.select("doc_id", batch, F.col("target").alias("id"), F.col("ord").alias("place"))
+    return enrich.grounded(replies, nodes, nodes.where("type <> 'input'").select("doc_id", batch, "id"))
+
+
+@query("""WITH r AS (SELECT conv_id, turn, sha256(coalesce(text, '')) AS key FROM conversations), c AS (SELECT sha256(coalesce(text, '')) AS key, arg_max(role, conv_id * 1000 + turn) AS response FROM conversations WHERE turn % 2 = 0 GROUP BY 1)
+    SELECT r.conv_id, r.turn, r.key, c.response FROM r LEFT JOIN c ON c.key = r.key""")
+def j11_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = projected(spark, sf_dir, "conversations").withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
+    cache = said.where("turn % 2 = 0").select("key", F.col("role").alias("response"), (F.col("conv_id") * 1000 + F.col("turn")).alias("stored_at"))
+    return budget.hits_and_misses(said.select("conv_id", "turn", "key"), cache)
