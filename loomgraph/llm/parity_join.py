@@ -214,7 +214,7 @@ def _buckets(docs: DataFrame, key: str, text: str, width: int, t: tuple[int, int
             held = rows[:, -1:]
             yield pa.RecordBatch.from_arrays([pa.array(rows[i, :-1][keep[:-1]]) for i in (0, 1)], names=["sig", "id"])
         if held.shape[1]:
-            keep = held[2] > 0 | np.array([last is not None and last == int(held[0, 0])])
+            keep = (held[2] > 0) | np.array([last is not None and last == int(held[0, 0])])
             yield pa.RecordBatch.from_arrays([pa.array(held[i][keep]) for i in (0, 1)], names=["sig", "id"])
 
     keyed = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text)).mapInArrow(tidy(emit), "sig long, id long, salt byte")
