@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import learned_partitions, mixing, packing, parity_join, recurrent_lm, secret_scan, substring_dedup, threshold_topk, toxicity, url_rules
-from .common import crc32_mod, table
+from . import learned_partitions, merkle_manifest, mixing, packing, parity_join, recurrent_lm, secret_scan, substring_dedup, threshold_topk, toxicity, url_rules
+from .common import ascii_lower, crc32_mod, table
 
 #: The rules of op8, the longest fitting one wins.
 URL_RULES = [
@@ -73,6 +73,16 @@ def op10_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", held_out)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.coalesce(crc32_mod(F.col("doc_id"), 5) == 0, F.lit(False))
+    leaf = lambda text: merkle_manifest.digest(*map(merkle_manifest.field, (F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)))
+    claimed = F.when(tampered, ascii_lower(F.col("text"))).otherwise(F.col("text"))
+    leaves = docs.select(F.col("source").alias("group"), F.col("doc_id").alias("key"), leaf(F.col("text")).alias("digest"), leaf(claimed).alias("claimed"))
+    found = merkle_manifest.manifest(leaves, arity=16).withColumn("folded_root", merkle_manifest.folded(F.col("claimed"), F.col("path")))
+    return found.select(F.col("key").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", "root", merkle_manifest.proof(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -86,9 +96,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_rules,
         op9_best_fit_packing,
         op10_recurrent_lm,
+        op11_merkle_manifest,
     )
 }
 
+def _crc32_sql(value: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of the decimal digits of a value."""
+    octets = f"list_transform(range(1, length(CAST({value} AS VARCHAR)) + 1), lambda i: ascii(substr(CAST({value} AS VARCHAR), i, 1)))"
+    step = "list_reduce([xor(crc, octet), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))"
+    return f"xor(list_reduce(list_concat([4294967295], {octets}), lambda crc, octet: {step}), 4294967295)"
+
+
+def _leaf_sql(text: str) -> str:
+    part = lambda x: f"coalesce(CAST(strlen(CAST({x} AS VARCHAR)) AS VARCHAR) || ':' || CAST({x} AS VARCHAR), '-')"
+    return f"sha256({' || '.join(map(part, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": r"""
         WITH l AS (
@@ -173,4 +196,37 @@ ORACLE: dict[str, str] = {
         )
         SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM m
     """,
+    "op11_merkle_manifest": f"""
+        WITH RECURSIVE l AS (
+          SELECT doc_id, coalesce('s' || source, '') AS g, {_leaf_sql('text')} AS leaf,
+            {_leaf_sql("CASE WHEN " + _crc32_sql('doc_id') + " % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END")} AS claimed
+          FROM documents
+        ), r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank FROM l),
+        n AS (
+          SELECT g, 0 AS level, rank AS i, leaf AS digest FROM r
+          UNION ALL
+          SELECT g, level + 1, i // 16, sha256(string_agg(digest, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY g) AS many FROM n) WHERE many > 1 GROUP BY g, level, i // 16
+        ), s AS (
+          SELECT g, arg_max(digest, level) AS subroot, max(level) AS top, row_number() OVER (ORDER BY g) - 1 AS rank FROM n GROUP BY g
+        ), m AS (
+          SELECT 0 AS level, rank AS i, subroot AS digest FROM s
+          UNION ALL
+          SELECT level + 1, i // 16, sha256(string_agg(digest, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () AS many FROM m) WHERE many > 1 GROUP BY level, i // 16
+        ), steps AS (
+          SELECT r.g, r.rank, n.level AS step, coalesce(string_agg(n.digest, '' ORDER BY n.i) FILTER (n.i < r.rank // CAST(16 ** n.level AS BIGINT)), '') AS lefts,
+            coalesce(string_agg(n.digest, '' ORDER BY n.i) FILTER (n.i > r.rank // CAST(16 ** n.level AS BIGINT)), '') AS rights
+          FROM r JOIN s USING (g) JOIN n ON n.g = r.g AND n.level < s.top AND n.i // 16 = r.rank // CAST(16 ** (n.level + 1) AS BIGINT) GROUP BY r.g, r.rank, n.level
+          UNION ALL
+          SELECT r.g, r.rank, 1000 + m.level, coalesce(string_agg(m.digest, '' ORDER BY m.i) FILTER (m.i < s.rank // CAST(16 ** m.level AS BIGINT)), ''),
+            coalesce(string_agg(m.digest, '' ORDER BY m.i) FILTER (m.i > s.rank // CAST(16 ** m.level AS BIGINT)), '')
+          FROM r JOIN s USING (g) JOIN m ON m.level < (SELECT max(level) FROM m) AND m.i // 16 = s.rank // CAST(16 ** (m.level + 1) AS BIGINT) GROUP BY r.g, r.rank, m.level
+        ), p AS (SELECT g, rank, list({{'l': lefts, 'r': rights}} ORDER BY step) AS path FROM steps GROUP BY g, rank),
+        t AS (SELECT arg_max(digest, level) AS root FROM m),
+        f AS (
+          SELECT r.*, subroot, root, coalesce(list_aggregate(list_transform(path, lambda x: x.l || x.r), 'string_agg', ''), '') AS proof,
+            list_reduce(list_concat([{{'l': claimed, 'r': ''}}], coalesce(path, [])), lambda a, x: {{'l': sha256(x.l || a.l || x.r), 'r': ''}}).l AS folded
+          FROM r JOIN s USING (g) CROSS JOIN t LEFT JOIN p ON p.g = r.g AND p.rank = r.rank
+        )
+        SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM f
+    """,
 }
