@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import learned_partitions, merkle_manifest, mixing, packing, parity_join, recurrent_lm, secret_scan, substring_dedup, threshold_topk, toxicity, url_rules
+from . import conversation_trie, learned_partitions, merkle_manifest, mixing, packing, parity_join, recurrent_lm, secret_scan, substring_dedup, threshold_topk, toxicity, url_rules
 from .common import ascii_lower, crc32_mod, table
 
 #: The rules of op8, the longest fitting one wins.
@@ -83,6 +83,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", "root", merkle_manifest.proof(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    return conversation_trie.prefix_trie(*conversation_trie.spliced(turns, block=20, most=4))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_best_fit_packing,
         op10_recurrent_lm,
         op11_merkle_manifest,
+        op13_conversation_trie,
     )
 }
 
@@ -229,4 +235,37 @@ ORACLE: dict[str, str] = {
         )
         SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM f
     """,
+    "op13_conversation_trie": rf"""
+        WITH o AS (
+          SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS depth
+          FROM conversations WHERE conv_id IS NOT NULL
+        ), c AS (SELECT conv_id, conv_id - conv_id % 20 AS head, {_crc32_sql('conv_id')} % 4 AS h, max(depth) AS have FROM o GROUP BY conv_id),
+        k AS (SELECT c.*, least(c.h, coalesce(q.have, 0)) AS taken FROM c LEFT JOIN c AS q ON q.conv_id = c.head),
+        t AS (
+          SELECT k.conv_id, o.depth, role, text FROM k JOIN o ON o.conv_id = k.head AND o.depth <= k.taken
+          UNION ALL
+          SELECT k.conv_id, o.depth - k.h + k.taken, role, text FROM k JOIN o ON o.conv_id = k.conv_id AND o.depth > k.h
+        ), len AS (SELECT conv_id, taken + greatest(have - h, 0) AS len FROM k),
+        w AS (
+          SELECT conv_id, depth, list((role, text)) OVER (PARTITION BY conv_id ORDER BY depth) AS prefix,
+            len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words FROM t
+          UNION ALL
+          SELECT conv_id, 0, [], 0 FROM len
+        ), m AS (SELECT w.*, min(conv_id) OVER (PARTITION BY prefix) AS node, w.depth = len.len AS ends FROM w JOIN len USING (conv_id)),
+        n AS (
+          SELECT node, depth, count(*) AS n_convs, (count(*) - 1) * max(words) AS saved,
+            sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+          FROM m GROUP BY node, depth
+        ), up AS (SELECT DISTINCT a.node, a.depth, b.node AS above, b.depth AS above_depth FROM m a JOIN m b ON a.conv_id = b.conv_id AND b.depth <= a.depth),
+        kids AS (SELECT above AS node, above_depth AS depth, count(*) AS children FROM up WHERE depth = above_depth + 1 GROUP BY ALL),
+        sums AS (
+          SELECT up.above AS node, up.above_depth AS depth, count(*) FILTER (kids.node IS NULL) AS n_leaves, sum(n.saved) AS saved_tokens
+          FROM up JOIN n ON n.node = up.node AND n.depth = up.depth LEFT JOIN kids ON kids.node = up.node AND kids.depth = up.depth GROUP BY ALL
+        )
+        SELECT n.node AS conv_id, CAST(n.depth AS BIGINT) AS depth, up.above AS parent_conv_id, n.n_convs, CAST(coalesce(children, 0) AS BIGINT) AS n_children,
+          n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+        FROM n JOIN sums ON sums.node = n.node AND sums.depth = n.depth LEFT JOIN kids ON kids.node = n.node AND kids.depth = n.depth
+        LEFT JOIN up ON up.node = n.node AND up.depth = n.depth AND up.above_depth = n.depth - 1
+    """,
 }
