@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_trie, learned_partitions, merkle_manifest, mixing, packing, parity_join, recurrent_lm, secret_scan, substring_dedup, threshold_topk, toxicity, url_rules
+from . import conversation_trie, learned_partitions, merkle_manifest, mixing, packing, parity_join, quality_mil, recurrent_lm, secret_scan, substring_dedup, threshold_topk, toxicity, url_rules
 from .common import ascii_lower, crc32_mod, table
 
 #: The rules of op8, the longest fitting one wins.
@@ -83,6 +83,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", "root", merkle_manifest.proof(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc32_mod(F.col("doc_id"), 4) == 2
+    scored = quality_mil.fit(docs, table(spark, sf_dir, "labels"), ~held_out).score(docs)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = conversation_trie.ordered_turns(table(spark, sf_dir, "conversations"))
     return conversation_trie.prefix_trie(*conversation_trie.spliced(turns, block=20, most=4))
@@ -102,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_best_fit_packing,
         op10_recurrent_lm,
         op11_merkle_manifest,
+        op12_quality_mil,
         op13_conversation_trie,
     )
 }
