@@ -216,7 +216,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id",
                 rows = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(numbers.tobytes())])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(count, pa.int64()), rows], names=["h", "y", "n", "numbers"])
 
-    labelled = docs.join(F.broadcast(first), F.col(key) == F.col("__key")).select("__h", "y", F.col(text).alias("text"))
+    narrow = docs.select(F.col(key).alias("__key"), F.col(text).alias("text"))
+    labelled = narrow.join(F.broadcast(first), "__key").select("__h", "y", "text")
     bags = stash(labelled.mapInArrow(tidy(read), "h long, y int, n long, numbers binary").where(F.col("n") <= sample_passages // 8))
     # keys in order of hash as long as all passages so far are within the bound; at most sample_rows of them
     sums = W.orderBy("h", "n").rowsBetween(W.unboundedPreceding, W.currentRow)
