@@ -14,7 +14,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.rules import LOW_CONFIDENCE, MAX_PATHS
@@ -24,18 +24,22 @@ from loomgraph.operators.corpus import Corpus, entry_points, first_by_id, nodes_
 GROUP_EDGES = 50_000
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder that spark.checkpoint.dir names, and read back."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one only on one machine, if none is named."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/hop-{uuid.uuid4().hex}"
+    return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder, and read back."""
+    path = f"{shared_folder(df.sparkSession)}/hop-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def split_by_size(edges: DataFrame, group_edges: int) -> tuple[DataFrame, DataFrame | None]:

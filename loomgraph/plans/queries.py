@@ -297,21 +297,6 @@ def k5_drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.svg(projected(spark, sf_dir, "w_nodes"), projected(spark, sf_dir, "w_edges"))
 
 
-_ITEMS = "SELECT doc_id, ord, id, 300 + (doc_id * 131 + ord * 977) % 2100 AS chars FROM w_nodes"
-
-
-@query(f"""WITH RECURSIVE {duck('w_turns', 'w_nodes')}, i AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord, id) AS k FROM ({_ITEMS})),
-    f AS (SELECT doc_id, id, k, CAST(0 AS BIGINT) AS batch, 1 AS n, chars AS held FROM i WHERE k = 1
-      UNION ALL SELECT i.doc_id, i.id, i.k, CASE WHEN f.n >= 5 OR f.held + i.chars > 4000 THEN f.batch + 1 ELSE f.batch END, CASE WHEN f.n >= 5 OR f.held + i.chars > 4000 THEN 1 ELSE f.n + 1 END, CASE WHEN f.n >= 5 OR f.held + i.chars > 4000 THEN i.chars ELSE f.held + i.chars END
-        FROM f JOIN i ON i.doc_id = f.doc_id AND i.k = f.k + 1)
-    SELECT doc_id, id, batch FROM f""")
-def e2_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from loomgraph.operators import enrich
-
-    projected(spark, sf_dir, "w_nodes").createOrReplaceTempView("w_nodes")
-    return enrich.batches(spark.sql(_ITEMS))
-
-
 @query("SELECT page_id, CASE WHEN page_id % 4 < 3 THEN '1' END AS parsed, CAST(CASE page_id % 5 WHEN 1 THEN 1.0 WHEN 2 THEN 0.0 WHEN 3 THEN 0.33 ELSE 0.5 END AS DOUBLE) AS confidence FROM pages")
 def e7_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.operators import enrich
