@@ -151,6 +151,33 @@ def test_near_duplicates_lose_no_link(spark):
             parity_join.near_duplicates(docs, similarity=similarity)
 
 
+@pytest.mark.parametrize(("partitions", "similarity"), [(1, (2, 3)), (8, (9, 10)), (64, (3, 4))])
+def test_no_link_is_lost_at_the_end_of_a_task(spark, partitions, similarity):
+    """Few keys, many tasks, nothing coalesced: the last key of each task counts too."""
+    rng = random.Random(partitions)
+    texts = {}
+    for i in range(14):
+        words = [f"w{i}x{k}" for k in range(7)]
+        texts[2 * i], texts[2 * i + 1] = " ".join(words), " ".join([*words, "more"])
+    for i in range(28, 60, 2):
+        words = [f"v{rng.randrange(10_000)}" for _ in range(rng.choice([20, 45, 90]))]
+        texts[i] = " ".join(words)
+        words[rng.randrange(len(words))] = "changed"
+        texts[i + 1] = " ".join(words)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+        buckets = parity_join._buckets(docs, "doc_id", "text", 5, similarity, np.zeros(1 << 13, np.uint8)).distinct().groupBy("sig").count().where("count > 1")
+        assert buckets.count() >= 14 * (similarity != (9, 10))
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in parity_join.near_duplicates(docs, similarity=similarity).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = brute_components(texts, *similarity)
+    assert got == want and (similarity == (9, 10) or sum(c != i for i, (_, c) in want.items()) >= 14)
+
+
 @pytest.mark.parametrize("t", [(3, 4), (2, 3), (3, 5), (9, 10)])
 def test_linked_sets_share_a_key(t):
     """Also where shingles crowd into few segments, which small sets do often."""
