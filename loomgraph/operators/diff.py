@@ -11,30 +11,28 @@ from pyspark.sql import functions as F
 
 #: The order in which kinds are reported.
 KINDS = ["nodes", "edges", "prompts", "models", "tools", "data_sources", "document"]
-#: Fields that change on every run without a change of the workflow.
-VOLATILE = {"document": ["project.commit", "project.repository", "metadata.generated_at", "metadata.files_analyzed", "metadata.skipped"]}
 
-
-def changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(kind, op, id, field, before, after): what was added, removed or modified.
+def changes(old: DataFrame, new: DataFrame, *by: str) -> DataFrame:
+    """(*by, kind, op, id, field, before, after): what was added, removed or modified, in each group of the columns `by`.
 
     Of the document itself only fields are compared.  An absent field reads as null.  Where
     elements share an id the last one counts, by a column `ord` if there is one, else the
     value that sorts last.
     """
+    keys = [*by, "kind", "id"]
 
-    def by(df: DataFrame) -> DataFrame:
+    def grouped(df: DataFrame) -> DataFrame:
         last = F.max_by("value", F.struct("ord", "value")) if "ord" in df.columns else F.max("value")
-        one = df.groupBy("kind", "id", "field").agg(last.alias("value"))
-        return one.groupBy("kind", "id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("m"))
+        one = df.groupBy(*keys, "field").agg(last.alias("value"))
+        return one.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("m"))
 
-    met = by(old).withColumnRenamed("m", "o").join(by(new).withColumnRenamed("m", "n"), ["kind", "id"], "full_outer")
+    met = grouped(old).withColumnRenamed("m", "o").join(grouped(new).withColumnRenamed("m", "n"), keys, "full_outer")
     gone = (F.col("kind") != "document") & (F.col("o").isNull() | F.col("n").isNull())
-    whole = met.where(gone).select("kind", F.when(F.col("o").isNull(), "added").otherwise("removed").alias("op"), "id", *[F.lit(None).cast("string").alias(c) for c in ("field", "before", "after")])
+    whole = met.where(gone).select(*by, "kind", F.when(F.col("o").isNull(), "added").otherwise("removed").alias("op"), "id", *[F.lit(None).cast("string").alias(c) for c in ("field", "before", "after")])
     none = F.expr("cast(map() as map<string, string>)")
-    both = met.where(~gone).select("kind", "id", F.coalesce("o", none).alias("o"), F.coalesce("n", none).alias("n"))
-    fields = both.select("kind", "id", "o", "n", F.explode(F.array_distinct(F.concat(F.map_keys("o"), F.map_keys("n")))).alias("field"))
-    compared = fields.select("kind", F.lit("modified").alias("op"), "id", "field", F.col("o")[F.col("field")].alias("before"), F.col("n")[F.col("field")].alias("after"))
+    both = met.where(~gone).select(*keys, F.coalesce("o", none).alias("o"), F.coalesce("n", none).alias("n"))
+    fields = both.select(*keys, "o", "n", F.explode(F.array_distinct(F.concat(F.map_keys("o"), F.map_keys("n")))).alias("field"))
+    compared = fields.select(*by, "kind", F.lit("modified").alias("op"), "id", "field", F.col("o")[F.col("field")].alias("before"), F.col("n")[F.col("field")].alias("after"))
     return whole.unionByName(compared.where(~F.col("before").eqNullSafe(F.col("after"))))
 
 
@@ -50,20 +48,6 @@ def change_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("kind").pivot("op", ["added", "removed", "modified"]).count().fillna(0)
 
 
-def without_volatile(fields: DataFrame) -> DataFrame:
-    """The rows that matter for drift: volatile fields dropped, line numbers and times taken out of JSON values."""
-    volatile = F.lit(False)
-    for kind, names in VOLATILE.items():
-        volatile = volatile | ((F.col("kind") == kind) & F.col("id").isin(names))
-    # a key stands behind { or , and its opening quote; inside a string that quote would be escaped
-    pair = r'(?:"(?:start_line|end_line)":(?:-?\d+|null)|"generated_at":(?:"(?:[^"\\]|\\.)*"|null))'
-    timeless = F.col("value")
-    for pattern in (rf"(?<=[{{,]){pair},", rf",{pair}(?=\}})", rf"(?<=\{{){pair}(?=\}})"):
-        timeless = F.regexp_replace(timeless, pattern, "")
-    marked = F.when(F.col("field").isin("source_ref", "provenance") | ((F.col("field") == "source") & (F.col("kind") != "edges")), timeless).otherwise(F.col("value"))
-    return fields.where(~volatile).withColumn("value", marked)
-
-
 def brief(value: str, most: int = 90):
     """A one-line rendering of a value column."""
     return F.when(F.length(value) > most, F.concat(F.left(value, F.lit(most - 1)), F.lit("…"))).otherwise(F.col(value))

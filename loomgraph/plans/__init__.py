@@ -1,3 +1,3 @@
 """Projections of the given tables and the queries registered over them."""
 
-from loomgraph.plans import enriching, findings, queries, raw  # noqa: F401
+from loomgraph.plans import queries, raw, findings, enriching, exchange  # noqa: F401, I001
