@@ -49,7 +49,12 @@ _QUOTED = [rf"(?<={_GIVEN}{q})[^{q}\\\n]*+(?:\\.[^{q}\\\n]*+){{0,200}}(?<!{q})(?
 _BARE = rf"""(?<={_GIVEN}["'`]?)[^\s"'`=>](?:\S*[^\s"'`,;)\]}}>])?"""
 _CANDIDATE = f"(?:{_NEAR}(?:{'|'.join([*_QUOTED, _BARE])})|{_RUN})"
 
-FEATURES = ["length", "digits", "capitals", "symbols", "variety", "changes", "usual", "least_usual", "covered", "hex", "stand_in", "credential_before", "assigned", "quoted", "credential_after", "path_depth", "path_test"]
+#: Marks of a search, and what stands for them where a text has them itself: characters for private use.
+_OPEN, _SHUT, _OTHER = "\ue000", "\ue001", "\ue002"
+#: How public kinds of credentials begin.
+ISSUED = r"^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abp]-|sk[-_](live|test|proj)|sk-|rk_live_|AIza|ya29|eyJ[A-Za-z0-9]|SG\.|npm_|hf_|pypi-)"
+
+FEATURES = ["length", "digits", "capitals", "symbols", "variety", "changes", "usual", "least_usual", "covered", "hex", "stand_in", "credential_before", "named", "issued", "userinfo", "assigned", "quoted", "credential_after", "path_depth", "path_test"]
 
 
 def word_counts(docs: DataFrame, text: str) -> DataFrame:
@@ -71,21 +76,35 @@ def transition_table(words: DataFrame) -> list[float]:
     return table
 
 
-def candidates(docs: DataFrame, key: str, text: str, path: str) -> DataFrame:
+def candidates(docs: DataFrame, key: str, text: str, path: str, around: int = 10) -> DataFrame:
     """(row, at, key, digest, path, start, value, before, after): every candidate of every text,
-    with the 48 characters on either side of it; digest: of the text."""
-    found = lambda pattern, group: F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(group))
-    # each match goes on where the one before ended, so the lengths add up to offsets
-    upto = F.transform(found(rf"\G[\s\S]*?{_CANDIDATE}", 0), lambda s: F.length(s))
-    # a look behind takes the shortest that fits: all 48, or all there are; the last branch only
-    # lets it reach as far as 48 characters of two units each
-    before = found(rf"(?={_CANDIDATE})(?<=((?![\x{{DC00}}-\x{{DFFF}}])[\s\S]{{48}}|\A[\s\S]{{0,47}}|[^\s\S]{{96}})){_CANDIDATE}", 1)
+    with the 48 characters on either side of it; digest: of the text.
+
+    One search sets a mark before and behind each candidate; what stands between the marks
+    gives offsets and neighbours.  No 48 characters hold more than `around` candidates.
+    """
+    # characters that are marks here are other ones of no meaning while the text is searched
+    clean = F.translate("text", _OPEN + _SHUT, _OTHER * 2)
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("digest"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.col(text).alias("text"))
-    rows = rows.where(F.col("text").rlike(_CANDIDATE)).withColumn("row", F.monotonically_increasing_id())
-    each = F.arrays_zip(found(_CANDIDATE, 0).alias("value"), upto.alias("upto"), before.alias("before"), found(rf"{_CANDIDATE}(?=([\s\S]{{0,48}}))", 1).alias("after"))
-    out = rows.select("row", "key", "digest", "path", F.posexplode(each).alias("at", "c")).select("row", "at", "key", "digest", "path", "c.*")
-    end = F.sum("upto").over(Window.partitionBy("row").orderBy("at"))
-    return out.select("row", "at", "key", "digest", "path", (end - F.length("value")).cast("long").alias("start"), "value", "before", "after")
+    # a look that is quickly done
+    rows = rows.where(F.col("text").rlike(f"{_CHAR}{{14}}|{CREDENTIAL}")).withColumn("row", F.monotonically_increasing_id())
+    parts = F.split(F.regexp_replace(clean, _CANDIDATE, f"{_OPEN}$0{_SHUT}"), _OPEN)
+    odd = F.when(F.col("text").rlike(f"[{_OPEN}{_SHUT}]"), F.col("text"))
+    each = rows.select("row", "key", "digest", "path", odd.alias("odd"), F.posexplode(parts).alias("at", "part"))
+    at = F.when(F.col("at") == 0, 0).otherwise(F.instr("part", _SHUT))  # behind the value
+    value, gap = F.substring(F.col("part"), F.lit(1), at - 1), F.substring(F.col("part"), at + 1, F.length("part"))
+    each = each.select("row", "at", "key", "digest", "path", "odd", value.alias("value"), gap.alias("gap"))
+    each = each.select("*", F.concat("value", "gap").alias("plain"))
+    w = Window.partitionBy("row").orderBy("at")
+    joined = lambda c, lo, hi: F.array_join(F.collect_list(c).over(w.rowsBetween(lo, hi)), "")
+    upto = F.sum(F.length("plain")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.length("plain")
+    short = each.withColumn("first", F.left("plain", F.lit(48))).withColumn("last", F.right("plain", F.lit(48))).withColumn("gap", F.left("gap", F.lit(48)))
+    out = short.withColumn("start", upto.cast("long")).withColumn("before", F.right(joined("last", -around, -1), F.lit(48))).withColumn("after", F.left(F.concat("gap", F.when(F.length("gap") < 48, joined("first", 1, around)).otherwise("")), F.lit(48)))
+    # where a text has marks of its own, what was searched is not quite what it says
+    again = lambda c, lo, n: F.when(F.col("odd").isNull(), F.col(c)).otherwise(F.substring(F.col("odd"), lo.cast("int"), n.cast("int"))).alias(c)
+    from_ = F.greatest(F.col("start") - 47, F.lit(1))
+    shown = [again("value", F.col("start") + 1, F.length("value")), again("before", from_, F.col("start") + 1 - from_), again("after", F.col("start") + F.length("value") + 1, F.lit(48))]
+    return out.where("at > 0").select("row", (F.col("at") - 1).alias("at"), "key", "digest", "path", "start", *shown)
 
 
 def described(found: DataFrame, words: DataFrame, transitions: list[float], usual_from: int = 5) -> DataFrame:
@@ -109,7 +128,8 @@ def described(found: DataFrame, words: DataFrame, transitions: list[float], usua
         "usual": F.aggregate("steps", F.lit(0.0), lambda a, x: a + x) / size, "least_usual": F.array_min("steps"),
         "covered": F.coalesce("chars", F.lit(0)) / size,
         "hex": low.rlike("^[0-9a-f]+$").cast("double"), "stand_in": F.col("value").rlike(STAND_IN).cast("double"),
-        "credential_before": F.col("before").rlike(CREDENTIAL).cast("double"), "assigned": F.col("before").rlike(r"[:=]>?\s*[\"'`]?$").cast("double"),
+        "credential_before": F.col("before").rlike(CREDENTIAL).cast("double"), "named": F.col("before").rlike(rf"""{_GIVEN}["'`]?$|(?i:bearer|basic)[ \t]+$""").cast("double"), "issued": F.col("value").rlike(ISSUED).cast("double"),
+        "userinfo": (F.col("before").rlike(r"://[^\s/@:]*:$") & F.col("after").startswith("@")).cast("double"), "assigned": F.col("before").rlike(r"[:=]>?\s*[\"'`]?$").cast("double"),
         "quoted": F.col("before").rlike(r"[\"'`]$").cast("double"), "credential_after": F.col("after").rlike(CREDENTIAL).cast("double"),
         "path_depth": (F.size(F.split("path", "/")) - 1).cast("double"), "path_test": F.col("path").rlike(STAND_IN).cast("double"),
     }
@@ -117,7 +137,9 @@ def described(found: DataFrame, words: DataFrame, transitions: list[float], usua
 
 
 def planted(docs: DataFrame, key: str, text: str, path: str, sample_rows: int, seed: int = 13) -> DataFrame:
-    """(id, path, text, start, value, label): generated findings amid words of `docs`, stored.
+    """(id, path, text, start, value, label, kind): generated findings amid words of `docs`, stored; kind: the place of its template.
+
+    Half of the credentials have no credential word before them, and half of the others have one.
 
     Of about `sample_rows` rows, each sampled document has one of every kind; values follow
     from a hash of its key and text.
@@ -136,6 +158,11 @@ def planted(docs: DataFrame, key: str, text: str, path: str, sample_rows: int, s
         (1, 'token = "', part(hashed(10), 40), '"'), (1, "API_KEY=", part(web(11), 32), ""), (1, 'password: "', short, '"'),
         (1, '"client_secret": "', coded(12), '"'), (1, "Authorization: Bearer ", part(web(13), 40), ""), (1, "aws_secret_access_key = ", part(coded(14), 40), ""),
         (1, "passwd='", F.concat(part(coded(15), 9), part(digits(16), 3)), "'"), (1, "auth_token: ", part(hashed(17), 32), ""),
+        (1, "", F.concat(F.lit("AKIA"), part(F.upper(F.translate(coded(28), "+/=", "QZX")), 16)), ""), (1, "", F.concat(F.lit("ghp_"), part(F.translate(coded(29), "+/=", "aZ7"), 36)), ""), (1, "key ", F.concat(F.lit("sk_live_"), part(F.translate(coded(30), "+/=", "bY5"), 24)), ""),
+        (1, "", F.concat(F.lit("eyJhbGciOiJ"), part(web(31), 20)), "." ), (1, "postgres://admin:", F.concat(part(F.translate(coded(32), "+/=", "cX3"), 14), part(digits(33), 4)), "@db/main"), (1, "", F.concat(F.lit("xoxb-"), part(digits(34), 12), F.lit("-"), part(F.translate(coded(35), "+/=", "dW2"), 24)), ""),
+        (1, 'password = "', F.concat_ws(" ", *[F.lower(F.regexp_replace(near(i), r"[^\p{L}]", "x")) for i in (5, 6, 7)]), '"'), (1, "secret: '", F.concat_ws("-", *[F.lower(F.regexp_replace(near(i), r"[^\p{L}]", "y")) for i in (8, 9, 10, 11)]), "'"),
+        (0, "the auth commit ", part(hashed(36), 40), ""), (0, "token counts of batch ", part(digits(37), 18), ""), (0, "secret sharing, see sha256:", hashed(38), ""), (0, "password reset for order ", part(digits(39), 16), ""), (0, "private key rotation ", uuid, ""),
+        (0, "the access key module ", snake, ""), (0, "credentials checked in build ", part(hashed(40), 24), ""), (0, "auth service at ", F.concat(F.lit("/srv/"), F.concat_ws("/", *[F.regexp_replace(near(i), r"[^\w]", "") for i in range(3, 7)])), ""), (0, "img/png;base64,", F.concat(coded(41), coded(42)), ""), (0, "https://host:", F.concat(part(digits(43), 4), F.lit("/"), snake), ""),
         (0, "commit ", part(hashed(18), 40), ""), (0, "sha256:", hashed(19), ""), (0, 'etag: "', part(hashed(20), 32), '"'), (0, 'id = "', uuid, '"'),
         (0, 'token = "', F.concat(F.lit("your-token-"), near(1), F.lit("-here-xxxx")), '"'), (0, "password: ", F.concat(F.lit("${"), F.upper(snake), F.lit("}")), ""),
         (0, "api_key = ", F.concat(F.lit("settings."), snake), ""), (0, 'password = "', F.concat(F.lit("changeme_example_"), part(digits(21), 2)), '"'),
@@ -149,17 +176,17 @@ def planted(docs: DataFrame, key: str, text: str, path: str, sample_rows: int, s
     # sixteen words from somewhere in the text, made up to as many with one that is always there
     at = F.pmod(F.col("own"), F.greatest(F.lit(1), F.size("w") - 15)).cast("int") + 1
     some = some.withColumn("words", F.concat(F.slice("w", at, F.lit(16)), F.array_repeat(F.lit("word"), 16))).drop("w")
-    each = F.explode(F.array(*[F.struct(F.lit(y).alias("label"), F.lit(a).alias("ahead"), v.alias("value"), F.lit(b).alias("behind")) for y, a, v, b in kinds]))
+    each = F.explode(F.array(*[F.struct(F.lit(y).alias("label"), F.lit(a).alias("ahead"), v.alias("value"), F.lit(b).alias("behind"), F.lit(i).alias("kind")) for i, (y, a, v, b) in enumerate(kinds)]))
     rows = some.select("path", F.concat(F.array_join(F.slice("words", 1, 8), " "), F.lit(" ")).alias("head"), F.array_join(F.slice("words", 9, 8), " ").alias("tail"), each.alias("k"))
     text_ = F.concat("head", "k.ahead", "k.value", "k.behind", F.lit(" "), "tail")
-    return stash(rows.select(F.monotonically_increasing_id().alias("id"), "path", text_.alias("text"), (F.length("head") + F.length("k.ahead")).cast("long").alias("start"), "k.value", "k.label"))
+    return stash(rows.select(F.monotonically_increasing_id().alias("id"), "path", text_.alias("text"), (F.length("head") + F.length("k.ahead")).cast("long").alias("start"), "k.value", "k.label", "k.kind"))
 
 
 def planted_findings(docs: DataFrame, words: DataFrame, transitions: list[float], key: str, text: str, path: str, sample_rows: int = 20_000) -> DataFrame:
     """Described candidates with their `label`, as found among planted ones."""
     rows = planted(docs, key, text, path, sample_rows)
     found = stash(candidates(rows, "id", "text", "path"))
-    truth = rows.select(F.col("id").alias("key"), "start", "value", "label")
+    truth = rows.select(F.col("id").alias("key"), "start", "value", "label", "kind")
     return described(found.join(truth, ["key", "start", "value"]), words, transitions)
 
 
