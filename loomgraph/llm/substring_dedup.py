@@ -85,7 +85,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", ran
     """
     units = stash(unit_table(docs, key, text, F.col(key) if rank is None else rank, unit))
     here = F.struct("rank", "key", "start", "digest")
-    first = units.groupBy("h1", "h2").agg(F.min(here).alias("kept"), F.count("*").alias("copies")).where("copies > 1")
+    # set down, so that the rows of one very common unit can be dealt to several tasks where the two meet
+    first = stash(units.groupBy("h1", "h2").agg(F.min(here).alias("kept"), F.count("*").alias("copies")).where("copies > 1"))
     again = units.join(first, ["h1", "h2"]).where(~here.eqNullSafe(F.col("kept")))
     in_text = Window.partitionBy("key", "digest").orderBy("place")
     once = again.withColumn("before", F.lag("place").over(in_text)).withColumn("run", F.col("place") - F.dense_rank().over(in_text)).where("before is null or before < place")
