@@ -65,23 +65,23 @@ def answers(questions: DataFrame, c: Corpus) -> DataFrame:
         return of(kind).join(per, "doc_id", "left").select(*key, F.coalesce("text", F.lit(none)).alias("text"), F.coalesce("cites", F.array().cast("array<string>")).alias("cites"))
 
     shown = F.concat("id", F.lit(" ("), "type", F.lit(")"))
-    out = [listed("rag", graph.rag_components(c.nodes, c.edges).withColumn("line", shown), "Retrieval surface:", "There are no retrieval components.", "ord")]
+    out = [listed("rag", graph.rag_components(c.nodes, c.edges).withColumn("line", shown), "Components that take part in retrieval:", "Nothing retrieves here.", "ord")]
     used = graph.agents_using_tools(c.nodes, c.edges)
     used = used.withColumn("line", F.concat("agent", F.lit(" -> "), "tool")).withColumn("id", F.explode(F.array("agent", "tool")))
-    out.append(listed("tools", used, "Agents and the tools they can invoke:", "No agent invokes a tool.", "agent", "tool"))
+    out.append(listed("tools", used, "Tools within reach of each agent:", "No agent has a tool within reach.", "agent", "tool"))
     if c.failures is not None:
         open_ = graph.unhandled_failures(c.failures).withColumnRenamed("subject", "id")
         mark = F.when(F.col("inferred"), F.lit(" [inferred]")).otherwise(F.lit(""))
         open_ = open_.withColumn("line", F.concat("id", mark, F.lit(": "), "detail", F.coalesce(F.concat(F.lit(" ("), "source", F.lit(")")), F.lit(""))))
-        out.append(listed("failures", open_, "Failure modes without a handler:", "No failure mode lacks a handler.", "carrier", "carrier_ord"))
+        out.append(listed("failures", open_, "Failures that nothing handles:", "Every failure is handled.", "carrier", "carrier_ord"))
     paths = graph.stored(graph.paths_to_outputs(c.nodes, c.edges))
     told = graph.rendered_paths(paths, c.nodes, c.edges).withColumnRenamed("text", "line").join(paths.select("doc_id", "place", F.explode("nodes").alias("id")), ["doc_id", "place"])
-    per = told.groupBy("doc_id").agg(F.concat(F.countDistinct("place").cast("string"), F.lit(" path(s) from input to output:"), F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("place", "line"))), lambda x: F.concat(F.lit("\n  "), x["place"].cast("string"), F.lit(". "), x["line"])), "")).alias("text"), F.array_sort(F.collect_set("id")).alias("cites"))
-    out.append(of("paths").join(per, "doc_id", "left").select(*key, F.coalesce("text", F.lit("No path runs from an input to an output.")).alias("text"), F.coalesce("cites", F.array().cast("array<string>")).alias("cites")))
+    per = told.groupBy("doc_id").agg(F.concat(F.countDistinct("place").cast("string"), F.lit(" ways lead from an input to an output:"), F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("place", "line"))), lambda x: F.concat(F.lit("\n  "), x["place"].cast("string"), F.lit(". "), x["line"])), "")).alias("text"), F.array_sort(F.collect_set("id")).alias("cites"))
+    out.append(of("paths").join(per, "doc_id", "left").select(*key, F.coalesce("text", F.lit("No way leads from an input to an output.")).alias("text"), F.coalesce("cites", F.array().cast("array<string>")).alias("cites")))
     claims = graph.elements(c).where(graph.is_inferred() & F.col("kind").isin("node", "edge", "node.ai_context"))
-    out.append(listed("trust", claims.withColumn("line", F.col("id")).select("doc_id", "id", "line").distinct(), "Elements that carry inferred claims:", "Nothing was inferred."))
+    out.append(listed("trust", claims.withColumn("line", F.col("id")).select("doc_id", "id", "line").distinct(), "Claims that were inferred stand on:", "No claim was inferred."))
     s = graph.summary(c)
-    text = F.concat(F.col("nodes").cast("string"), F.lit(" nodes, "), F.col("edges").cast("string"), F.lit(" edges, "), F.col("paths_to_output").cast("string"), F.lit(" path(s) to output.\n  nodes  "), "node_types", F.lit("\n  edges  "), "edge_types")
+    text = F.concat(F.col("nodes").cast("string"), F.lit(" nodes, "), F.col("edges").cast("string"), F.lit(" edges, "), F.col("paths_to_output").cast("string"), F.lit(" ways to an output.\n  nodes: "), "node_types", F.lit("\n  edges: "), "edge_types")
     out.append(of("summary").join(s.select("doc_id", text.alias("text")), "doc_id").select(*key, "text", F.array().cast("array<string>").alias("cites")))
 
     found = graph.stored(resolved(wanted.where("target is not null"), c.nodes))
@@ -89,16 +89,16 @@ def answers(questions: DataFrame, c: Corpus) -> DataFrame:
     hit = graph.impact_of(c.nodes, c.edges, targets).withColumn("line", shown)
     per = hit.groupBy("doc_id", "failed").agg(F.count("*").alias("n"), lines(F.lit(""), "ord").alias("list"), ordered("ord").alias("affected"))
     impact = found.where("kind = 'impact'").join(per.withColumnRenamed("failed", "id"), ["doc_id", "id"], "left")
-    told = F.when(F.col("n").isNull(), F.concat(F.lit("Nothing depends on "), "id", F.lit("."))).otherwise(F.concat(F.lit("If "), "id", F.lit(" ("), "type", F.lit(") fails, "), F.col("n").cast("string"), F.lit(" component(s) are affected:"), "list"))
+    told = F.when(F.col("n").isNull(), F.concat(F.lit("No other part needs "), "id", F.lit("."))).otherwise(F.concat(F.lit("Without "), "id", F.lit(" ("), "type", F.lit(") "), F.col("n").cast("string"), F.lit(" others stop working:"), "list"))
     # a workflow part on which nothing depends is the answer itself: nothing else is cited
     cites = F.when(F.col("n").isNull(), F.array().cast("array<string>")).otherwise(F.concat(F.array("id"), "affected"))
     out.append(impact.select(*key, told.alias("text"), cites.alias("cites")))
-    e = c.edges.select("doc_id", F.explode(F.array(F.struct(F.col("source").alias("id"), F.lit(1).alias("side"), F.concat(F.lit("Out: --"), "type", F.lit("--> "), "target").alias("line")), F.struct(F.col("target").alias("id"), F.lit(0).alias("side"), F.concat(F.lit("In:  "), "source", F.lit(" --"), "type", F.lit("-->")).alias("line")))).alias("x"), "ord").select("doc_id", "x.*", "ord")
+    e = c.edges.select("doc_id", F.explode(F.array(F.struct(F.col("source").alias("id"), F.lit(1).alias("side"), F.concat(F.lit("goes --"), "type", F.lit("--> "), "target").alias("line")), F.struct(F.col("target").alias("id"), F.lit(0).alias("side"), F.concat(F.lit("gets "), "source", F.lit(" --"), "type", F.lit("-->")).alias("line")))).alias("x"), "ord").select("doc_id", "x.*", "ord")
     per = e.groupBy("doc_id", "id").agg(lines(F.lit(""), "side", "ord").alias("list"))
     describe = found.where("kind = 'describe'").join(per, ["doc_id", "id"], "left")
     if c.registry is not None:
         refs = resolved_refs(c.nodes, c.registry).where("entry is not null").groupBy("doc_id", "id").agg(F.min("entry").alias("entry"))
-        describe = describe.join(refs, ["doc_id", "id"], "left").withColumn("defined", F.coalesce(F.concat(F.lit("\n  Definition: "), "entry"), F.lit("")))
+        describe = describe.join(refs, ["doc_id", "id"], "left").withColumn("defined", F.coalesce(F.concat(F.lit("\n  Defined as "), "entry"), F.lit("")))
     else:
         describe = describe.withColumn("defined", F.lit(""))
     out.append(describe.select(*key, F.concat(shown, "defined", F.coalesce("list", F.lit(""))).alias("text"), F.array("id").alias("cites")))

@@ -297,12 +297,17 @@ def k5_drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.svg(projected(spark, sf_dir, "w_nodes"), projected(spark, sf_dir, "w_edges"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 4 < 3 THEN '1' END AS parsed, CAST(CASE page_id % 5 WHEN 1 THEN 1.0 WHEN 2 THEN 0.0 WHEN 3 THEN 0.33 ELSE 0.5 END AS DOUBLE) AS confidence FROM pages")
+_SURE = "CASE conv_id % 5 WHEN 0 THEN 'maybe' WHEN 1 THEN CAST(length(text) AS STRING) WHEN 2 THEN '-1' WHEN 3 THEN concat('0.', CAST(100 + length(text) % 900 AS STRING)) ELSE 'NaN' END"
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN turn % 4 < 3 AND text IS NOT NULL THEN text END AS parsed, CAST(CASE conv_id % 5 WHEN 1 THEN least(1, length(text)) WHEN 2 THEN 0 WHEN 3 THEN round(CAST({_SURE.replace('STRING', 'VARCHAR')} AS DECIMAL(9, 3)), 2) ELSE 0.5 END AS DOUBLE) AS confidence FROM conversations""")
 def e7_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given turns as replies of a model: plain, in a fence, amid prose, or cut off."""
+    from loomgraph.functions.canonical import members, quoted
     from loomgraph.operators import enrich
 
-    pages = projected(spark, sf_dir, "pages")
-    told = F.element_at(F.array(*map(F.lit, ['{"a": 1}', 'Sure:\n```json\n{"a": 1}\n```', 'It is {"a": 1} I think', '{"a": 1'])), (F.col("page_id") % 4 + 1).cast("int"))
-    sure = F.element_at(F.array(*map(F.lit, ["maybe", "7", "-1", "0.3333", "NaN"])), (F.col("page_id") % 5 + 1).cast("int"))
-    rows = pages.select("page_id", told.alias("reply"), sure.alias("sure")).withColumn("v", enrich.lenient_json("reply"))
-    return rows.select("page_id", F.expr("try_variant_get(v, '$.a', 'string')").alias("parsed"), enrich.confidence("sure").alias("confidence"))
+    told = members(a=quoted(F.col("text")))
+    forms = [told, F.concat(F.lit("Sure:\n```json\n"), told, F.lit("\n```")), F.concat(F.lit("It is "), told, F.lit(" I think")), F.left(told, F.length(told) - 1)]
+    reply = F.element_at(F.array(*forms), (F.col("turn") % 4 + 1).cast("int"))
+    rows = projected(spark, sf_dir, "conversations").select("conv_id", "turn", reply.alias("reply"), F.expr(_SURE).alias("sure")).withColumn("v", enrich.lenient_json("reply"))
+    return rows.select("conv_id", "turn", F.expr("try_variant_get(v, '$.a', 'string')").alias("parsed"), enrich.confidence("sure").alias("confidence"))
