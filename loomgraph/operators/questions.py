@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators import graph
-from loomgraph.operators.corpus import Corpus, resolved_refs
+from loomgraph.operators.corpus import Corpus, first_by_id, resolved_refs
 
 # Fixed values: (kind of answer, pattern, group that holds a name), the earliest match counts.
 RULES = [
@@ -61,25 +61,33 @@ def answers(questions: DataFrame, c: Corpus) -> DataFrame:
 
     def listed(kind: str, rows: DataFrame, head: str, none: str, *by: str) -> DataFrame:
         """Answers made of rows (doc_id, id, line, *by) of the question's document."""
-        per = rows.groupBy("doc_id").agg(lines(F.lit(head), *by).alias("text"), F.array_distinct(ordered(*by)).alias("cites"))
+        per = rows.groupBy("doc_id").agg(lines(F.lit(head), *by).alias("text"), F.array_compact(F.array_distinct(ordered(*by))).alias("cites"))
         return of(kind).join(per, "doc_id", "left").select(*key, F.coalesce("text", F.lit(none)).alias("text"), F.coalesce("cites", F.array().cast("array<string>")).alias("cites"))
 
     shown = F.concat("id", F.lit(" ("), "type", F.lit(")"))
     out = [listed("rag", graph.rag_components(c.nodes, c.edges).withColumn("line", shown), "Components that take part in retrieval:", "Nothing retrieves here.", "ord")]
-    used = graph.agents_using_tools(c.nodes, c.edges)
-    used = used.withColumn("line", F.concat("agent", F.lit(" -> "), "tool")).withColumn("id", F.explode(F.array("agent", "tool")))
-    out.append(listed("tools", used, "Tools within reach of each agent:", "No agent has a tool within reach.", "agent", "tool"))
+    used = graph.agents_using_tools(c.nodes, c.edges).groupBy("doc_id", "agent").agg(F.array_sort(F.collect_set("tool")).alias("tools"))
+    used = used.join(first_by_id(c.nodes).select("doc_id", F.col("id").alias("agent"), "ord"), ["doc_id", "agent"])
+    used = used.withColumn("line", F.concat("agent", F.lit(" -> "), F.array_join("tools", ", "))).withColumn("id", F.concat(F.array("agent"), "tools"))
+    per = used.groupBy("doc_id").agg(lines(F.lit("Tools within reach of each agent:"), "ord").alias("text"), F.array_distinct(F.flatten(ordered("ord"))).alias("cites"))
+    out.append(of("tools").join(per, "doc_id", "left").select(*key, F.coalesce("text", F.lit("No agent has a tool within reach.")).alias("text"), F.coalesce("cites", F.array().cast("array<string>")).alias("cites")))
     if c.failures is not None:
         open_ = graph.unhandled_failures(c.failures).withColumnRenamed("subject", "id")
         mark = F.when(F.col("inferred"), F.lit(" [inferred]")).otherwise(F.lit(""))
         open_ = open_.withColumn("line", F.concat("id", mark, F.lit(": "), "detail", F.coalesce(F.concat(F.lit(" ("), "source", F.lit(")")), F.lit(""))))
+        # one line more where a model said so
+        note = open_.where("inferred").select("doc_id", F.lit("zz").alias("carrier"), F.lit(0).cast("long").alias("carrier_ord"), F.lit("What is marked [inferred] was said by a model, not read from code.").alias("line")).distinct()
+        open_ = open_.select("doc_id", "carrier", "carrier_ord", "id", "line").unionByName(note, allowMissingColumns=True)
         out.append(listed("failures", open_, "Failures that nothing handles:", "Every failure is handled.", "carrier", "carrier_ord"))
     paths = graph.stored(graph.paths_to_outputs(c.nodes, c.edges))
     told = graph.rendered_paths(paths, c.nodes, c.edges).withColumnRenamed("text", "line").join(paths.select("doc_id", "place", F.explode("nodes").alias("id")), ["doc_id", "place"])
     per = told.groupBy("doc_id").agg(F.concat(F.countDistinct("place").cast("string"), F.lit(" ways lead from an input to an output:"), F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("place", "line"))), lambda x: F.concat(F.lit("\n  "), x["place"].cast("string"), F.lit(". "), x["line"])), "")).alias("text"), F.array_sort(F.collect_set("id")).alias("cites"))
     out.append(of("paths").join(per, "doc_id", "left").select(*key, F.coalesce("text", F.lit("No way leads from an input to an output.")).alias("text"), F.coalesce("cites", F.array().cast("array<string>")).alias("cites")))
     claims = graph.elements(c).where(graph.is_inferred() & F.col("kind").isin("node", "edge", "node.ai_context"))
-    out.append(listed("trust", claims.withColumn("line", F.col("id")).select("doc_id", "id", "line").distinct(), "Claims that were inferred stand on:", "No claim was inferred."))
+    claims = claims.select("doc_id", F.lit(0).alias("part"), F.col("id").alias("at"), "id", F.col("id").alias("line")).distinct()
+    weak = graph.low_trust(c).join(claims.select("doc_id").distinct(), "doc_id", "left_semi")
+    weak = weak.select("doc_id", F.lit(1).alias("part"), *[F.lit(None).cast("string").alias(x) for x in ("at", "id")], F.concat(F.lit("to review: "), "subject", F.lit(": "), "detail").alias("line"))
+    out.append(listed("trust", claims.unionByName(weak), "Claims that were inferred stand on:", "No claim was inferred.", "part", "at"))
     s = graph.summary(c)
     text = F.concat(F.col("nodes").cast("string"), F.lit(" nodes, "), F.col("edges").cast("string"), F.lit(" edges, "), F.col("paths_to_output").cast("string"), F.lit(" ways to an output.\n  nodes: "), "node_types", F.lit("\n  edges: "), "edge_types")
     out.append(of("summary").join(s.select("doc_id", text.alias("text")), "doc_id").select(*key, "text", F.array().cast("array<string>").alias("cites")))
@@ -87,9 +95,10 @@ def answers(questions: DataFrame, c: Corpus) -> DataFrame:
     found = graph.stored(resolved(wanted.where("target is not null"), c.nodes))
     targets = found.where("kind = 'impact'").select("doc_id", "id").distinct()
     hit = graph.impact_of(c.nodes, c.edges, targets).withColumn("line", shown)
-    per = hit.groupBy("doc_id", "failed").agg(F.count("*").alias("n"), lines(F.lit(""), "ord").alias("list"), ordered("ord").alias("affected"))
+    ends = F.transform(F.array_sort(F.collect_list(F.when(F.col("type") == "output", F.struct("ord", "id")))), lambda e: e["id"])
+    per = hit.groupBy("doc_id", "failed").agg(F.count("*").alias("n"), lines(F.lit(""), "ord").alias("list"), ordered("ord").alias("affected"), F.array_join(ends, ", ").alias("ends"))
     impact = found.where("kind = 'impact'").join(per.withColumnRenamed("failed", "id"), ["doc_id", "id"], "left")
-    told = F.when(F.col("n").isNull(), F.concat(F.lit("No other part needs "), "id", F.lit("."))).otherwise(F.concat(F.lit("Without "), "id", F.lit(" ("), "type", F.lit(") "), F.col("n").cast("string"), F.lit(" others stop working:"), "list"))
+    told = F.when(F.col("n").isNull(), F.concat(F.lit("No other part needs "), "id", F.lit("."))).otherwise(F.concat(F.lit("Without "), "id", F.lit(" ("), "type", F.lit(") "), F.col("n").cast("string"), F.lit(" others stop working:"), "list", F.when(F.col("ends") != "", F.concat(F.lit("\n  No other way leads to "), "ends")).otherwise("")))
     # a workflow part on which nothing depends is the answer itself: nothing else is cited
     cites = F.when(F.col("n").isNull(), F.array().cast("array<string>")).otherwise(F.concat(F.array("id"), "affected"))
     out.append(impact.select(*key, told.alias("text"), cites.alias("cites")))

@@ -87,3 +87,48 @@ def _cte(name: str) -> str:
 def k4_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with all analyses of its graph."""
     return payload.payload(projected(spark, sf_dir, "j_sound"), small(spark, sf_dir))
+
+
+_ASKED = ["Where does retrieval happen?", "If the N1 fails, what then?", "Which tools can agents call?", "Please find missing error handling", "Show every flow end-to-end", "What was inferred or guessed?", "What is the blast radius of n2?", "What depends on n3?", "What is again?", "Tell me about the step", "Give an overview"]
+_KINDS = ["rag", "impact", "tools", "failures", "paths", "trust", "impact", "impact", "describe", "describe", "summary"]
+_LINE = "chr(10) || '  ' || "
+
+
+def _answer(i: int, found: str, none: str) -> str:
+    """Question `i` of every document: text and cites of `found` (doc_id, text, cites), else `none`."""
+    return f"SELECT d.doc_id, {i} AS question_id, '{_KINDS[i]}' AS matched, coalesce(f.text, '{none}') AS text, coalesce(f.cites, '') AS cites FROM docs d LEFT JOIN ({found}) f ON f.doc_id = d.doc_id"
+
+
+@query(f"""WITH RECURSIVE {duck('w_turns', 'w_nodes', 'w_edges', 'w_failures', 'w_registry', 'w_contexts')}, docs AS (SELECT DISTINCT doc_id FROM w_turns), fn AS (SELECT doc_id, id, arg_min(type, ord) AS type, min(ord) AS ord FROM w_nodes GROUP BY doc_id, id),
+    targets AS (SELECT DISTINCT doc_id, id FROM w_nodes WHERE id IN ('n1', 'n2', 'n3')), reach AS (
+      SELECT doc_id, id AS failed, id FROM targets UNION SELECT t.doc_id, t.id, e.source FROM targets t JOIN w_edges e ON e.doc_id = t.doc_id AND e.target = t.id AND e.type IN ('retrieves', 'uses')
+      UNION SELECT r.doc_id, r.failed, e.target FROM reach r JOIN w_edges e ON e.doc_id = r.doc_id AND e.source = r.id),
+    hit AS (SELECT r.doc_id, r.failed, n.id, n.ord, n.type FROM (SELECT DISTINCT * FROM reach) r JOIN w_nodes n ON n.doc_id = r.doc_id AND n.id = r.id WHERE r.failed <> r.id),
+    hits AS (SELECT doc_id, failed, count(*) AS n, string_agg({_LINE} id || ' (' || type || ')', '' ORDER BY ord) AS x, string_agg(id, ',' ORDER BY ord, id) AS ids, string_agg(id, ', ' ORDER BY ord, id) FILTER (type = 'output') AS ends FROM hit GROUP BY doc_id, failed),
+    ra AS {_cte('g6_rag_components')}, ag AS {_cte('g7_agents_using_tools')}, uh AS {_cte('g8_unhandled_failures')}, gp AS {_cte('g5_rendered_paths')}, su AS {_cte('a1_summary')}, p4 AS {_cte('g4_paths_to_outputs')}, lo AS {_cte('g9_low_trust')},
+    claims AS (SELECT doc_id, id FROM w_nodes WHERE method = 'ai_inference' UNION SELECT doc_id, id FROM w_edges WHERE method = 'ai_inference' UNION SELECT doc_id, id FROM w_contexts WHERE kind = 'node' AND method = 'ai_inference'),
+    impacts AS (SELECT t.doc_id, t.id, CASE WHEN h.n IS NULL THEN 'No other part needs ' || t.id || '.' ELSE 'Without ' || t.id || ' (' || f.type || ') ' || h.n || ' others stop working:' || h.x || coalesce(chr(10) || '  No other way leads to ' || h.ends, '') END AS text, CASE WHEN h.n IS NULL THEN '' ELSE t.id || ',' || h.ids END AS cites FROM targets t JOIN fn f ON f.doc_id = t.doc_id AND f.id = t.id LEFT JOIN hits h ON h.doc_id = t.doc_id AND h.failed = t.id),
+    named AS (
+      SELECT d.doc_id, 8 AS q, 'again' AS t FROM docs d UNION ALL SELECT d.doc_id, 9, 'step' FROM docs d),
+    met AS (SELECT a.doc_id, a.q, n.id, n.type, n.ord, CASE WHEN lower(n.id) = t THEN 0 WHEN lower(coalesce(n.name, '')) = t THEN 1 ELSE 2 END AS rank FROM named a JOIN w_nodes n ON n.doc_id = a.doc_id AND (lower(n.id) = t OR lower(coalesce(n.name, '')) = t OR contains(lower(n.id), t) OR contains(lower(coalesce(n.name, '')), t))),
+    best AS (SELECT doc_id, q, arg_min(id, rank * 1000 + ord) AS id, arg_min(type, rank * 1000 + ord) AS type, min(rank) AS rank, count(*) AS n FROM met GROUP BY doc_id, q HAVING min(rank) < 2 OR count(*) = 1),
+    ends AS (SELECT doc_id, source AS id, 1 AS side, ord, 'goes --' || type || '--> ' || target AS x FROM w_edges UNION ALL SELECT doc_id, target, 0, ord, 'gets ' || source || ' --' || type || '-->' FROM w_edges), lines AS (SELECT doc_id, id, string_agg({_LINE} x, '' ORDER BY side, ord) AS x FROM ends GROUP BY doc_id, id),
+    defined AS (SELECT n.doc_id, n.id, min(r.id) AS entry FROM w_nodes n JOIN w_registry r ON r.doc_id = n.doc_id AND r.id = n.ref AND r.registry = CASE n.type WHEN 'llm' THEN 'models' WHEN 'tool' THEN 'tools' WHEN 'prompt' THEN 'prompts' WHEN 'vector_store' THEN 'data_sources' WHEN 'retriever' THEN 'data_sources' END GROUP BY n.doc_id, n.id),
+    said AS ({_answer(0, f"SELECT doc_id, 'Components that take part in retrieval:' || string_agg({_LINE} id || ' (' || type || ')', '' ORDER BY ord) AS text, string_agg(id, ',' ORDER BY ord) AS cites FROM ra GROUP BY doc_id", 'Nothing retrieves here.')}
+      UNION ALL {_answer(2, f"SELECT g.doc_id, 'Tools within reach of each agent:' || string_agg({_LINE} agent || ' -> ' || tools, '' ORDER BY f.ord) AS text, NULL AS cites FROM (SELECT doc_id, agent, string_agg(tool, ', ' ORDER BY tool) AS tools FROM ag GROUP BY doc_id, agent) g JOIN fn f ON f.doc_id = g.doc_id AND f.id = g.agent GROUP BY g.doc_id", 'No agent has a tool within reach.')}
+      UNION ALL {_answer(3, f"SELECT doc_id, 'Failures that nothing handles:' || string_agg({_LINE} subject || CASE WHEN inferred THEN ' [inferred]' ELSE '' END || ': ' || detail || coalesce(' (' || source || ')', ''), '' ORDER BY carrier, carrier_ord) || CASE WHEN bool_or(inferred) THEN {_LINE} 'What is marked [inferred] was said by a model, not read from code.' ELSE '' END AS text, NULL AS cites FROM uh GROUP BY doc_id", 'Every failure is handled.')}
+      UNION ALL {_answer(5, f"SELECT doc_id, 'Claims that were inferred stand on:' || string_agg({_LINE} x, '' ORDER BY part, id, x) AS text, NULL AS cites FROM (SELECT doc_id, 0 AS part, id, id AS x FROM claims UNION ALL SELECT l.doc_id, 1, NULL, 'to review: ' || subject || ': ' || detail FROM lo l WHERE l.doc_id IN (SELECT doc_id FROM claims)) GROUP BY doc_id", 'No claim was inferred.')}
+      UNION ALL {_answer(4, f"SELECT doc_id, count(*) || ' ways lead from an input to an output:' || string_agg({_LINE} place || '. ' || text, '' ORDER BY place) AS text, (SELECT string_agg(DISTINCT x, ',' ORDER BY x) FROM (SELECT doc_id, unnest(string_split(nodes, '>')) AS x FROM p4) u WHERE u.doc_id = gp.doc_id) AS cites FROM gp GROUP BY doc_id", 'No way leads from an input to an output.')}
+      UNION ALL SELECT doc_id, 10, 'summary', nodes || ' nodes, ' || edges || ' edges, ' || paths_to_output || ' ways to an output.' || chr(10) || '  nodes: ' || node_types || chr(10) || '  edges: ' || edge_types, '' FROM su
+      UNION ALL SELECT i.doc_id, CASE i.id WHEN 'n1' THEN 1 WHEN 'n2' THEN 6 ELSE 7 END, 'impact', i.text, i.cites FROM impacts i
+      UNION ALL SELECT b.doc_id, b.q, 'describe', b.id || ' (' || b.type || ')' || coalesce(chr(10) || '  Defined as ' || f.entry, '') || coalesce(l.x, ''), b.id FROM best b LEFT JOIN lines l ON l.doc_id = b.doc_id AND l.id = b.id LEFT JOIN defined f ON f.doc_id = b.doc_id AND f.id = b.id)
+    SELECT doc_id, CAST(question_id AS BIGINT) AS question_id, matched, text, CASE WHEN matched IN ('tools', 'failures', 'trust') THEN NULL ELSE cites END AS cites FROM said""")
+def q_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers in full, questions for every rule; what cannot be resolved has no row."""
+    from loomgraph.operators import questions
+
+    docs = projected(spark, sf_dir, "w_turns").select("doc_id").distinct()
+    asked = docs.select("doc_id", F.posexplode(F.array(*map(F.lit, _ASKED))).alias("question_id", "question")).withColumn("question_id", F.col("question_id").cast("long"))
+    found = questions.answers(asked, small(spark, sf_dir)).where("matched is not null")
+    cites = F.when(~F.col("matched").isin("tools", "failures", "trust"), F.array_join("cites", ","))
+    return found.select("doc_id", "question_id", "matched", "text", cites.alias("cites"))
