@@ -32,6 +32,8 @@ class Corpus:
     failures: DataFrame | None = None
     variables: DataFrame | None = None
     contexts: DataFrame | None = None
+    #: Edges with the types of their ends, where they have been found already.
+    ends: DataFrame | None = None
 
 
 def first_by_id(rows: DataFrame, *by: str) -> DataFrame:

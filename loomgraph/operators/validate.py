@@ -67,6 +67,8 @@ def broken_links(c: Corpus) -> DataFrame:
 
 def _ends(c: Corpus) -> DataFrame:
     """Edges with the type and position of the node at either end, null where there is none."""
+    if c.ends is not None:
+        return c.ends
     n = first_by_id(c.nodes).select("doc_id", "id", F.col("type").alias("t"), F.col("ord").alias("o"))
     named = lambda end: n.select("doc_id", F.col("id").alias(end), F.col("t").alias(f"{end}_type"), F.col("o").alias(f"{end}_ord"))
     return c.edges.join(named("source"), ["doc_id", "source"], "left").join(named("target"), ["doc_id", "target"], "left")
@@ -139,7 +141,9 @@ def provenance_discipline(c: Corpus) -> DataFrame:
 
 
 def validate_semantic(c: Corpus) -> DataFrame:
-    """All findings of the corpus."""
+    """All findings of the corpus, whose tables and edges with their ends are set down once for all rules."""
+    c = Corpus(*[t if t is None else stored(t) for t in (c.nodes, c.edges, c.registry, c.ports, c.depends, c.failures, c.variables, c.contexts)])
+    c.ends = stored(_ends(c))
     out = duplicate_ids(c)
     rules = [broken_edges, branch_discipline, reachability, provenance_discipline]
     if c.registry is not None:
