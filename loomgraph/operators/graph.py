@@ -3,7 +3,8 @@
 Documents are small graphs: those of at most `group_edges` edges are gathered by document in
 one shuffle and walked inside tasks, many documents to a batch.  Larger ones are walked hop
 by hop, all together: each hop joins the frontier with the edges and drops what was seen,
-and is cut off from the plan of the hops before in the shared folder.  Results are the same.
+and is cut off from the plan of the hops before in the shared folder; paths stop at their
+cap there too.  Results are the same.
 """
 
 from __future__ import annotations
@@ -131,25 +132,36 @@ def unreachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(with_input, "doc_id", "left_semi").join(live, ["doc_id", "id"], "left_anti").select(*nodes.columns)
 
 
-def simple_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc_id, start, goal, nodes, edge_ids, ords): every simple path of each of `pairs` (doc_id, start, goal).
+def simple_paths(edges: DataFrame, pairs: DataFrame, limit: int = MAX_PATHS, *by: str) -> DataFrame:
+    """(doc_id, start, goal, place, nodes, edge_ids): the first `limit` simple paths of each of `pairs`, or in all of those that share the columns `by`.
 
-    Parallel edges give paths of their own; start = goal is one path without edges.  Only
-    nodes from which a goal can be reached are walked.
+    pairs(doc_id, start, goal and, if they have an order, start_ord, goal_ord).  Paths come in
+    the order of their pair, then depth first in the order of edges; parallel edges give paths
+    of their own, and start = goal is one path without edges.  Only nodes from which a goal
+    can be reached are walked.
+
+    Of the beginnings found so far each round prolongs the first `limit` of a group only and
+    leaves the others standing; a group is done when `limit` whole paths come before all
+    beginnings that are left.  So a round costs what the limit allows, however many paths
+    there are, and there are about as many rounds as a path has edges.
     """
+    by = by or ("doc_id", "start", "goal")
     useful = reachable_from(edges.select("doc_id", F.col("target").alias("source"), F.col("source").alias("target")), pairs.select("doc_id", F.col("goal").alias("id")))
     step = edges.join(useful.withColumnRenamed("id", "target"), ["doc_id", "target"], "left_semi")
-    step = stored(step.select("doc_id", F.col("source").alias("at"), F.col("target").alias("to"), F.col("id").alias("eid"), "ord"))
-    text, number = F.array().cast("array<string>"), F.array().cast("array<long>")
-    live = stored(pairs.distinct().select("doc_id", "start", "goal", F.col("start").alias("at"), F.array("start").alias("nodes"), text.alias("edge_ids"), number.alias("ords")))
-    done = live.where(F.col("at") == F.col("goal"))
+    step = stored(step.select("doc_id", F.col("source").alias("at"), F.col("target").alias("to"), F.col("id").alias("eid"), F.col("ord").cast("long").alias("o")))
+    first = F.array(*[F.col(c).cast("long") if c in pairs.columns else F.lit(0).cast("long") for c in ("start_ord", "goal_ord")])
+    begun = pairs.select("doc_id", "start", "goal", first.alias("order"), F.col("start").alias("at"), F.array("start").alias("nodes"), F.array().cast("array<string>").alias("edge_ids")).distinct()
+    columns, in_order, whole = begun.columns, Window.partitionBy(*by).orderBy("order"), F.col("at") == F.col("goal")
+    upto, ahead = (in_order.rowsBetween(Window.unboundedPreceding, x) for x in (Window.currentRow, -1))
+    ranked = lambda rows: rows.withColumn("place", F.row_number().over(in_order).cast("long")).withColumn("open", F.count_if(~whole).over(upto)).withColumn("full", F.count_if(whole).over(ahead)).where(F.col("full") < limit)
+    rows = stored(ranked(begun))
     while True:
-        open_ = live.where(F.col("at") != F.col("goal"))
-        more = open_.join(step, ["doc_id", "at"]).where(~F.array_contains("nodes", F.col("to")))
-        live = stored(more.select("doc_id", "start", "goal", F.col("to").alias("at"), F.concat("nodes", F.array("to")).alias("nodes"), F.concat("edge_ids", F.array("eid")).alias("edge_ids"), F.concat("ords", F.array(F.col("ord").cast("long"))).alias("ords")))
-        if live.isEmpty():
-            return done.drop("at")
-        done = done.unionByName(live.where(F.col("at") == F.col("goal")))
+        grow = rows.where(~whole & (F.col("open") <= limit))
+        if grow.isEmpty():
+            return rows.where(whole & (F.col("place") <= limit)).select("doc_id", "start", "goal", "place", "nodes", "edge_ids")
+        more = grow.join(step, ["doc_id", "at"]).where(~F.array_contains("nodes", F.col("to")))
+        more = more.select("doc_id", "start", "goal", F.concat("order", F.array("o")).alias("order"), F.col("to").alias("at"), F.concat("nodes", F.array("to")).alias("nodes"), F.concat("edge_ids", F.array("eid")).alias("edge_ids"))
+        rows = stored(ranked(rows.where(whole | (F.col("open") > limit)).select(*columns).unionByName(more)))
 
 
 def first_paths(entries: list[dict], exits: list[dict], edges: list[dict], limit: int) -> Iterator[tuple[int, list[str], list[str]]]:
@@ -203,10 +215,8 @@ def paths_to_outputs(nodes: DataFrame, edges: DataFrame, limit: int = MAX_PATHS,
     if large is None:
         return found
     start, goal = (df.join(large.select("doc_id").distinct(), "doc_id", "left_semi") for _, df in ends)
-    pairs = stored(start.withColumnsRenamed({"id": "start", "ord": "start_ord"}).join(goal.withColumnsRenamed({"id": "goal", "ord": "goal_ord"}), "doc_id"))
-    order = Window.partitionBy("doc_id").orderBy("start_ord", "goal_ord", "ords")
-    more = simple_paths(large, pairs.select("doc_id", "start", "goal")).join(pairs, ["doc_id", "start", "goal"]).withColumn("place", F.row_number().over(order).cast("long"))
-    return found.unionByName(more.where(F.col("place") <= limit).select("doc_id", "place", "nodes", "edge_ids"))
+    pairs = start.withColumnsRenamed({"id": "start", "ord": "start_ord"}).join(goal.withColumnsRenamed({"id": "goal", "ord": "goal_ord"}), "doc_id")
+    return found.unionByName(simple_paths(large, stored(pairs), limit, "doc_id").select("doc_id", "place", "nodes", "edge_ids"))
 
 
 def rendered_paths(paths: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

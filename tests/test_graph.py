@@ -109,6 +109,8 @@ def test_paths_stop_at_the_cap(spark):
     n = spark.createDataFrame(nodes, "doc_id long, ord long, id string, type string")
     e = spark.createDataFrame([(*x, "passes") for x in edges], "doc_id long, ord long, id string, source string, target string, type string")
     got = {r["place"]: r["nodes"] for r in graph.paths_to_outputs(n, e).collect()}
+    large = {r["place"]: r["nodes"] for r in graph.paths_to_outputs(n, e, limit=30, group_edges=10).collect()}
+    assert large == {place: got[place] for place in range(1, 31)}
     assert sorted(got) == list(range(1, 1001))
     for place in (1, 2, 1000):  # in the order of edges: the last diamond turns fastest
         turns = [x[0] for x in got[place] if x[0] in "ab"]
@@ -127,3 +129,5 @@ def test_large_documents_give_the_same(spark):
     for limit in (1, 9):
         assert rows(graph.reachable_from(e, agents, "agent", stop=stop, group_edges=limit)) == rows(graph.reachable_from(e, agents, "agent", stop=stop))
         assert rows(graph.paths_to_outputs(n, e, group_edges=limit)) == rows(graph.paths_to_outputs(n, e))
+    for most in (1, 2, 5):
+        assert rows(graph.paths_to_outputs(n, e, most, group_edges=1)) == rows(graph.paths_to_outputs(n, e, most))
