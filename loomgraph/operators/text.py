@@ -45,3 +45,15 @@ def escaped(text: str | Column) -> Column:
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         c = F.replace(c, F.lit(raw), F.lit(safe))
     return c
+
+
+def permalink(repository: Column, commit: Column, root: Column, file: Column, start: Column, end: Column, url: Column) -> Column:
+    """A link to lines of a file at a commit, null where it is not known; a reference's own `url` goes first, if it is safe.
+
+    Repositories of one public host only, whose links have a known form.
+    """
+    place = F.regexp_extract(repository, r"^https?://github\.com/([^/]+/[^/]+?)(?:\.git)?/?$", 1)
+    path = F.when(root != "", F.concat(F.regexp_replace(root, "/+$", ""), F.lit("/"), file)).otherwise(file)
+    lines = F.when(start > 0, F.concat(F.lit("#L"), start.cast("string"), F.when((end > 0) & (end != start), F.concat(F.lit("-L"), end.cast("string"))).otherwise(""))).otherwise("")
+    made = F.when((place != "") & (commit != ""), F.concat(F.lit("https://github.com/"), place, F.lit("/blob/"), commit, F.lit("/"), path, lines))
+    return F.when(url != "", F.when(url.rlike("^https?://"), url)).otherwise(made)

@@ -132,3 +132,51 @@ def q_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = questions.answers(asked, small(spark, sf_dir)).where("matched is not null")
     cites = F.when(~F.col("matched").isin("tools", "failures", "trust"), F.array_join("cites", ","))
     return found.select("doc_id", "question_id", "matched", "text", cites.alias("cites"))
+
+
+PROJECTIONS |= {
+    "y_refs": """SELECT page_id AS id, CASE page_id % 5 WHEN 0 THEN concat('http://github.com/', split_part(url, '/', 3), '/p', CAST(page_id AS STRING), '/') WHEN 1 THEN concat('https://github.com/own/', split_part(url, '/', 3), '.git') WHEN 2 THEN concat('https://example.org/', CAST(page_id AS STRING)) WHEN 3 THEN concat('https://github.com/own/a/b', CAST(page_id AS STRING)) ELSE concat('https://github.com/own/r', CAST(page_id AS STRING)) END AS repository,
+        CASE WHEN page_id % 7 > 0 THEN left(md5(url), 12) END AS revision, CASE page_id % 3 WHEN 0 THEN 'src//' WHEN 1 THEN '' END AS root, concat('m', CAST(page_id AS STRING), '.py') AS file, CASE WHEN page_id % 4 > 0 THEN page_id % 50 + 1 END AS line, CASE WHEN page_id % 6 > 1 THEN page_id % 50 + page_id % 6 - 1 END AS upto,
+        CASE WHEN page_id % 11 = 0 THEN url WHEN page_id % 11 = 1 THEN concat('javascript:', url) END AS own FROM {pages}""",
+}
+
+
+@query(f"""WITH {duck('y_refs')} SELECT id, CASE WHEN own <> '' THEN CASE WHEN regexp_matches(own, '^https?://') THEN own END
+      WHEN revision <> '' AND regexp_matches(repository, '^https?://github\\.com/[^/]+/[^/]+?(\\.git)?/?$') THEN 'https://github.com/' || regexp_extract(repository, '^https?://github\\.com/([^/]+/[^/]+?)(\\.git)?/?$', 1) || '/blob/' || revision || '/' || CASE WHEN root <> '' THEN rtrim(root, '/') || '/' ELSE '' END || file
+        || CASE WHEN line > 0 THEN '#L' || line || CASE WHEN upto > 0 AND upto <> line THEN '-L' || upto ELSE '' END ELSE '' END END AS link FROM y_refs""")
+def y5_permalinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.operators.text import permalink
+
+    link = permalink(*map(F.col, ("repository", "revision", "root", "file", "line", "upto", "own")))
+    return projected(spark, sf_dir, "y_refs").select("id", link.alias("link"))
+
+
+@query(f"""WITH {duck('w_nodes', 'w_edges', 'w_registry')} SELECT doc_id, 'node' AS kind, id, min(ord) AS ord, arg_min(type, ord) AS told FROM w_nodes WHERE id = 'n1' GROUP BY doc_id, id UNION ALL SELECT doc_id, 'edge', id, min(ord), arg_min(type, ord) FROM w_edges WHERE id = 'e4' GROUP BY doc_id, id
+    UNION ALL SELECT doc_id, 'models', id, min(ord), arg_min(coalesce(method, '-'), ord) FROM w_registry WHERE registry = 'models' GROUP BY doc_id, id""")
+def f1_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first node and edge of an id in every document, and the entries of one registry."""
+    from loomgraph.operators.corpus import first_by_id
+
+    c = small(spark, sf_dir)
+    part = lambda rows, kind, told: rows.select("doc_id", F.lit(kind).alias("kind"), "id", "ord", told.alias("told"))
+    out = part(first_by_id(c.nodes).where("id = 'n1'"), "node", F.col("type")).unionByName(part(first_by_id(c.edges).where("id = 'e4'"), "edge", F.col("type")))
+    return out.unionByName(part(first_by_id(c.registry.where("registry = 'models'"), "registry"), "models", F.coalesce("method", F.lit("-"))))
+
+
+@query(f"WITH {duck('w_nodes')} SELECT doc_id, type, count(*) AS nodes FROM w_nodes GROUP BY doc_id, type")
+def a5_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return small(spark, sf_dir).nodes.groupBy("doc_id", "type").agg(F.count("*").alias("nodes"))
+
+
+@query(f"""WITH RECURSIVE {duck('w_nodes', 'w_edges')}, pairs AS (SELECT DISTINCT a.doc_id, a.id AS start, b.id AS goal FROM w_nodes a JOIN w_nodes b ON a.doc_id = b.doc_id AND a.type = 'agent' AND b.type IN ('output', 'tool')),
+    walk AS (SELECT doc_id, start, goal, start AS cur, [start] AS nodes, CAST([] AS VARCHAR[]) AS eids, CAST([] AS BIGINT[]) AS ords FROM pairs
+      UNION ALL SELECT w.doc_id, w.start, w.goal, e.target, list_append(w.nodes, e.target), list_append(w.eids, e.id), list_append(w.ords, e.ord) FROM walk w JOIN w_edges e ON e.doc_id = w.doc_id AND e.source = w.cur WHERE w.cur <> w.goal AND NOT list_contains(w.nodes, e.target)),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id, start, goal ORDER BY ords) AS place FROM walk WHERE cur = goal)
+    SELECT doc_id, start, goal, place, array_to_string(nodes, '>') AS nodes, array_to_string(eids, '>') AS edges FROM placed WHERE place <= 3""")
+def g3_simple_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three paths from each agent to each tool and output."""
+    c = small(spark, sf_dir)
+    agents = c.nodes.where("type = 'agent'").select("doc_id", F.col("id").alias("start"))
+    goals = c.nodes.where("type in ('output', 'tool')").select("doc_id", F.col("id").alias("goal"))
+    found = graph.simple_paths(c.edges, graph.stored(agents.join(goals, "doc_id").distinct()), 3)
+    return found.select("doc_id", "start", "goal", "place", F.array_join("nodes", ">").alias("nodes"), F.array_join("edge_ids", ">").alias("edges"))
