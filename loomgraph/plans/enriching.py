@@ -9,7 +9,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators import enrich, enrichment, stores
+from loomgraph.operators import budget, enrich, enrichment, stores
 from loomgraph.operators.graph import shared_folder
 from loomgraph.plans.projections import PROJECTIONS, duck, projected
 from loomgraph.plans.queries import query
@@ -90,6 +90,12 @@ def e6_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return given.unionByName(found.skipped.select("doc_id", "batch", "id", none.cast("string").alias("summary"), none.cast("string").alias("failures"), none.cast("double").alias("confidence"), "reason"))
 
 
+@query(f"WITH {duck('l_calls')}, r AS (SELECT day, call_id, row_number() OVER (PARTITION BY day ORDER BY ts, call_id) AS nth FROM l_calls) SELECT day, call_id, nth, nth > 50 AS refused FROM r")
+def e4_daily_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of all users together, fifty a day."""
+    return budget.admitted(projected(spark, sf_dir, "l_calls"))
+
+
 @query(f"WITH {duck('l_calls')} SELECT day, count(*) AS calls FROM l_calls WHERE day >= (SELECT max(day) FROM l_calls) - 10 GROUP BY day")
 def k7_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ledger of ten days that was written in three runs, days of the second also in the first."""

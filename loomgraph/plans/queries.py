@@ -278,8 +278,8 @@ _QUESTIONS = """SELECT doc_id, turn AS question_id, CASE turn % 6 WHEN 0 THEN 'W
 def q_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.operators import questions
 
-    projected(spark, sf_dir, "w_turns").createOrReplaceTempView("w_turns")
-    found = questions.answers(spark.sql(_QUESTIONS), small(spark, sf_dir))
+    asked = spark.sql(_QUESTIONS.replace("w_turns", "{turns}"), turns=projected(spark, sf_dir, "w_turns"))
+    found = questions.answers(asked, small(spark, sf_dir))
     return found.select("doc_id", "question_id", "matched", F.size(F.array_distinct("cites")).cast("long").alias("cited"))
 
 

@@ -101,8 +101,8 @@ _NEEDLES = "SELECT DISTINCT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat('STEP '
 
 @query(f"WITH {duck('w_turns', 'w_nodes')}, k AS ({_NEEDLES}) SELECT n.doc_id, n.ord, n.id, n.name, k.needle FROM w_nodes n JOIN k ON k.doc_id = n.doc_id WHERE contains(lower(n.id), lower(k.needle)) OR contains(lower(n.name), lower(k.needle))")
 def f9_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    projected(spark, sf_dir, "w_turns").createOrReplaceTempView("w_turns")
-    return co.search(projected(spark, sf_dir, "w_nodes").select("doc_id", "ord", "id", "name"), spark.sql(_NEEDLES))
+    needles = spark.sql(_NEEDLES.replace("w_turns", "{turns}"), turns=projected(spark, sf_dir, "w_turns"))
+    return co.search(projected(spark, sf_dir, "w_nodes").select("doc_id", "ord", "id", "name"), needles)
 
 
 @query(f"""WITH {duck('r_nodes', 'r_registry')}, k AS (SELECT doc_id, CASE type WHEN 'llm' THEN 'models' WHEN 'tool' THEN 'tools' WHEN 'prompt' THEN 'prompts' END AS registry, ref FROM r_nodes)
