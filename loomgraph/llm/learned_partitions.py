@@ -7,11 +7,12 @@ of its most probable parts, and what those hold is scored exactly on the origina
 
 How many parts a query visits is found on the sample too: as few as give the wanted share
 of the true neighbours of held-out sample vectors.  The number of parts grows with the
-vectors, so a part stays of one size; crowded parts are split into blocks of bounded rows.
+vectors up to `most_parts`; crowded parts are split into blocks of bounded rows.
 
 Nearness is the largest inner product.  Defined results: vectors that are null, all zero,
-or hold a null or non-finite component, or have a null id take no part; only vectors of the
-most usual number of dimensions do; of several rows with one id the vector that sorts lowest
+or hold a null or non-finite component, or have a null id take no part; vectors of other
+numbers of dimensions than the most usual one are searched among their own, wholly, each
+number as one part in blocks; of several rows with one id the vector that sorts lowest
 counts, once; rows of the query's id are never its candidates; ties go to the smaller id;
 a query whose usual parts hold fewer than k candidates visits as many more as it needs.
 """
@@ -157,10 +158,10 @@ def search(vectors: DataFrame, queries: Column, k: int, key: str = "vec_id", vec
     empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if usual is None:
         return empty
+    # parts of their own, numbered below zero, for all other numbers of dimensions
+    other = stash(v.where(F.col("dims") != usual["dims"]).select("key", "v", (-F.col("dims")).alias("part")))
     v = stash(v.where(F.col("dims") == usual["dims"]).select("key", "v"))
     n = v.count()
-    if n < 2:
-        return empty
     h = F.pmod(F.xxhash64("key", F.lit(17)), F.lit(1 << 30))
     sample = v.where(h < int(min(1.0, sample_rows / n) * (1 << 30))).orderBy("key").limit(2 * sample_rows).select("v").toPandas()["v"]
     parts = max(1, min(most_parts, -(-n // part_rows), len(sample) // 64))
@@ -188,9 +189,15 @@ def search(vectors: DataFrame, queries: Column, k: int, key: str = "vec_id", vec
         enough = (np.cumsum(size[order], axis=1) <= k).sum(axis=1) + 1
         return pd.Series([o[: max(router.visits, e)].astype(np.int32) for o, e in zip(order, enough, strict=True)])
 
-    blocked = filed.join(F.broadcast(sizes), "part").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).select("part", "block", "key", "v")
+    in_block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block")
+    every_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    blocked = filed.join(F.broadcast(sizes), "part").select("part", in_block, "key", "v")
     asked = v.where(queries).withColumn("parts", visit("v")).select("key", "v", F.explode("parts").alias("part"))
-    asked = asked.join(F.broadcast(sizes), "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asked = asked.join(F.broadcast(sizes), "part").select("part", every_block, "key", "v")
+    if not other.isEmpty():
+        more = other.groupBy("part").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks"))
+        blocked = blocked.unionByName(other.join(more, "part").select("part", in_block, "key", "v"))
+        asked = asked.unionByName(other.where(queries).join(more, "part").select("part", every_block, "key", "v"))
 
     def score(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
