@@ -499,6 +499,16 @@ def test_toxicity_awkward(spark):
     assert toxicity.features("", toxicity.Lexicon({})) == [0.0] * len(toxicity.FEATURES)
 
 
+def test_held_out_toxicity_of_given_labels(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    held = [(r["score"], r["predicted"], labels[r["doc_id"]]) for r in QUERIES["op6_toxicity"](spark, folder).where("held_out").collect() if r["doc_id"] in labels]
+    yes, no = (np.array([s for s, _, y in held if y == label]) for label in (1, 0))
+    auc = ((yes[:, None] > no[None, :]) + 0.5 * (yes[:, None] == no[None, :])).mean()
+    found = sum(p and y for _, p, y in held)
+    assert len(yes) > 80 and auc > 0.95 and found / len(yes) > 0.85 and found / sum(p for _, p, _ in held) > 0.9
+
+
 # ------------------------------------------------------------------ 7
 
 
