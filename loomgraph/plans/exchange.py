@@ -114,7 +114,7 @@ def _answer(i: int, found: str, none: str) -> str:
     best AS (SELECT doc_id, q, arg_min(id, rank * 1000 + ord) AS id, arg_min(type, rank * 1000 + ord) AS type, min(rank) AS rank, count(*) AS n FROM met GROUP BY doc_id, q HAVING min(rank) < 2 OR count(*) = 1),
     ends AS (SELECT doc_id, source AS id, 1 AS side, ord, 'goes --' || type || '--> ' || target AS x FROM w_edges UNION ALL SELECT doc_id, target, 0, ord, 'gets ' || source || ' --' || type || '-->' FROM w_edges), lines AS (SELECT doc_id, id, string_agg({_LINE} x, '' ORDER BY side, ord) AS x FROM ends GROUP BY doc_id, id),
     defined AS (SELECT n.doc_id, n.id, min(r.id) AS entry FROM w_nodes n JOIN w_registry r ON r.doc_id = n.doc_id AND r.id = n.ref AND r.registry = CASE n.type WHEN 'llm' THEN 'models' WHEN 'tool' THEN 'tools' WHEN 'prompt' THEN 'prompts' WHEN 'vector_store' THEN 'data_sources' WHEN 'retriever' THEN 'data_sources' END GROUP BY n.doc_id, n.id),
-    said AS ({_answer(0, f"SELECT doc_id, 'Components that take part in retrieval:' || string_agg({_LINE} id || ' (' || type || ')', '' ORDER BY ord) AS text, string_agg(id, ',' ORDER BY ord) AS cites FROM ra GROUP BY doc_id", 'Nothing retrieves here.')}
+    said AS ({_answer(0, f"SELECT doc_id, 'Components that take part in retrieval:' || string_agg({_LINE} id || ' (' || type || ')', '' ORDER BY ord) AS text, (SELECT string_agg(id, ',' ORDER BY o) FROM (SELECT doc_id, id, min(ord) AS o FROM ra GROUP BY doc_id, id) z WHERE z.doc_id = ra.doc_id) AS cites FROM ra GROUP BY doc_id", 'Nothing retrieves here.')}
       UNION ALL {_answer(2, f"SELECT g.doc_id, 'Tools within reach of each agent:' || string_agg({_LINE} agent || ' -> ' || tools, '' ORDER BY f.ord) AS text, NULL AS cites FROM (SELECT doc_id, agent, string_agg(tool, ', ' ORDER BY tool) AS tools FROM ag GROUP BY doc_id, agent) g JOIN fn f ON f.doc_id = g.doc_id AND f.id = g.agent GROUP BY g.doc_id", 'No agent has a tool within reach.')}
       UNION ALL {_answer(3, f"SELECT doc_id, 'Failures that nothing handles:' || string_agg({_LINE} subject || CASE WHEN inferred THEN ' [inferred]' ELSE '' END || ': ' || detail || coalesce(' (' || source || ')', ''), '' ORDER BY carrier, carrier_ord) || CASE WHEN bool_or(inferred) THEN {_LINE} 'What is marked [inferred] was said by a model, not read from code.' ELSE '' END AS text, NULL AS cites FROM uh GROUP BY doc_id", 'Every failure is handled.')}
       UNION ALL {_answer(5, f"SELECT doc_id, 'Claims that were inferred stand on:' || string_agg({_LINE} x, '' ORDER BY part, id, x) AS text, NULL AS cites FROM (SELECT doc_id, 0 AS part, id, id AS x FROM claims UNION ALL SELECT l.doc_id, 1, NULL, 'to review: ' || subject || ': ' || detail FROM lo l WHERE l.doc_id IN (SELECT doc_id FROM claims)) GROUP BY doc_id", 'No claim was inferred.')}
