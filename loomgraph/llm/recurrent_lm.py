@@ -47,9 +47,9 @@ from .common import stash
 END = b" "
 
 
-def tokens(text: str | None) -> list[bytes]:
+def tokens(text: str | bytes | None) -> list[bytes]:
     """Words with A-Z lower-cased; bytes.split() parts at exactly the six white-space bytes."""
-    return (text or "").encode().lower().split()
+    return (text if isinstance(text, bytes) else (text or "").encode()).lower().split()
 
 
 def tail_class(word: bytes, classes: int) -> int:
@@ -84,8 +84,11 @@ class Vocabulary:
         self.input_of = np.concatenate([np.arange(s), s + tails - self.head_classes]).astype(np.int32)
         self.start = s + self.tail_classes
         self.class_of_input = np.concatenate([self.head_of, self.head_classes + np.arange(self.tail_classes)]).astype(np.int32)
-        self.log_count = np.log10(self.counts + 1.0)
         self.log_tail = np.log10(self.tail_total)
+        # by place among the frequent words, and last (-1) for all beyond: log10 (count + 1), and the part of it that stands in a tail class
+        self.log_count = np.append(np.log10(self.counts + 1.0), 0.0)
+        self.log_inside = np.append(np.where(np.arange(len(self.words)) < s, 0.0, self.log_count[:-1]), 0.0)
+        self.log_inside[s:-1] -= self.log_tail[tails - self.head_classes]
 
     @property
     def classes(self) -> int:
@@ -97,7 +100,9 @@ class Vocabulary:
         inputs, classes = self.input_of[at], self.class_of[at]
         beyond = np.flatnonzero(at < 0)
         if len(beyond):
-            tail = np.fromiter((tail_class(words[i], self.tail_classes) for i in beyond.tolist()), np.int32, len(beyond))
+            ends = [words[i][-2:] for i in beyond.tolist()]
+            of = {end: tail_class(end, self.tail_classes) for end in set(ends)}
+            tail = np.fromiter(map(of.__getitem__, ends), np.int32, len(beyond))
             inputs[beyond] = self.shortlist + tail
             classes[beyond] = self.head_classes + tail
         return at, inputs, classes, beyond
@@ -123,23 +128,23 @@ class GatedNetwork:
         """What inputs (time, lane) add to the gates: (time, 3 hidden, lane)."""
         return np.ascontiguousarray(self.p[0][x].transpose(0, 2, 1))
 
-    def step(self, e: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The next states (hidden, lane), the gates z and r, the candidate, and what the state adds to it."""
+    def step(self, e: np.ndarray, h: np.ndarray, g: np.ndarray | None = None) -> np.ndarray:
+        """The next states (hidden, lane).  What the inputs add, `e` (3 hidden, lane), becomes the gates z and r and
+        the candidate in place; `g` takes what the state adds."""
         k = self.h
-        g = self.p[1].T @ h
-        gates = e[: 2 * k] + g[: 2 * k]
+        g = np.matmul(self.p[1].T, h, out=g)
+        gates, n = e[: 2 * k], e[2 * k :]
+        gates += g[: 2 * k]
         gates *= 0.5  # the logistic function by way of tanh
         np.tanh(gates, out=gates)
         gates *= 0.5
         gates += 0.5
-        z, r = gates[:k], gates[k:]
-        n = r * g[2 * k :]
-        n += e[2 * k :]
+        n += gates[k:] * g[2 * k :]
         np.tanh(n, out=n)
         out = h - n
-        out *= z
+        out *= gates[:k]
         out += n
-        return out, z, r, n, g[2 * k :]
+        return out
 
     def log_probs(self, h: np.ndarray, classes: np.ndarray, words: np.ndarray, grads: bool = False):
         """Natural log of P(class) and, for shortlist words, of P(word | class), summed, for the
@@ -147,47 +152,61 @@ class GatedNetwork:
         by h, wc, bc, wo and bo."""
         _, _, wc, bc, wo, bo = self.p
         order = np.argsort(classes.astype(np.int16), kind="stable")
-        edges = np.searchsorted(classes[order], np.arange(self.v.head_classes + 1))
-        h, c = np.take(h, order, axis=1), classes[order]
+        c, w = classes[order], words[order]
+        edges, places = np.searchsorted(c, np.arange(self.v.head_classes + 1)), np.arange(len(c))
+        # a last row of ones: products with weights whose last column is the bias add it, and give its gradient
+        states = np.ones((self.h + 1, len(c)), h.dtype)
+        np.take(h, order, axis=1, out=states[:-1], mode="clip")
+        by_class, by_word = np.concatenate([wc, bc[None]]).T, np.concatenate([wo, bo[:, None]], axis=1)
         out, dh = np.empty(len(c), h.dtype), np.empty_like(h)
-        if grads:
-            dwc, dbc, dwo, dbo = np.zeros_like(wc), np.zeros_like(bc), np.zeros_like(wo), np.zeros_like(bo)
-
-        def softmax(weights: np.ndarray, bias: np.ndarray, states: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Log-probabilities of the targets, and all probabilities less one at the target."""
-            z = weights @ states
-            z += bias[:, None]
-            z -= z.max(axis=0)
-            at = np.arange(len(target))
+        d_class, d_word = np.zeros_like(by_class, order="C"), np.zeros_like(by_word)
+        reach = max(states.max(initial=1), -states.min(initial=-1))
+
+        def far(weights: np.ndarray) -> bool:
+            """Whether sums could leave the range of exp(); elsewhere their largest need not be taken off."""
+            return bool(np.abs(weights).sum(axis=1).max(initial=0) * reach > 60)
+
+        def softmax(weights: np.ndarray, part: slice, target: np.ndarray, away: bool) -> tuple[np.ndarray, ...]:
+            """Log-probabilities of the targets; with `grads` gradients by the states and by the weights."""
+            x = states[:, part]
+            z = weights @ x
+            if away:
+                z -= z.max(axis=0)
+            at = places[: len(target)]
             hit = z[target, at]
             np.exp(z, out=z)
             total = z.sum(axis=0)
             hit -= np.log(total)
+            if not grads:
+                return (hit,)
+            z[target, at] -= total  # times `share`: all probabilities less one at the target
+            share = 1 / total
+            back = weights[:, :-1].T @ z
+            back *= share
+            return hit, back, z @ (x * share).T
+
+        away = far(by_class)
+        for lo in range(0, len(c), 384):  # so few places at a time stay in the cache, and products take the way for small ones
+            part = slice(lo, lo + 384)
+            out[part], *d = softmax(by_class, part, c[part], away)
             if grads:
-                z /= total
-                z[target, at] -= 1
-            return hit, z
-
-        for lo in range(0, len(c), 2048):  # so many places at a time stay in the cache
-            part = slice(lo, lo + 2048)
-            out[part], d = softmax(wc.T, bc, h[:, part], c[part])
-            if grads:
-                dh[:, part] = wc @ d
-                dwc += h[:, part] @ d.T
-                dbc += d.sum(axis=1)
+                dh[:, part] = d[0]
+                d_class += d[1]
+        away = far(by_word)
         for i in range(self.v.head_classes):
             part, lo, hi = slice(edges[i], edges[i + 1]), self.v.begin[i], self.v.until[i]
             if edges[i] == edges[i + 1] or hi - lo < 2:
                 continue
-            hit, d = softmax(wo[lo:hi], bo[lo:hi], h[:, part], words[order[part]] - lo)
+            hit, *d = softmax(by_word[lo:hi], part, w[part] - lo, away)
             out[part] += hit
             if grads:
-                dh[:, part] += wo[lo:hi].T @ d
-                dwo[lo:hi] += d @ h[:, part].T
-                dbo[lo:hi] += d.sum(axis=1)
+                dh[:, part] += d[0]
+                d_word[lo:hi] = d[1]
         back = np.empty_like(order)
-        back[order] = np.arange(len(order))
-        return (out[back], np.take(dh, back, axis=1), dwc, dbc, dwo, dbo) if grads else out[back]
+        back[order] = places
+        if not grads:
+            return out[back]
+        return out[back], np.take(dh, back, axis=1, mode="clip"), *(np.ascontiguousarray(d) for d in (d_class[:, :-1].T, d_class[:, -1], d_word[:, :-1], d_word[:, -1]))
 
     def score(self, docs: list[np.ndarray], lanes: int = 256, window: int = 32) -> np.ndarray:
         """Sum of log10 of the state-dependent probabilities of each document (its inputs), read to its end."""
@@ -202,7 +221,7 @@ class GatedNetwork:
                     h = np.ascontiguousarray(h[:, : live[t]])
                 if fresh[t, : live[t]].any():
                     h[:, fresh[t, : live[t]]] = 0
-                h = self.step(e[t, :, : live[t]], h)[0]
+                h = self.step(e[t, :, : live[t]], h)
                 states[:, t, : live[t]] = h
             some, states = at[valid], states.reshape(self.h, -1)
             states = states if len(some) == at.size else states[:, valid.ravel()]
@@ -282,16 +301,14 @@ class Adam:
         k, u = net.h, net.p[1]
         span, lanes = x.shape
         kind = net.p[1].dtype
-        hidden, before, past = (np.empty((n, span, k, lanes), kind) for n in (1, 1, 4))
-        hidden, before = hidden[0], before[0]
-        e = net.inputs(x)
+        hidden, before, added = (np.empty((span, n * k, lanes), kind) for n in (1, 1, 3))
+        past = net.inputs(x)
         anew = fresh.any(axis=1)
         for t in range(span):
             if anew[t]:
                 h = np.where(fresh[t], kind.type(0), h)
             before[t] = h
-            h, past[0, t], past[1, t], past[2, t], past[3, t] = net.step(e[t], h)
-            hidden[t] = h
+            hidden[t] = h = net.step(past[t], h, added[t])
         wide = lambda a: np.ascontiguousarray(a.transpose(1, 0, 2)).reshape(a.shape[1], -1)  # noqa: E731  (time, n, lane) to (n, place)
         at = slice(None) if valid is None else np.flatnonzero(valid.ravel())
         flat_c, flat_w = classes.ravel()[at], words.ravel()[at]
@@ -301,44 +318,45 @@ class Adam:
             dh[:, at] = some
         dh = dh.reshape(k, span, lanes)
         # of the error of a state: the shares that go to the candidate, to z, and from the candidate to r
-        z, r, n, gn = past
-        to_n = (1 - z) * (1 - n * n)
-        to_z = (before - n) * z * (1 - z)
-        to_r = gn * r * (1 - r)
-        dg, dn = np.empty((span, 3 * k, lanes), kind), np.empty((span, k, lanes), kind)
+        gates, z, r, n = past[:, : 2 * k], past[:, :k], past[:, k : 2 * k], past[:, 2 * k :]
+        dg, dn = np.empty((span, 3 * k, lanes), kind), 1 - n * n
+        dn *= 1 - z
+        np.multiply(gates, gates, out=dg[:, : 2 * k])
+        np.subtract(gates, dg[:, : 2 * k], out=dg[:, : 2 * k])
+        before_n = before - n
+        dg[:, :k] *= before_n
+        dg[:, k : 2 * k] *= added[:, 2 * k :]
         carry = np.zeros((k, lanes), kind)
         for t in range(span - 1, -1, -1):
             carry += dh[:, t]
-            np.multiply(carry, to_n[t], out=dn[t])
-            np.multiply(carry, to_z[t], out=dg[t, :k])
-            np.multiply(dn[t], to_r[t], out=dg[t, k : 2 * k])
+            dn[t] *= carry
+            dg[t, :k] *= carry
+            dg[t, k : 2 * k] *= dn[t]
             np.multiply(dn[t], r[t], out=dg[t, 2 * k :])
             carry *= z[t]
             carry += u @ dg[t]
             if anew[t]:
                 carry[:, fresh[t]] = 0
-        du = wide(before) @ wide(dg).T
-        dg[:, 2 * k :] = dn  # what the inputs add to the candidate is not gated
-        flat_x = x.ravel()
-        order = np.argsort(flat_x.astype(np.int16) if net.v.start < 1 << 15 else flat_x, kind="stable")
-        begin = np.flatnonzero(np.diff(flat_x[order], prepend=-1))
-        dtable = np.zeros_like(net.p[0])
-        dtable[flat_x[order[begin]]] = np.add.reduceat(dg.transpose(0, 2, 1).reshape(-1, 3 * k)[order], begin, axis=0)
+        du = np.matmul(before, dg.transpose(0, 2, 1)).sum(axis=0)
+        at, dtable = x.ravel().astype(np.intp), np.empty((3 * k, len(net.p[0])), kind)
+        for i in range(3 * k):  # what the inputs add to the candidate is not gated
+            dtable[i] = np.bincount(at, (dg[:, i] if i < 2 * k else dn[:, i - 2 * k]).ravel(), len(net.p[0]))
+        dtable = np.ascontiguousarray(dtable.T)
         self.steps += 1
-        low, high = np.float32(1 - 0.9**self.steps), np.float32(1 - 0.99**self.steps)
+        # moments are kept without their factors 0.1 and 0.01, which stand in the rate and in what is added to the root
+        low, high = 1 - 0.9**self.steps, math.sqrt(0.01 / (1 - 0.99**self.steps))
         for i, g in enumerate((dtable, du, dwc, dbc, dwo, dbo)):
             g *= kind.type(1 / len(flat_c))
             np.clip(g, -0.1, 0.1, out=g)
             self.m[i] *= kind.type(0.9)
-            self.m[i] += kind.type(0.1) * g
+            self.m[i] += g
             self.s[i] *= kind.type(0.99)
             g *= g
-            self.s[i] += kind.type(0.01) * g
-            np.divide(self.s[i], high, out=g)
-            np.sqrt(g, out=g)
-            g += kind.type(1e-6)
+            self.s[i] += g
+            np.sqrt(self.s[i], out=g)
+            g += kind.type(1e-6 / high)
             np.divide(self.m[i], g, out=g)
-            g *= kind.type(rate) / low
+            g *= kind.type(rate * 0.1 / (low * high))
             net.p[i] -= g
         return h
 
@@ -359,7 +377,7 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
         if seen:
             yield rows(seen)
 
-    return docs.select(F.col(text)).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
+    return docs.select(F.col(text).cast("binary")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def vocabulary(counts: DataFrame, frequent: int, shortlist: int, head_classes: int, tail_classes: int) -> Vocabulary | None:
@@ -415,21 +433,22 @@ def encoded(docs: DataFrame, vocab: Vocabulary, key: str, text: str, training: C
                     edges.append(len(words))
                 at, inputs, classes, beyond = vocab.encode(words)
                 begin, n = np.array(edges[:-1], np.int64), np.diff(edges)
-                known, tail = at >= 0, classes >= vocab.head_classes
-                # log10 (count + 1) of the frequent words; of those the part that stands in a tail class, less the class's size
-                log = np.where(known, vocab.log_count[at], 0.0)
-                own = np.where(tail, log - vocab.log_tail[np.maximum(classes - vocab.head_classes, 0)], 0.0)
-                s, logs, inside = np.add.reduceat(known.astype(np.int64), begin), np.add.reduceat(log, begin), np.add.reduceat(own, begin)
+                s, logs, own = np.add.reduceat((at >= 0).astype(np.int64), begin), np.add.reduceat(vocab.log_count[at], begin), vocab.log_inside[at]
+                own[beyond] = -vocab.log_tail[classes[beyond] - vocab.head_classes]
                 data = inputs.astype("<u2").tobytes()
                 inputs_ = [data[2 * x : 2 * y] for x, y in zip(edges[:-1], edges[1:], strict=True)]
-                rares, times, here = [], [], np.searchsorted(beyond, edges)
-                for x, y in zip(here[:-1].tolist(), here[1:].tolist(), strict=True):
-                    seen = Counter(words[i] for i in beyond[x:y].tolist()) if y > x else {}
-                    rares.append(list(seen))
-                    times.append(list(seen.values()))
-                yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(n, pa.int64()), pa.array(s, pa.int64()), pa.array(logs, pa.float64()), pa.array(inside, pa.float64()), pa.array(inputs_, pa.binary()), pa.array(rares, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))], names=names)
-
-    narrow = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("h"), F.coalesce(training, F.lit(False)).alias("training"), F.col(text).alias("text"))
+                far, rares, times, until = [words[i] for i in beyond.tolist()], [], [], [0]
+                here = np.searchsorted(beyond, edges).tolist()
+                for x, y in zip(here[:-1], here[1:], strict=True):
+                    if y > x:
+                        seen = Counter(far[x:y])
+                        rares += seen
+                        times += seen.values()
+                    until.append(len(rares))
+                lists = [pa.ListArray.from_arrays(pa.array(until, pa.int32()), x) for x in (pa.array(rares, pa.binary()), pa.array(times, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(n, pa.int64()), pa.array(s), pa.array(logs), pa.array(np.add.reduceat(own, begin)), pa.array(inputs_, pa.binary()), *lists], names=names)
+
+    narrow = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("h"), F.coalesce(training, F.lit(False)).alias("training"), F.col(text).cast("binary").alias("text"))
     each = narrow.mapInArrow(read, f"key {kind}, h long, training boolean, n_tokens long, seen long, logs double, inside double, inputs binary, rare array<binary>, times array<bigint>")
     one = each.groupBy("key", "h", "training").agg(F.count("*").alias("rows"), *[F.first(c).alias(c) for c in names[3:]])
     return stash(one.withColumn("row", F.monotonically_increasing_id()))

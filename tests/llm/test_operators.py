@@ -782,6 +782,91 @@ def test_lm_scores_do_not_follow_the_split(spark):
         np.testing.assert_allclose(np.array(other), np.array(got[0]), rtol=1e-6)
 
 
+def test_lm_hashes_each_ending_once():
+    """The class of a word beyond the frequent ones hangs on its last letters, which are hashed once for all such words."""
+    words = [recurrent_lm.END, b"the"]
+    vocab = recurrent_lm.Vocabulary(words, np.array([5, 4]), 2, 2, 7, np.ones(7), 9, 2)
+    text, asked = [b"running", b"x", b"the", b"sing", b"", b"ring", b"x", b"words", recurrent_lm.END] * 50, []
+    plain = recurrent_lm.tail_class
+    want = [words.index(w) if w in words else 2 + plain(w, 7) for w in text]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(recurrent_lm, "tail_class", lambda w, n: asked.append(w) or plain(w, n))
+        at, inputs, classes, beyond = vocab.encode(text)
+    assert inputs.tolist() == want and sorted(set(asked)) == sorted(asked) and len(asked) == 4
+    assert (classes[beyond] == inputs[beyond]).all() and beyond.tolist() == [i for i, w in enumerate(text) if w not in words] and (at[beyond] == -1).all()
+
+
+def test_lm_updates_by_plain_formulas():
+    """Gradients of all weights by numeric derivatives of loops over single words, and two updates by Adam's formulas; also with large sums."""
+    rng = np.random.default_rng(5)
+    counts, short, heads, tails, k, span, lanes = np.arange(40, 0, -1), 30, 6, 5, 4, 7, 9
+    vocab = recurrent_lm.Vocabulary([recurrent_lm.END, *(f"w{i}".encode() for i in range(39))], counts, short, heads, tails, np.arange(2.0, 2 + tails), int(counts.sum()), 40)
+    for scale in (1, 60):
+        net = recurrent_lm.GatedNetwork(vocab, k)
+        net.p = [p.astype(np.float64) * (scale if i > 1 else 1) for i, p in enumerate(net.p)]
+        start = [p.copy() for p in net.p]
+        x, w, fresh = rng.integers(0, vocab.start + 1, (span, lanes)), rng.integers(0, vocab.start, (span, lanes)), rng.random((span, lanes)) < 0.2
+        valid, first = np.arange(span)[:, None] < np.array([7, 7, 7, 6, 5, 5, 3, 2, 1])[None], rng.uniform(-1, 1, (k, lanes))
+
+        def loss(p):
+            table, u, wc, bc, wo, bo = p
+            total, sigma = 0.0, lambda a: 1 / (1 + np.exp(-a))
+            soft = lambda z, i: z[i] - z.max() - np.log(np.exp(z - z.max()).sum())
+            for lane in range(lanes):
+                h = first[:, lane]
+                for t in range(span):
+                    h = np.zeros(k) if fresh[t, lane] else h
+                    e, g = table[x[t, lane]], u.T @ h
+                    z, r = sigma(e[:k] + g[:k]), sigma(e[k : 2 * k] + g[k : 2 * k])
+                    n = np.tanh(e[2 * k :] + r * g[2 * k :])
+                    h = n + z * (h - n)
+                    if valid[t, lane]:
+                        c = vocab.class_of_input[w[t, lane]]
+                        total += soft(h @ wc + bc, c)
+                        if c < heads:
+                            lo, hi = vocab.begin[c], vocab.until[c]
+                            total += soft(wo[lo:hi] @ h + bo[lo:hi], w[t, lane] - lo)
+            return -total / valid.sum()
+
+        adam, steps = recurrent_lm.Adam(net), []
+        for _ in range(2):
+            adam.window(x, fresh, w, vocab.class_of_input[w], first.copy(), 0.01, valid)
+            steps.append(([p.copy() for p in net.p], [m.copy() for m in adam.m]))
+        (p1, m1), (p2, m2) = steps
+        for i, p in enumerate(start):
+            for j in rng.choice(p.size, 8, replace=False).tolist():
+                old = p.flat[j]
+                p.flat[j] = old + 1e-6
+                up = loss(start)
+                p.flat[j] = old - 1e-6
+                down = loss(start)
+                p.flat[j] = old
+                assert math.isclose(np.clip((up - down) / 2e-6, -0.1, 0.1), m1[i].flat[j], rel_tol=1e-4, abs_tol=1e-6)
+            a, b = m1[i], m2[i] - 0.9 * m1[i]  # the gradients of both updates
+            np.testing.assert_allclose(p - p1[i], 0.01 * a / (abs(a) + 1e-6), atol=1e-6)
+            mean, square = (0.09 * a + 0.1 * b) / (1 - 0.9**2), (0.0099 * a**2 + 0.01 * b**2) / (1 - 0.99**2)
+            np.testing.assert_allclose(p1[i] - p2[i], 0.01 * mean / (np.sqrt(square) + 1e-6), atol=1e-6)
+
+
+def test_lm_log_probs_beyond_the_range_of_exp():
+    """Sums far from zero, in single precision, against the same in double precision less their largest."""
+    rng = np.random.default_rng(6)
+    vocab = recurrent_lm.Vocabulary([recurrent_lm.END, *(f"w{i}".encode() for i in range(39))], np.arange(40, 0, -1), 30, 6, 5, np.arange(2.0, 7.0), 820, 40)
+    w, h = rng.integers(0, vocab.start, 900), rng.uniform(-1, 1, (4, 900)).astype(np.float32)
+    c = vocab.class_of_input[w]
+    for shift in (0, 200, -200):
+        net = recurrent_lm.GatedNetwork(vocab, 4)
+        net.p[3] += np.float32(shift)
+        net.p[5] += np.float32(shift)
+        got, *grads = net.log_probs(h, c, w, grads=True)
+        _, _, wc, bc, wo, bo = (p.astype(np.float64) for p in net.p)
+        soft = lambda z, i: z[i] - z.max() - np.log(np.exp(z - z.max()).sum())
+        want = [soft(x @ wc + bc, k) + (soft(wo[(s := slice(vocab.begin[k], vocab.until[k]))] @ x + bo[s], i - s.start) if k < 6 else 0) for x, k, i in zip(h.T.astype(np.float64), c.tolist(), w.tolist(), strict=True)]
+        np.testing.assert_allclose(got, want, atol=2e-4)
+        np.testing.assert_allclose(got, net.log_probs(h, c, w), atol=1e-6)
+        assert all(np.isfinite(g).all() for g in grads)
+
+
 def test_lm_lanes_hold_every_document():
     rng = np.random.default_rng(2)
     docs = [rng.integers(0, 9, int(n)).astype("<u2") for n in [1, 700, *rng.integers(1, 50, 40)]]
