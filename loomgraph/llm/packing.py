@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes, those that the `tokenizers` file gives.
@@ -127,7 +129,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, ranks_file: str | None, s
                 yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(source, pa.int64())), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=[key, "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInArrow(pieces, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(tidy(pieces), f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(pieces: DataFrame, size: int, open_bins: int, order: list[str], parts: int) -> DataFrame:
@@ -146,7 +148,7 @@ def best_fit(pieces: DataFrame, size: int, open_bins: int, order: list[str], par
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([base + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())], names=[*columns, "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return dealt.withColumn("part", F.spark_partition_id()).mapInArrow(pack, f"{kinds}, sequence_id long, offset long")
+    return dealt.withColumn("part", F.spark_partition_id()).mapInArrow(tidy(pack), f"{kinds}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, ranks_file: str | None = None, size: int = 2048, end_id: int = 0, open_bins: int = 256, key: str = "doc_id", text: str = "text", docs_per_task: int = 16384) -> DataFrame:

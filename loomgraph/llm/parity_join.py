@@ -461,15 +461,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     pairs = stash(_near(chosen, sketches, similarity))
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     links = stash(_verified(pairs, stash(_sets(docs, ids, key, text, width)), similarity))
+    roots = label(links)
     # whatever is still apart: first the pairs that would do if all that may link did, then all others
-    left = stash(_sifted(groups, label(links), sketches, similarity))
+    left = stash(_sifted(groups, roots, sketches, similarity))
     sets = stash(_sets(docs, left.select("id").distinct(), key, text, width))
     more = stash(_verified(_spanning(left, similarity), sets, similarity))
-    left = left.drop("root").join(label(links.unionByName(more)), "id").select(*left.columns)
+    # labels are made anew only for new links: each time takes dozens of jobs, which the driver has to hold
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        roots = label(links)
+        left = left.drop("root").join(roots, "id").select(*left.columns)
     open_ = left.groupBy("sig", "i", "j").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig", "i", "j")
     rest = left.join(open_, ["sig", "i", "j"]).join(sets, "id").select(*left.columns, "set")
-    more = more.unionByName(stash(_spanning(rest, similarity)))
-    named = of.join(label(links.unionByName(more)).withColumnRenamed("id", "rep"), "rep").select("id", F.col("root").alias("component_id"))
+    more = stash(_spanning(rest, similarity))
+    if not more.isEmpty():
+        roots = label(links.unionByName(more))
+    named = of.join(roots.withColumnRenamed("id", "rep"), "rep").select("id", F.col("root").alias("component_id"))
     return members.select("id", "n").join(named, "id", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 

@@ -225,6 +225,17 @@ def test_documents_apart_by_blocks(spark):
     assert found == {(i, i + 1) for i in range(0, 300, 2)}
 
 
+def test_labels_are_made_anew_only_for_new_links(spark, monkeypatch):
+    """Where the first links are all there are, components are sought once."""
+    calls, seek = [], parity_join.components
+    monkeypatch.setattr(parity_join, "components", lambda links: calls.append(1) or seek(links))
+    texts = {i: " ".join(f"w{i // 2}x{k}" for k in range(30)) + " more" * (i % 2) for i in range(12)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in parity_join.near_duplicates(docs).collect()}
+    assert got == brute_components(texts) and len({c for _, c in got.values()}) == 6
+    assert len(calls) == 1
+
+
 def test_near_duplicates_awkward(spark):
     rows = parity_join.near_duplicates(awkward(spark)).collect()
     assert len(rows) == len(AWKWARD) + 2
